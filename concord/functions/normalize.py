@@ -22,7 +22,7 @@ WHITESPACE_RUN = (
 # Accepted date text (date, time, fraction, offset) and number text.
 DATE_TEXT = (
     r"^(\d{4}-\d{2}-\d{2})"
-    r"(?:[T ](\d{2}:\d{2}(?::\d{2})?)(?:\.(\d{1,9}))?(Z|[+-]\d{2}:?\d{2})?)?$"
+    r"(?:[T ](\d{2}:\d{2}(?::\d{2})?)(?:(?<=:\d{2}:\d{2})\.(\d{1,9}))?(Z|[+-](?:0\d|1[0-7]):?[0-5]\d)?)?$"
 )
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # The units a timestamp can be cut to, from coarse to fine.
@@ -85,25 +85,25 @@ def _normalize_text(c: Column, rule: Rule) -> Column:
 
 
 def normalize_date_text(c: Column, rule: Rule) -> Column:
-    """ISO text of a recognised date; any other text passes through."""
-    wall = shift_and_truncate(parse_date_text(c), rule)
-    return F.coalesce(iso_millis(wall), c)
-
-
-def parse_date_text(c: Column) -> Column:
-    """Wall clock read as UTC, to the millisecond; NULL for any other text."""
-    date, time, fraction, offset = (F.regexp_extract(c, DATE_TEXT, i) for i in range(1, 5))
-    clock = F.when(time == "", F.lit("00:00:00")).when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
-    millis = F.substring(F.rpad(fraction, 3, "0"), 1, 3)
-    wall = F.concat(date, F.lit(" "), clock, F.lit("."), millis).try_cast("timestamp_ntz")
-    digits = F.regexp_replace(offset, ":", "")
-    sign = F.when(digits.startswith("-"), -1).otherwise(1)
-    ahead = F.make_dt_interval(
-        hours=sign * F.substring(digits, 2, 2).try_cast("int"),
-        mins=sign * F.substring(digits, 4, 2).try_cast("int"),
-    )
-    moved = F.when(offset.isin("", "Z"), wall).otherwise(wall - ahead)
-    return F.when(date != "", moved)
+    """ISO text of a recognised date; any other text passes through.
+
+    Zones and offsets move whole seconds only, so the milliseconds are kept as
+    text, and a cut to a unit is a cut of the text. Each step refers to the one
+    before once, which keeps the expression small.
+    """
+    date, clock, fraction, offset = (F.regexp_extract(c, DATE_TEXT, i) for i in range(1, 5))
+    full_clock = F.overlay(F.lit("00:00:00"), clock, F.lit(1))
+    wall = F.concat(date, F.lit(" "), full_clock).try_cast("timestamp_ntz")
+    wall = F.when(offset == "", wall).otherwise(F.convert_timezone(offset, F.lit("UTC"), wall))
+    if rule.timezone:
+        wall = F.convert_timezone(F.lit(rule.timezone), F.lit("UTC"), wall)
+    text = F.translate(wall.cast("string"), " ", "T")
+    if rule.truncate_to in TRUNCATION_UNITS:
+        kept = (4, 7, 10, 13, 16, 19)[TRUNCATION_UNITS.index(rule.truncate_to)]
+        out = F.concat(F.substring(text, 1, kept), F.lit("0000-01-01T00:00:00.000Z"[kept:]))
+    else:
+        out = F.concat(text, F.lit("."), F.substring(F.rpad(fraction, 3, "0"), 1, 3), F.lit("Z"))
+    return F.coalesce(out, c)
 
 
 def shift_and_truncate(wall: Column, rule: Rule) -> Column:
@@ -123,19 +123,6 @@ def truncate(wall: Column, unit: str) -> Column:
     return F.make_timestamp_ntz(*[f(wall) if i <= kept else F.lit(zero[i]) for i, f in enumerate(parts)])
 
 
-def iso_millis(wall: Column) -> Column:
-    """yyyy-MM-ddTHH:mm:ss.SSSZ, without help from the session time zone."""
-    text = wall.cast("string")
-    return F.concat(
-        F.substring(text, 1, 10),
-        F.lit("T"),
-        F.substring(text, 12, 8),
-        F.lit("."),
-        F.rpad(F.substring(text, 21, 3), 3, "0"),
-        F.lit("Z"),
-    )
-
-
 def as_number(c: Column, dtype: T.DataType) -> Column | None:
     """Double of a number or of numeric-looking text; None for other families."""
     if family(dtype) == "number":

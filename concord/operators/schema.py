@@ -149,32 +149,34 @@ def suggest_mappings(source: DataFrame, target: DataFrame) -> DataFrame:
     The choice is greedy in source order, so it runs once per pair of tables;
     a group holds the columns of one table on both sides.
     """
+
+    def suggest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # Nested, so that it travels by value and workers need no copy of this package.
+        fold = lambda name: name.replace("_", "").replace("-", "").lower()
+        forms = {
+            "exact": lambda c: c.column_name,
+            "case-insensitive": lambda c: c.column_name.lower(),
+            "snake-camel": lambda c: fold(c.column_name),
+            "ordinal": lambda c: c.ordinal,
+        }
+        targets = list(right.sort_values(["ordinal", "column_name"]).itertuples())
+        candidates = {strategy: {} for strategy in forms}
+        for column in targets:
+            for strategy, form in forms.items():
+                candidates[strategy].setdefault(form(column), []).append(column.column_name)
+        taken, out = set(), []
+        for column in left.sort_values(["ordinal", "column_name"]).itertuples():
+            for strategy, form in forms.items():
+                free = (name for name in candidates[strategy].get(form(column), []) if name not in taken)
+                chosen = next(free, None)
+                if chosen is not None:
+                    taken.add(chosen)
+                    out.append((column.table_name, column.column_name, chosen, strategy))
+                    break
+        return pd.DataFrame(out, columns=["table_name", "source_column", "target_column", "strategy"])
+
     fields = ["table_name", "column_name", "ordinal"]
     grouped = source.select(*fields).groupBy("table_name").cogroup(target.select(*fields).groupBy("table_name"))
     return grouped.applyInPandas(
-        _suggest, "table_name string, source_column string, target_column string, strategy string"
-    )
-
-
-def _suggest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    fold = lambda name: name.replace("_", "").replace("-", "").lower()
-    forms = (
-        ("exact", lambda c: c.column_name),
-        ("case-insensitive", lambda c: c.column_name.lower()),
-        ("snake-camel", lambda c: fold(c.column_name)),
-        ("ordinal", lambda c: c.ordinal),
+        suggest, "table_name string, source_column string, target_column string, strategy string"
     )
-    targets = list(right.sort_values(["ordinal", "column_name"]).itertuples())
-    waiting = [{} for _ in forms]
-    for position, column in enumerate(targets):
-        for index, (_, form) in zip(waiting, forms):
-            index.setdefault(form(column), []).append(position)
-    taken, out = set(), []
-    for column in left.sort_values(["ordinal", "column_name"]).itertuples():
-        for index, (strategy, form) in zip(waiting, forms):
-            position = next((p for p in index.get(form(column), []) if p not in taken), None)
-            if position is not None:
-                taken.add(position)
-                out.append((column.table_name, column.column_name, targets[position].column_name, strategy))
-                break
-    return pd.DataFrame(out, columns=["table_name", "source_column", "target_column", "strategy"])

@@ -101,7 +101,7 @@ def markdown_lines(run: Run, run_id: str) -> DataFrame:
     )
     head = run.summary.select(
         F.array(
-            F.concat(F.lit("# Comparison: "), "comparison"),
+            F.concat(F.lit("# Parity Results: "), "comparison"),
             F.lit(""),
             F.concat(F.lit(f"Run {run_id} — status: **"), "status", F.lit("**")),
             F.lit(""),
