@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from concord.functions.digest import LANES, canonical_text, digest, lanes, row_hash
+from concord.functions.digest import LANES, LIMBS, canonical_text, digest, lanes, limbs, row_hash
 from concord.functions.normalize import Rule, normalize
 from concord.functions.values import family
 from concord.operators.rows import Pair, as_pairs, key_columns, require, target_key
-from concord.operators.skew import HOT_ROWS, global_rank, hot_keys, split_hot
+from concord.operators.skew import HOT_ROWS, global_rank, hot_keys, match_keys, split_hot
 
 LEVELS = ("table", "partition", "key-range", "row", "column")
 
@@ -65,9 +65,14 @@ def _both_sides(source, target, spec, left: list[Column], right: list[Column]) -
     """Both sides' rows as (extra columns, row_hash, in_source)."""
     require(target, [spec.target_name(c) for c in spec.columns], "target")
     require(source, spec.columns, "source")
-    s = source.select(*left, row_hash(hash_texts(source, target, spec, "source")).alias("row_hash"))
-    t = target.select(*right, row_hash(hash_texts(target, source, spec, "target")).alias("row_hash"))
-    return s.withColumn("in_source", F.lit(True)).unionByName(t.withColumn("in_source", F.lit(False)))
+    names = [f"text{i}" for i in range(len(spec.columns))]
+    sides = []
+    for df, other, extra, side in ((source, target, left, "source"), (target, source, right, "target")):
+        # The texts are columns of their own first, because the hash refers to each of them twice.
+        texts = df.select(*extra, *[t.alias(n) for t, n in zip(hash_texts(df, other, spec, side), names)])
+        hashed = texts.withColumn("row_hash", row_hash([F.col(n) for n in names])).drop(*names)
+        sides.append(hashed.withColumn("in_source", F.lit(side == "source")))
+    return sides[0].unionByName(sides[1])
 
 
 def _with_lanes(df: DataFrame, hashed: str, prefix: str = "") -> DataFrame:
@@ -84,22 +89,22 @@ def _side_rows() -> list[Column]:
 
 
 def _side_sums(prefix: str = "") -> list[Column]:
-    """Lane sums per side, as aggregates of tagged rows."""
+    """Limb sums per side, as aggregates of tagged rows."""
     return [
-        F.sum(F.when(mine, F.col(f"{prefix}lane{i}"))).alias(f"{side}_{prefix}sum{i}")
+        F.sum(F.when(mine, limb)).alias(f"{side}_{prefix}sum{n}")
         for side, mine in _sides().items()
-        for i in range(LANES)
+        for n, limb in enumerate(limb for i in range(LANES) for limb in limbs(F.col(f"{prefix}lane{i}")))
     ]
 
 
 def _merged_sums() -> list[Column]:
     """The same columns, from partial rows that already hold them."""
-    names = [f"{side}_{part}" for side in ("source", "target") for part in ["rows", *[f"sum{i}" for i in range(LANES)]]]
-    return [F.sum(n).alias(n) for n in names]
+    parts = ["rows", *[f"sum{i}" for i in range(LANES * LIMBS)]]
+    return [F.sum(f"{side}_{part}").alias(f"{side}_{part}") for side in _sides() for part in parts]
 
 
 def _side_digest(side: str, prefix: str = "") -> Column:
-    return digest(F.col(f"{side}_rows"), [F.col(f"{side}_{prefix}sum{i}") for i in range(LANES)])
+    return digest(F.col(f"{side}_rows"), [F.col(f"{side}_{prefix}sum{i}") for i in range(LANES * LIMBS)])
 
 
 def _unequal(grouped: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -211,24 +216,27 @@ def _place_hot(hot: DataFrame, by: list[str]) -> DataFrame:
 
 
 def hash_columns(source: DataFrame, target: DataFrame, spec: HashSpec, keys: Sequence[str]) -> DataFrame:
-    """Columns whose values differ over the keys that both sides have."""
+    """Columns whose values differ over the keys that both sides have.
+
+    The key set has one row per key; if a hot key makes the row side of the
+    join uneven, Spark splits that side at run time. The digests then fold
+    where the rows are.
+    """
     if not keys:
         raise ValueError("this level requires key columns")
     left, right, families = key_columns(source, target, keys, list(spec.pairs))
     by = [*keys, *families]
     sides = []
     for df, other, cols, side in ((source, target, left, "source"), (target, source, right, "target")):
-        texts = hash_texts(df, other, spec, side)
-        rows = df.select(*cols, *[t.alias(f"text{i}") for i, t in enumerate(texts)])
-        key_text = [rows[k].cast("string") for k in keys]
-        hashed = [row_hash([*key_text, rows[f"text{i}"]]).alias(f"hash{i}") for i in range(len(texts))]
-        sides.append(rows.select(*by, *hashed, F.lit(side == "source").alias("in_source")))
+        texts = [t.alias(f"text{i}") for i, t in enumerate(hash_texts(df, other, spec, side))]
+        sides.append(df.select(*cols, *texts, F.lit(side == "source").alias("in_source")))
     tagged = sides[0].unionByName(sides[1])
+    seen = tagged.groupBy(*by).agg(F.bool_or("in_source").alias("s"), F.bool_and("in_source").alias("only_s"))
+    shared = match_keys(tagged, seen.where("s AND NOT only_s"), by, "left_semi")
+    key_text = [F.col(k).cast("string") for k in keys]
     for i in range(len(spec.columns)):
-        tagged = _with_lanes(tagged, f"hash{i}", f"c{i}_")
-    sums = [c for i in range(len(spec.columns)) for c in _side_sums(f"c{i}_")]
-    per_key = tagged.groupBy(*by).agg(*_side_rows(), *sums)
-    shared = per_key.where("source_rows > 0 AND target_rows > 0").drop(*by)
+        shared = _with_lanes(shared.withColumn("hash", row_hash([*key_text, F.col(f"text{i}")])), "hash", f"c{i}_")
+    totals = shared.agg(*_side_rows(), *[c for i in range(len(spec.columns)) for c in _side_sums(f"c{i}_")])
     verdicts = [
         F.struct(
             F.lit(spec.target_name(column)).alias("column_name"),
@@ -237,7 +245,6 @@ def hash_columns(source: DataFrame, target: DataFrame, spec: HashSpec, keys: Seq
         )
         for i, column in enumerate(spec.columns)
     ]
-    totals = shared.agg(*[F.sum(n).alias(n) for n in shared.columns])
     return totals.select(F.inline(F.array(*verdicts))).where("source_hash <> target_hash")
 
 

@@ -13,8 +13,9 @@ from concord.functions.values import as_text, comparable, family
 from concord.operators.rows import Pair, require
 
 NULL_CHANGE_POINTS = 0.5
-MEDIAN_BAND = 1e-4  # half-width, in rank share, of the values read for a median
-SKETCH_ACCURACY = 100_000
+MEDIAN_BAND = 2e-4  # half-width, in rank share, of the band sketched around a median
+SKETCH_ACCURACY = 10_000
+MEDIAN_ZONES = 1_024  # equal steps the band is counted in
 # Typed slots of the value-frequency table.
 SLOTS = {"long": "bigint", "double": "double", "decimal": None, "text": "string", "time": "timestamp_ntz", "bool": "boolean"}
 
@@ -154,61 +155,95 @@ def profile_string(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return stats.withColumn("mixed_count", mixed).drop("populated")
 
 
+NUMERIC_METRICS = {
+    "min_value": F.min,
+    "max_value": F.max,
+    "mean_value": F.avg,
+    "stddev_value": F.stddev_samp,
+    "zero_count": lambda v: F.count_if(v == 0),
+    "negative_count": lambda v: F.count_if(v < 0),
+    "positive_count": lambda v: F.count_if(v > 0),
+    "populated": F.count,
+    "band": lambda v: F.percentile_approx(v, [0.5 - MEDIAN_BAND, 0.5 + MEDIAN_BAND], SKETCH_ACCURACY),
+}
+NUMERIC_FIELDS = (
+    "column_name string, min_value double, max_value double, mean_value double, stddev_value double, "
+    "zero_count bigint, negative_count bigint, positive_count bigint, populated bigint, band array<double>"
+)
+
+
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Range, mean, exact median, sample deviation and sign of number columns."""
-    cells = long_values(df, columns_of(df, ["number"], columns), "double")
-    v = F.col("value")
-    band = F.percentile_approx(v, [0.5 - MEDIAN_BAND, 0.5 + MEDIAN_BAND], SKETCH_ACCURACY)
-    stats = cells.groupBy("column_name").agg(
-        F.min(v).alias("min_value"),
-        F.max(v).alias("max_value"),
-        F.avg(v).alias("mean_value"),
-        F.stddev_samp(v).alias("stddev_value"),
-        F.count_if(v == 0).alias("zero_count"),
-        F.count_if(v < 0).alias("negative_count"),
-        F.count_if(v > 0).alias("positive_count"),
-        F.count(v).alias("populated"),
-        band.alias("band"),
-    )
-    median = exact_median(cells, stats.select("column_name", "populated", "band"))
+    """Range, mean, exact median, sample deviation and sign of number columns.
+
+    A first pass reads all metrics but the median as one row per table; it runs
+    when this is called, so that the median's pass has its band as constants.
+    """
+    chosen = columns_of(df, ["number"], columns)
+    wide = [
+        f(df[c].cast("double")).alias(f"{m}_{i}") for i, c in enumerate(chosen) for m, f in NUMERIC_METRICS.items()
+    ]
+    row = df.agg(*wide).first() if chosen else {}
+    rows = [(c, *[row[f"{m}_{i}"] for m in NUMERIC_METRICS]) for i, c in enumerate(chosen)]
+    stats = df.sparkSession.createDataFrame(rows, NUMERIC_FIELDS)
+    bands = {r[0]: (r[-2], *r[-1]) for r in rows if r[-2]}
+    median = exact_median(df, bands)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return stats.join(F.broadcast(median), "column_name", "left").select(
-        "column_name",
-        *[zero(c) for c in ("min_value", "max_value", "mean_value", "median_value", "stddev_value")],
-        "zero_count",
-        "negative_count",
-        "positive_count",
-    )
+    doubles = [zero(c) for c in ("min_value", "max_value", "mean_value", "median_value", "stddev_value")]
+    signs = ["zero_count", "negative_count", "positive_count"]
+    return stats.join(F.broadcast(median), "column_name", "left").select("column_name", *doubles, *signs)
 
 
-def exact_median(cells: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Exact median of each column from the values around it.
+def exact_median(df: DataFrame, bands: dict[str, tuple[int, float, float]]) -> DataFrame:
+    """Exact median of columns, from the few values around each.
 
-    ``bounds`` has one row per column: its count and a sketched (low, high)
-    band. Counting the cells below, inside and above the band tells which bands
-    hold the middle ranks, and only those are read value by value. The sketch
-    decides how little is read, never the answer.
+    ``bands`` gives a column's count and a sketched (low, high) around its
+    middle. One pass counts the cells below and above the band and the values
+    inside it, in zones of equal width; zone sizes tell which zones hold the
+    middle ranks, and only their values are ranked. Should the sketch miss, the
+    values outside the band are read too; else Spark drops that branch at run
+    time, because the zones it asks for are none.
     """
-    bounded = cells.where("value IS NOT NULL").join(F.broadcast(bounds), "column_name")
-    v = F.col("value")
-    zone = F.when(v < F.col("band")[0], 0).when(v <= F.col("band")[1], 1).otherwise(2)
-    zoned = bounded.withColumn("zone", zone)
+    if not bands:
+        return df.sparkSession.createDataFrame([], "column_name string, median_value double")
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            df[c].cast("double").alias("value"),
+            F.lit(n).cast("bigint").alias("populated"),
+            F.lit(low).alias("low"),
+            F.lit(high).alias("high"),
+        )
+        for c, (n, low, high) in bands.items()
+    ]
+    v, low, high = F.col("value"), F.col("low"), F.col("high")
+    step = F.when(high > low, F.floor((v - low) / (high - low) * MEDIAN_ZONES)).otherwise(0)
+    inside = F.least(F.greatest(step, F.lit(0)), F.lit(MEDIAN_ZONES - 1)) + 1
+    zone = F.when(v < low, 0).when(v > high, MEDIAN_ZONES + 1).otherwise(inside)
+    is_inside = F.col("zone").between(1, MEDIAN_ZONES)
+    zoned = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL").withColumn("zone", zone)
+    frequency = (
+        zoned.withColumn("value", F.when(is_inside, v))
+        .groupBy("column_name", "populated", "zone", "value")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
     ranks = F.array(F.expr("(populated - 1) div 2"), F.expr("populated div 2"))
-    by_column = Window.partitionBy("column_name").orderBy("zone")  # three rows per column
+    by_column = Window.partitionBy("column_name").orderBy("zone")  # at most MEDIAN_ZONES + 2 rows per column
     zones = (
-        zoned.groupBy("column_name", "zone")
-        .agg(F.count(F.lit(1)).alias("size"), F.first("populated").alias("populated"))
+        frequency.groupBy("column_name", "populated", "zone")
+        .agg(F.sum("copies").alias("size"))
         .withColumn("before", F.sum("size").over(by_column) - F.col("size"))
     )
     holds = F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
     wanted = zones.where(holds).select("column_name", "zone", "before")
-    frequency = (
-        zoned.join(F.broadcast(wanted), ["column_name", "zone"])
-        .groupBy("column_name", "zone", "before", "populated", "value")
+    near = frequency.join(F.broadcast(wanted.where(is_inside)), ["column_name", "zone"])
+    far = (
+        zoned.where(~is_inside)
+        .join(F.broadcast(wanted.where(~is_inside)), ["column_name", "zone"])
+        .groupBy("column_name", "zone", "populated", "before", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     order = Window.partitionBy("column_name", "zone").orderBy("value")
-    ranked = frequency.withColumn("end", F.col("before") + F.sum("copies").over(order))
+    ranked = near.unionByName(far).withColumn("end", F.col("before") + F.sum("copies").over(order))
     hits = F.size(F.filter(ranks, lambda r: (r >= F.col("end") - F.col("copies")) & (r < F.col("end"))))
     picked = ranked.withColumn("hits", hits).where("hits > 0")
     return picked.groupBy("column_name").agg((F.sum(v * F.col("hits")) / 2).alias("median_value"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
 from concord.functions.values import as_text, family, shared_type
-from concord.operators.skew import HOT_ROWS, hot_keys, match_keys, split_hot
+from concord.operators.skew import match_keys
 
 # Severity of each row category.
 ROW_SEVERITY = {
@@ -227,22 +227,16 @@ def missing_rows(
     return lonely.select(*[F.col(f"s.v{i}").alias(c) for i, c in enumerate(rows.columns)])
 
 
-def duplicate_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-
-
-def duplicate_rows(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row of a key that this side has more than once.
 
-    Hot keys are duplicated by definition: their rows are told apart on the map
-    side. What is left has no heavy key, so its shuffle stays even.
+    Counts fold before their shuffle and leave one row per key, so only the
+    row side of the join can be uneven, and that side Spark splits at run time.
     """
     keys = list(keys)
     require(df, keys, "given")
-    cold, hot = split_hot(df, hot_keys(df, keys, max(2, hot_rows)), keys)
-    repeated = duplicate_counts(cold, keys).where("copies > 1").drop("copies")
-    rows = match_keys(cold, repeated, keys, "left_semi")
-    return rows if hot is None else rows.unionByName(hot)
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return match_keys(df, repeated, keys, "left_semi")
 
 
 def key_values(df: DataFrame, keys: Sequence[str]) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +27,8 @@ class SchemaSeverities:
 
 
 PRECISION_SEVERITY = "Warning"
+# Names of the mapping strategies, in the order they are tried.
+MAPPING_STRATEGIES = ("exact", "case-insensitive", "snake-camel", "ordinal")
 
 
 def rename_source(catalog: DataFrame, mapping: Sequence[Pair]) -> DataFrame:
@@ -146,37 +147,41 @@ def compare_column_order(source: DataFrame, target: DataFrame, severities: Schem
 def suggest_mappings(source: DataFrame, target: DataFrame) -> DataFrame:
     """Suggested column pairs per table, each target column used once.
 
-    The choice is greedy in source order, so it runs once per pair of tables;
-    a group holds the columns of one table on both sides.
+    Source columns choose in order among the targets still free: same name,
+    same name but for case, same but for case and separators, same ordinal. The
+    choice is greedy, so it folds over one table's columns; an array holds no
+    more than the columns of a table.
     """
 
-    def suggest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        # Nested, so that it travels by value and workers need no copy of this package.
-        fold = lambda name: name.replace("_", "").replace("-", "").lower()
-        forms = {
-            "exact": lambda c: c.column_name,
-            "case-insensitive": lambda c: c.column_name.lower(),
-            "snake-camel": lambda c: fold(c.column_name),
-            "ordinal": lambda c: c.ordinal,
-        }
-        targets = list(right.sort_values(["ordinal", "column_name"]).itertuples())
-        candidates = {strategy: {} for strategy in forms}
-        for column in targets:
-            for strategy, form in forms.items():
-                candidates[strategy].setdefault(form(column), []).append(column.column_name)
-        taken, out = set(), []
-        for column in left.sort_values(["ordinal", "column_name"]).itertuples():
-            for strategy, form in forms.items():
-                free = (name for name in candidates[strategy].get(form(column), []) if name not in taken)
-                chosen = next(free, None)
-                if chosen is not None:
-                    taken.add(chosen)
-                    out.append((column.table_name, column.column_name, chosen, strategy))
-                    break
-        return pd.DataFrame(out, columns=["table_name", "source_column", "target_column", "strategy"])
-
-    fields = ["table_name", "column_name", "ordinal"]
-    grouped = source.select(*fields).groupBy("table_name").cogroup(target.select(*fields).groupBy("table_name"))
-    return grouped.applyInPandas(
-        suggest, "table_name string, source_column string, target_column string, strategy string"
-    )
+    def columns(df: DataFrame, name: str) -> DataFrame:
+        lower = F.lower("column_name")
+        folded = F.regexp_replace(lower, "[_-]", "")
+        entry = F.struct("ordinal", "column_name", lower.alias("lower"), folded.alias("folded"))
+        return df.groupBy("table_name").agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+    def choose(state: Column, c: Column) -> Column:
+        rank = lambda t: (
+            F.when(t.column_name == c.column_name, 1)
+            .when(t.lower == c.lower, 2)
+            .when(t.folded == c.folded, 3)
+            .when(t.ordinal == c.ordinal, 4)
+        )
+        ranked = F.transform(state.free, lambda t: F.struct(rank(t).alias("rank"), t.ordinal.alias("at"), t.column_name))
+        best = F.array_min(F.filter(ranked, lambda t: t["rank"].isNotNull()))
+        # A one-element array binds the choice, so that it is found once per column.
+        return F.transform(F.array(best), lambda b: F.when(b.isNull(), state).otherwise(taken(state, c, b)))[0]
+
+    def taken(state: Column, c: Column, b: Column) -> Column:
+        strategies = F.array(*map(F.lit, MAPPING_STRATEGIES))
+        pair = F.struct(
+            c.column_name.alias("source_column"),
+            b.column_name.alias("target_column"),
+            F.element_at(strategies, b["rank"]).alias("strategy"),
+        )
+        free = F.filter(state.free, lambda t: t.column_name != b.column_name)
+        return F.struct(free.alias("free"), F.array_append(state.pairs, pair).alias("pairs"))
+
+    both = columns(source, "s").join(columns(target, "t"), "table_name")
+    none = F.array().cast("array<struct<source_column:string,target_column:string,strategy:string>>")
+    start = F.struct(F.col("t").alias("free"), none.alias("pairs"))
+    return both.select("table_name", F.inline(F.aggregate("s", start, choose).pairs))
