@@ -208,11 +208,11 @@ def _place_hot(hot: DataFrame, by: list[str]) -> DataFrame:
     order = [*by, "in_source", "row_hash", "tie"]
     ranked = global_rank(hot.withColumn("tie", F.monotonically_increasing_id()), order, "rank")
     group = [*by, "in_source"]
-    starts = ranked.groupBy(*group).agg(F.min("rank").alias("start"))  # two rows per hot key at most
-    on = [ranked[c].eqNullSafe(starts[c]) for c in group]
-    joined = ranked.join(F.broadcast(starts), on)
+    starts = ranked.groupBy(*[F.col(c).alias(f"{c}__key") for c in group]).agg(F.min("rank").alias("start"))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}__key")) for c in group]
+    joined = ranked.join(F.broadcast(starts), on)  # two rows per hot key at most
     position = (F.col("rank") - F.col("start") + 1).cast("int")
-    return joined.select(*[ranked[c] for c in by], ranked["row_hash"], ranked["in_source"], position.alias("position"))
+    return joined.select(*by, "row_hash", "in_source", position.alias("position"))
 
 
 def hash_columns(source: DataFrame, target: DataFrame, spec: HashSpec, keys: Sequence[str]) -> DataFrame:

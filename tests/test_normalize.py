@@ -1,0 +1,106 @@
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
+
+
+def text(spark, value, rule):
+    df = spark.createDataFrame([(value,)], "v string")
+    return df.select(normalize(df.v, T.StringType(), rule)[0].alias("v")).first().v
+
+
+@pytest.mark.parametrize(
+    ("value", "rule", "expected"),
+    [
+        ("  Acme   Inc.  ", Rule(trim=True, case_sensitive=False, collapse_whitespace=True), "acme inc."),
+        ("  Acme   Inc.  ", Rule(collapse_whitespace=True), " Acme Inc. "),
+        (" \tx　", Rule(trim=True), "x"),
+        ("N/A", Rule(null_equivalents=("N/A",)), None),
+        (" N/A", Rule(null_equivalents=("N/A",), trim=True), "N/A"),
+        (None, Rule(trim=True, truncate_to="day"), None),
+        ("2026-07-20T12:00:00.500", Rule(timezone="America/New_York", truncate_to="second"), "2026-07-20T16:00:00.000Z"),
+        ("2026-01-20T12:00:00.000", Rule(timezone="America/New_York"), "2026-01-20T17:00:00.000Z"),
+        ("2026-07-20 12:34:56.789123", Rule(timezone="UTC"), "2026-07-20T12:34:56.789Z"),
+        ("2026-07-20 12:34:56.7", Rule(timezone="UTC"), "2026-07-20T12:34:56.700Z"),
+        ("2026-07-20", Rule(truncate_to="day"), "2026-07-20T00:00:00.000Z"),
+        ("2026-07-20 12:34", Rule(truncate_to="minute"), "2026-07-20T12:34:00.000Z"),
+        ("2026-07-20 12:34:56", Rule(truncate_to="hour"), "2026-07-20T12:00:00.000Z"),
+        ("2026-07-20 12:34:56", Rule(truncate_to="month"), "2026-07-01T00:00:00.000Z"),
+        ("2026-07-20 12:34:56", Rule(truncate_to="year"), "2026-01-01T00:00:00.000Z"),
+        ("2026-07-20 12:34:56.5", Rule(truncate_to="week"), "2026-07-20T12:34:56.500Z"),
+        ("2026-07-20T12:00:00Z", Rule(truncate_to="second"), "2026-07-20T12:00:00.000Z"),
+        ("2026-07-20T12:00:00+02:00", Rule(truncate_to="second"), "2026-07-20T10:00:00.000Z"),
+        ("2026-07-20T12:00:00-0530", Rule(truncate_to="second"), "2026-07-20T17:30:00.000Z"),
+        ("2026-02-30", Rule(truncate_to="day"), "2026-02-30"),
+        ("2024", Rule(truncate_to="day"), "2024"),
+        ("not a date", Rule(truncate_to="day"), "not a date"),
+        ("2026-07-20 12:34:56", Rule(), "2026-07-20 12:34:56"),
+    ],
+)
+def test_text_rules(spark, value, rule, expected):
+    assert text(spark, value, rule) == expected
+
+
+def test_date_rules_reach_native_timestamps(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2026-07-20 12:00:30.5' AS t, 5 AS n")
+    rule = Rule(timezone="America/New_York", truncate_to="minute", trim=True)
+    value, kind = normalize(df.t, df.schema["t"].dataType, rule)
+    number, _ = normalize(df.n, df.schema["n"].dataType, rule)
+    row = df.select(value.cast("string").alias("t"), number.alias("n")).first()
+    assert (row.t, row.n, kind) == ("2026-07-20 16:00:00", 5, T.TimestampNTZType())
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_results_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert text(spark, "2026-03-08 02:30:00", Rule(truncate_to="second")) == "2026-03-08T02:30:00.000Z"
+        df = spark.sql("SELECT TIMESTAMP_NTZ '2026-03-08 02:30:15' AS t")
+        value, _ = normalize(df.t, df.schema["t"].dataType, Rule(truncate_to="minute"))
+        assert df.select(value.cast("string").alias("t")).first().t == "2026-03-08 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+NUMBER, TEXT = T.DoubleType(), T.StringType()
+
+
+@pytest.mark.parametrize(
+    ("a", "a_type", "b", "b_type", "tolerance", "expected"),
+    [
+        (1.0, NUMBER, 1.0, NUMBER, None, True),
+        (1.0, NUMBER, 1.005, NUMBER, None, False),
+        (1.0, NUMBER, 1.005, NUMBER, Tolerance(absolute=0.01), True),
+        (100.0, NUMBER, 101.0, NUMBER, Tolerance(percentage=1.0), True),
+        (100.0, NUMBER, 102.0, NUMBER, Tolerance(percentage=1.0), False),
+        (100.0, NUMBER, 100.5, NUMBER, Tolerance(absolute=0.1, percentage=1.0), True),
+        (0.0, NUMBER, 0.0, NUMBER, Tolerance(percentage=1.0), True),
+        (0.0, NUMBER, 1.0, NUMBER, Tolerance(percentage=1.0), False),
+        (None, NUMBER, None, NUMBER, None, True),
+        (None, NUMBER, 1.0, NUMBER, Tolerance(absolute=9.0), False),
+        ("125.3700", TEXT, "125.37", TEXT, Tolerance(absolute=0.01), True),
+        ("125.3700", TEXT, "125.37", TEXT, None, False),
+        ("125.37", TEXT, 125.37, NUMBER, Tolerance(absolute=0.01), True),
+        ("125.37", TEXT, 125.37, NUMBER, None, False),
+        ("abc", TEXT, "abc", TEXT, Tolerance(absolute=1.0), True),
+        ("abc", TEXT, "abd", TEXT, Tolerance(absolute=1.0), False),
+        ("1d", TEXT, "1.0", TEXT, Tolerance(absolute=1.0), False),
+        ("Infinity", TEXT, "1e999", TEXT, Tolerance(absolute=1.0), False),
+        (float("nan"), NUMBER, float("nan"), NUMBER, None, True),
+        (None, TEXT, None, NUMBER, None, True),
+    ],
+)
+def test_equality(spark, a, a_type, b, b_type, tolerance, expected):
+    schema = T.StructType([T.StructField("a", a_type), T.StructField("b", b_type)])
+    df = spark.createDataFrame([(a, b)], schema)
+    assert df.select(values_equal(df.a, a_type, df.b, b_type, tolerance).alias("e")).first().e is expected
+
+
+def test_numbers_of_different_types_compare_as_numbers(spark):
+    df = spark.sql("SELECT 1 AS i, CAST(1.00 AS DECIMAL(5,2)) AS d, CAST(1 AS DOUBLE) AS f, '1' AS s")
+    kind = {c: df.schema[c].dataType for c in df.columns}
+    equal = lambda x, y: values_equal(F.col(x), kind[x], F.col(y), kind[y])
+    row = df.select(equal("i", "d").alias("a"), equal("d", "f").alias("b"), equal("i", "s").alias("c")).first()
+    assert tuple(row) == (True, True, False)
