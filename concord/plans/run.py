@@ -88,14 +88,15 @@ class Run:
 
     name: str
     findings: DataFrame
-    severities: DataFrame
     summary: DataFrame
+    labels: tuple[str, str]
     schema: DataFrame | None = None
     profile: DataFrame | None = None
     volume: DataFrame | None = None
     rows: DataFrame | None = None
     keys: tuple[str, ...] = ()
     top_values: DataFrame | None = None
+    readable: bool = True
 
 
 def run_comparison(spark: SparkSession, definition: Definition, only: Collection[str] | None = None) -> Run:
@@ -109,8 +110,9 @@ def run_comparison(spark: SparkSession, definition: Definition, only: Collection
         source, target = load(spark, definition.source), load(spark, definition.target)
     except AnalysisException:
         none = spark.createDataFrame([], FINDINGS)
-        failed = spark.createDataFrame([("Failure", 1)], "severity string, findings bigint")
-        return Run(definition.name, none, failed, _summary(definition.name, failed, None, labels))
+        summary = summarize(none, definition.name, labels)
+        failed = summary.withColumns({"status": F.lit("failed"), "failed": F.lit(1).cast("bigint")})
+        return Run(definition.name, none, failed, labels, readable=False)
     source, target, pairs = derive(source, target, definition.mapping, definition.exclude_columns)
 
     frames: dict[str, DataFrame] = {}
@@ -126,25 +128,11 @@ def run_comparison(spark: SparkSession, definition: Definition, only: Collection
     if checks.row_level:
         frames["rows"] = _compare(source, target, definition, checks, pairs)
 
-    listed, counted = [], []
-    for kind, frame in frames.items():
-        found = _as_findings(kind, frame, definition.keys, checks.max_differences)
-        listed.append(found)
-        counted.append(frame.select("severity", _weight(frame)) if kind == "rows" else found.select("severity", "findings"))
-    empty = spark.createDataFrame([], FINDINGS)
-    findings = _union(listed) if listed else empty
-    severities = (_union(counted) if counted else empty.select("severity", "findings")).groupBy("severity")
-    severities = severities.agg(F.sum("findings").alias("findings"))
+    listed = [_as_findings(kind, frame, definition.keys, checks.max_differences) for kind, frame in frames.items()]
+    findings = _union(listed) if listed else spark.createDataFrame([], FINDINGS)
     tops = top_values(source, checks.top_values) if checks.profile and checks.top_values else None
-    return Run(
-        definition.name,
-        findings,
-        severities,
-        _summary(definition.name, severities, frames.get("volume"), labels),
-        keys=tuple(definition.keys),
-        top_values=tops,
-        **frames,
-    )
+    summary = summarize(findings, definition.name, labels)
+    return Run(definition.name, findings, summary, labels, keys=tuple(definition.keys), top_values=tops, **frames)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -154,10 +142,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _weight(frame: DataFrame) -> Column:
-    return F.col("findings").cast("bigint") if "findings" in frame.columns else F.lit(1).cast("bigint").alias("findings")
-
-
 def _compare(source: DataFrame, target: DataFrame, definition: Definition, checks: Checks, pairs: list[Pair]):
     keys = list(definition.keys)
     if checks.strategy == "full":
@@ -201,41 +185,43 @@ def _shaped(kind: str, given: dict[str, Column]) -> list[Column]:
 
 
 def _row_findings(frame: DataFrame, keys: Sequence[str], max_differences: int | None) -> DataFrame:
-    """One row per key and category; all matching rows in one row that counts them."""
-    given = {
-        "severity": F.col("severity"),
-        "message": F.col("message"),
-        "category": F.col("category"),
-        "findings": F.col("findings"),
-    }
+    """One row per key and category; rows that are not listed are counted in one per category.
+
+    Matching rows are never listed, nor are differences beyond a limit, so the
+    findings always add up to all rows.
+    """
+    given = {c: F.col(c) for c in ("severity", "message", "category", "findings")}
     listed = frame.where("category <> 'matching'")
+    rest = frame.where("category = 'matching'").select(*given)
     if max_differences is not None:
+        everything = listed
         listed = listed.orderBy(*keys, "category").limit(max_differences)
+        negative = listed.withColumn("findings", -F.col("findings"))
+        unlisted = F.lit("Further findings beyond the listed ones.")
+        beyond = everything.select(*given).unionByName(negative.select(*given)).withColumn("message", unlisted)
+        rest = rest.unionByName(beyond)
+    counted = rest.groupBy("category", "severity", "message").agg(F.sum("findings").alias("findings"))
     each = {**given, "key_values": key_values(listed, keys), "column_differences": F.col("differences")}
-    matching = frame.where("category = 'matching'").groupBy("category", "severity", "message")
-    counted = matching.agg(F.sum("findings").alias("findings"))
-    return listed.select(*_shaped("rows", each)).unionByName(counted.select(*_shaped("rows", given)))
+    return listed.select(*_shaped("rows", each)).unionByName(counted.where("findings > 0").select(*_shaped("rows", given)))
 
 
-def _summary(name: str, severities: DataFrame, volume: DataFrame | None, labels: tuple[str, str]) -> DataFrame:
+def summarize(findings: DataFrame, name: str, labels: tuple[str, str]) -> DataFrame:
     """One row: status, finding counts by outcome, row counts and side labels."""
-    counts = severities.select(
-        F.when(F.col("severity").isin(*PASSED), F.col("findings")).alias("passed"),
-        F.when(F.col("severity") == "Warning", F.col("findings")).alias("warnings"),
-        F.when(F.col("severity").isin(*FAILED), F.col("findings")).alias("failed"),
+    severity, n = F.col("severity"), F.col("findings")
+    total = lambda test, value: F.coalesce(F.sum(F.when(test, value)), F.lit(0)).cast("bigint")
+    counted = F.col("category") == "row-count"
+    sums = findings.agg(
+        total(severity.isin(*PASSED), n).alias("passed"),
+        total(severity == "Warning", n).alias("warnings"),
+        total(severity.isin(*FAILED), n).alias("failed"),
+        total(counted, F.col("source_value").try_cast("bigint")).alias("source_rows"),
+        total(counted, F.col("target_value").try_cast("bigint")).alias("target_rows"),
     )
-    fields = ["passed", "warnings", "failed", "source_rows", "target_rows"]
-    parts = [counts] if volume is None else [counts, volume.select("source_rows", "target_rows")]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part, allowMissingColumns=True)
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-    sums = joined.agg(*[total(c) if c in joined.columns else F.lit(0).cast("bigint").alias(c) for c in fields])
     status = F.when(F.col("failed") > 0, "failed").when(F.col("warnings") > 0, "warning").otherwise("passed")
     return sums.select(
         F.lit(name).alias("comparison"),
         status.alias("status"),
-        *fields,
+        *sums.columns,
         (F.col("target_rows") - F.col("source_rows")).alias("difference"),
         F.lit(labels[0]).alias("source_label"),
         F.lit(labels[1]).alias("target_label"),

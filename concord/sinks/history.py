@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.plans.run import FINDINGS, Run
+from concord.plans.run import FINDINGS, Run, summarize
 
 RUNS = "runs"
 FINDINGS_DIR = "findings"
@@ -35,8 +35,11 @@ def persist_run(run: Run, root: str, timestamp: str | None = None) -> str:
         raise ValueError(f"run {run_id!r} is already recorded")
     tag = F.lit(run_id)
     run.findings.withColumn("run_id", tag).write.partitionBy("run_id").mode("append").parquet(f"{root}/{FINDINGS_DIR}")
-    summary = run.summary.withColumn("timestamp", F.lit(timestamp)).withColumn("run_id", tag)
-    summary.write.partitionBy("run_id").mode("append").parquet(f"{root}/{RUNS}")
+    # The checks ran once for the write; the summary comes from what was written.
+    stored = load_run(spark, root, run_id)
+    summary = summarize(stored, run.name, run.labels) if run.readable else run.summary
+    dated = summary.withColumn("timestamp", F.lit(timestamp)).withColumn("run_id", tag)
+    dated.write.partitionBy("run_id").mode("append").parquet(f"{root}/{RUNS}")
     return run_id
 
 
