@@ -25,6 +25,8 @@ def family(dtype: T.DataType) -> str:
 
 def shared_type(a: T.DataType, b: T.DataType) -> T.DataType:
     """The type in which two values of one family are compared without loss."""
+    if a == b and not isinstance(a, _FLOATING):
+        return a
     if family(a) == "number":
         if isinstance(a, _FLOATING) or isinstance(b, _FLOATING):
             return T.DoubleType()

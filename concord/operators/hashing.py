@@ -210,7 +210,7 @@ def _place_hot(hot: DataFrame, by: list[str]) -> DataFrame:
     group = [*by, "in_source"]
     starts = ranked.groupBy(*[F.col(c).alias(f"{c}__key") for c in group]).agg(F.min("rank").alias("start"))
     on = [F.col(c).eqNullSafe(F.col(f"{c}__key")) for c in group]
-    joined = ranked.join(F.broadcast(starts), on)  # two rows per hot key at most
+    joined = ranked.join(starts, on)  # two rows per hot key at most
     position = (F.col("rank") - F.col("start") + 1).cast("int")
     return joined.select(*by, "row_hash", "in_source", position.alias("position"))
 

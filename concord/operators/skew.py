@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from concord.session import pinned
 
-HOT_SHARE = 0.001
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
+BROADCAST_KEYS = 100_000
 BLOCK = 10_000
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in these
 
@@ -24,32 +24,26 @@ def match_keys(df: DataFrame, keyset: DataFrame, keys: list[str], how: str, broa
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys that hold more than one row in a thousand, or None if there are none.
+    """Keys with at least ``min_rows`` rows, or None if there are none.
 
-    The sketch returns every such key and at most a thousand candidates, in one
-    pass without a shuffle by key; their exact counts decide. The result is a
-    local frame of at most a thousand rows, so it is safe to broadcast.
+    Only keys are read, and their counts fold on the map side. The few that
+    remain are pinned, so that every later use sees the same ones.
     """
-    packed = df.select(F.struct(*keys).alias("key"))
-    found = packed.stat.freqItems(["key"], HOT_SHARE)
-    candidates = found.select(F.explode("key_freqItems").alias("key")).select("key.*")
-    counted = (
-        match_keys(df, candidates, keys, "left_semi", broadcast=True)
-        .groupBy(*keys)
-        .count()
-        .where(F.col("count") >= min_rows)
-        .drop("count")
-    )
-    rows = counted.collect()
-    return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= min_rows)
+    found = pinned(counted.select(*keys))
+    return None if found.isEmpty() else found
 
 
 def split_hot(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys and rows of hot keys, told apart on the map side."""
+    """Rows of ordinary keys and rows of hot keys.
+
+    Few hot keys, which is what to expect, are broadcast; more of them are left
+    to a join that Spark splits at run time.
+    """
     if hot is None:
         return df, None
-    cold = match_keys(df, hot, keys, "left_anti", broadcast=True)
-    return cold, match_keys(df, hot, keys, "left_semi", broadcast=True)
+    few = hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return match_keys(df, hot, keys, "left_anti", few), match_keys(df, hot, keys, "left_semi", few)
 
 
 def expand(df: DataFrame, count: str, by: list[str]) -> DataFrame:
