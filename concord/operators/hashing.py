@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from concord.functions.digest import LANES, LIMBS, canonical_text, digest, lanes, limbs, row_hash
 from concord.functions.normalize import Rule, normalize
 from concord.functions.values import family
-from concord.operators.rows import Pair, as_pairs, key_columns, require, target_key
+from concord.operators.rows import Pair, as_pairs, key_columns, key_name, require, target_key
 from concord.operators.skew import HOT_ROWS, global_rank, hot_keys, match_keys, split_hot
 
 LEVELS = ("table", "partition", "key-range", "row", "column")
@@ -143,8 +143,9 @@ def hash_partitions(source: DataFrame, target: DataFrame, spec: HashSpec, partit
     """Partition values whose rows hash differently, over the union of values."""
     left, right, families = key_columns(source, target, [partition_column], list(spec.pairs))
     tagged = _with_lanes(_both_sides(source, target, spec, left, right), "row_hash")
-    grouped = tagged.groupBy(partition_column, *families).agg(*_side_rows(), *_side_sums())
-    return _unequal(grouped.withColumnRenamed(partition_column, "partition_value"), ["partition_value"])
+    value = F.col(key_name(partition_column)).alias("partition_value")
+    grouped = tagged.groupBy(value, *families).agg(*_side_rows(), *_side_sums())
+    return _unequal(grouped, ["partition_value"])
 
 
 def hash_key_ranges(source: DataFrame, target: DataFrame, spec: HashSpec, key: str, range_size: int) -> DataFrame:
@@ -163,8 +164,8 @@ def hash_key_ranges(source: DataFrame, target: DataFrame, spec: HashSpec, key: s
     elif numeric[0] != "number":
         tagged = tagged.where(F.lit(False))
     per_key = (
-        _with_lanes(tagged.where(F.col(key).isNotNull()), "row_hash")
-        .groupBy(F.col(key).alias("range_key"))
+        _with_lanes(tagged.where(F.col(key_name(key)).isNotNull()), "row_hash")
+        .groupBy(F.col(key_name(key)).alias("range_key"))
         .agg(*_side_rows(), *_side_sums())
     )
     ranked = global_rank(per_key, ["range_key"], "rank").withColumn("bucket", F.floor(F.col("rank") / range_size))
@@ -186,7 +187,7 @@ def hash_row_compare(
     if not keys:
         raise ValueError("this level requires key columns")
     left, right, families = key_columns(source, target, keys, list(spec.pairs))
-    by = [*keys, *families]
+    by = [*map(key_name, keys), *families]
     tagged = _both_sides(source, target, spec, left, right)
     cold, hot = split_hot(tagged, hot_keys(tagged, by, hot_rows), by)
     placed = cold.repartition(*by).withColumn(
@@ -199,7 +200,7 @@ def hash_row_compare(
         placed.groupBy(*by, "position")
         .agg(value(F.col("in_source")).alias("source_hash"), value(~F.col("in_source")).alias("target_hash"))
         .where(~F.col("source_hash").eqNullSafe(F.col("target_hash")))
-        .select(*keys, "position", "source_hash", "target_hash")
+        .select(*map(key_name, keys), "position", "source_hash", "target_hash")
     )
 
 
@@ -225,7 +226,7 @@ def hash_columns(source: DataFrame, target: DataFrame, spec: HashSpec, keys: Seq
     if not keys:
         raise ValueError("this level requires key columns")
     left, right, families = key_columns(source, target, keys, list(spec.pairs))
-    by = [*keys, *families]
+    by = [*map(key_name, keys), *families]
     sides = []
     for df, other, cols, side in ((source, target, left, "source"), (target, source, right, "target")):
         texts = [t.alias(f"text{i}") for i, t in enumerate(hash_texts(df, other, spec, side))]
@@ -233,7 +234,7 @@ def hash_columns(source: DataFrame, target: DataFrame, spec: HashSpec, keys: Seq
     tagged = sides[0].unionByName(sides[1])
     seen = tagged.groupBy(*by).agg(F.bool_or("in_source").alias("s"), F.bool_and("in_source").alias("only_s"))
     shared = match_keys(tagged, seen.where("s AND NOT only_s"), by, "left_semi")
-    key_text = [F.col(k).cast("string") for k in keys]
+    key_text = [F.col(key_name(k)).cast("string") for k in keys]
     for i in range(len(spec.columns)):
         shared = _with_lanes(shared.withColumn("hash", row_hash([*key_text, F.col(f"text{i}")])), "hash", f"c{i}_")
     totals = shared.agg(*_side_rows(), *[c for i in range(len(spec.columns)) for c in _side_sums(f"c{i}_")])

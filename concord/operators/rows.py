@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -65,8 +66,22 @@ def literal_map(values: Mapping[str, str], key: Column) -> Column:
     return out
 
 
+# Names that results and intermediate frames use themselves.
+RESERVED = {
+    "s", "t", "in_source", "in_target", "source_rows", "target_rows", "differences", "entry", "category", "severity",
+    "findings", "message", "row_hash", "hash", "position", "source_hash", "target_hash", "rank", "part", "place", "offset",
+    "size", "bucket", "tie", "start", "only_s", "d", "column_name", "source_value", "target_value", "block", "copy",
+}
+
+
+def key_name(key: str) -> str:
+    """Name of a key in a result: its own, unless the result uses that name itself."""
+    taken = key.lower() in RESERVED or re.fullmatch(r"(text|lane|c\d+_lane|key_family_)\d+", key.lower())
+    return f"key_{key}" if taken else key
+
+
 def key_columns(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: list[Pair]):
-    """Key expressions of both sides under the source names, of one type each.
+    """Key expressions of both sides under their result names, of one type each.
 
     Keys of two families can never meet, so each side of such a key also gets
     a part that names its family.
@@ -81,13 +96,13 @@ def key_columns(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs
         a, b = source.schema[k].dataType, target.schema[tk].dataType
         if family(a) == family(b):
             common = shared_type(a, b)
-            left.append(source[k].cast(common).alias(k))
-            right.append(target[tk].cast(common).alias(k))
+            left.append(source[k].cast(common).alias(key_name(k)))
+            right.append(target[tk].cast(common).alias(key_name(k)))
         else:
             mark = f"key_family_{i}"
             families.append(mark)
-            left += [as_text(source[k], a).alias(k), F.lit(family(a)).alias(mark)]
-            right += [as_text(target[tk], b).alias(k), F.lit(family(b)).alias(mark)]
+            left += [as_text(source[k], a).alias(key_name(k)), F.lit(family(a)).alias(mark)]
+            right += [as_text(target[tk], b).alias(key_name(k)), F.lit(family(b)).alias(mark)]
     return left, right, families
 
 
@@ -108,7 +123,7 @@ def paired_rows(
     other = target.select(*right_keys, zero.alias("in_source"), one.alias("in_target"), t.alias("t"))
     return (
         sides.unionByName(other, allowMissingColumns=True)
-        .groupBy(*keys, *families)
+        .groupBy(*map(key_name, keys), *families)
         .agg(
             F.sum("in_source").alias("source_rows"),
             F.sum("in_target").alias("target_rows"),
@@ -134,7 +149,7 @@ def compare_rows(
     rows of a duplicated key. Rules and tolerances go by target column name.
     """
     rules, tolerances = rules or {}, numeric_tolerance or {}
-    pairs = as_pairs(mapping)
+    pairs, named = as_pairs(mapping), [key_name(k) for k in keys]
     active = [p for p in pairs if p.target not in set(ignore_columns)]
     absent = next((p for p in active if p.source not in source.columns or p.target not in target.columns), None)
     left, right, types = {}, {}, []
@@ -189,9 +204,9 @@ def compare_rows(
     )
     return (
         keyed.withColumn("differences", F.when(alone, differing).otherwise(none))
-        .select(*keys, ns, nt, "differences", F.explode(entries).alias("entry"))
+        .select(*named, ns, nt, "differences", F.explode(entries).alias("entry"))
         .select(
-            *keys,
+            *named,
             "source_rows",
             "target_rows",
             category.alias("category"),
@@ -205,7 +220,8 @@ def compare_rows(
 
 def column_differences(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per differing column of a matched pair of rows."""
-    return compared.select(*keys, F.explode("differences").alias("d")).select(*keys, "d.*")
+    named = [key_name(k) for k in keys]
+    return compared.select(*named, F.explode("differences").alias("d")).select(*named, "d.*")
 
 
 def category_counts(compared: DataFrame) -> DataFrame:
@@ -235,7 +251,7 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     require(df, keys, "given")
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
     return match_keys(df, repeated, keys, "left_semi")
 
 

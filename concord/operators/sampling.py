@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SALTS = 64
+SALT, PLACE = "__salt", "__place"  # helper columns, dropped from the result
 
 
 def _positive(value: int, name: str) -> None:
@@ -61,12 +62,12 @@ def stratified_sample(
     _positive(per_stratum, "per_stratum")
     order = [F.col(c) for c in dict.fromkeys([order_by or stratify_by, *tie_break])]
     salt = F.spark_partition_id() % SALTS
-    parts = Window.partitionBy(stratify_by, "salt").orderBy(*order)
+    parts = Window.partitionBy(stratify_by, SALT).orderBy(*order)
     whole = Window.partitionBy(stratify_by).orderBy(*order)
     place = F.row_number()
-    salted = df.withColumn("salt", salt).withColumn("place", place.over(parts)).where(F.col("place") <= per_stratum)
-    best = salted.withColumn("place", place.over(whole)).where(F.col("place") <= per_stratum)
-    return best.drop("salt", "place")
+    salted = df.withColumn(SALT, salt).withColumn(PLACE, place.over(parts)).where(F.col(PLACE) <= per_stratum)
+    best = salted.withColumn(PLACE, place.over(whole)).where(F.col(PLACE) <= per_stratum)
+    return best.drop(SALT, PLACE)
 
 
 def date_window(df: DataFrame, column: str, start: str, end: str) -> DataFrame:

@@ -29,7 +29,7 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFr
     Only keys are read, and their counts fold on the map side. The few that
     remain are pinned, so that every later use sees the same ones.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= min_rows)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies")).where(F.col("__copies") >= min_rows)
     found = pinned(counted.select(*keys))
     return None if found.isEmpty() else found
 

@@ -13,7 +13,7 @@ from concord.functions.normalize import Rule, Tolerance
 from concord.operators.hashing import HashSpec, hash_texts
 from concord.functions.digest import row_hash
 from concord.operators.profile import profile_diff, top_values
-from concord.operators.rows import DIFFERENCE, Pair, compare_rows, key_values, target_key
+from concord.operators.rows import DIFFERENCE, Pair, compare_rows, key_name, key_values, target_key
 from concord.operators.schema import SchemaSeverities, compare_schemas
 from concord.operators.volume import compare_volume
 from concord.sources.catalog import describe
@@ -128,11 +128,12 @@ def run_comparison(spark: SparkSession, definition: Definition, only: Collection
     if checks.row_level:
         frames["rows"] = _compare(source, target, definition, checks, pairs)
 
-    listed = [_as_findings(kind, frame, definition.keys, checks.max_differences) for kind, frame in frames.items()]
+    keys = tuple(key_name(k) for k in definition.keys)
+    listed = [_as_findings(kind, frame, keys, checks.max_differences) for kind, frame in frames.items()]
     findings = _union(listed) if listed else spark.createDataFrame([], FINDINGS)
     tops = top_values(source, checks.top_values) if checks.profile and checks.top_values else None
     summary = summarize(findings, definition.name, labels)
-    return Run(definition.name, findings, summary, labels, keys=tuple(definition.keys), top_values=tops, **frames)
+    return Run(definition.name, findings, summary, labels, keys=keys, top_values=tops, **frames)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -153,12 +154,13 @@ def _compare(source: DataFrame, target: DataFrame, definition: Definition, check
         return compare_rows(source, target, keys, pairs, definition.rules)
     spec = HashSpec(tuple(p.source for p in present), tuple(present), definition.rules, None)
     named = [target_key(k, pairs) for k in keys]
-    s = source.select(*keys, row_hash(hash_texts(source, target, spec, "source")).alias("row_hash"))
+    keyed = [key_name(k) for k in keys]
+    s = source.select(*[F.col(k).alias(n) for k, n in zip(keys, keyed)], row_hash(hash_texts(source, target, spec, "source")).alias("row_hash"))
     t = target.select(
-        *[F.col(n).alias(k) for k, n in zip(keys, named)],
+        *[F.col(t).alias(n) for t, n in zip(named, keyed)],
         row_hash(hash_texts(target, source, spec, "target")).alias("row_hash"),
     )
-    return compare_rows(s, t, keys, [Pair("row_hash", "row_hash")])
+    return compare_rows(s, t, keyed, [Pair("row_hash", "row_hash")])
 
 
 def _as_findings(kind: str, frame: DataFrame, keys: Sequence[str], max_differences: int | None) -> DataFrame:

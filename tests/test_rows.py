@@ -3,8 +3,11 @@ from pyspark.sql import functions as F
 
 from concord.functions.normalize import Rule, Tolerance
 from concord.operators.rows import (
-    Pair, category_counts, column_differences, compare_rows, duplicate_rows, missing_rows,
+    Pair, category_counts, column_differences, compare_rows, duplicate_rows, key_name, missing_rows,
 )
+from concord.operators.hashing import compare_by_hash
+from concord.operators.sampling import stratified_sample
+from concord.plans.run import Checks, Definition, run_comparison
 from concord.sources.sides import Derived, derive
 from seeded import CUSTOMER_MAPPING, by_key, pair
 
@@ -139,3 +142,20 @@ def test_missing_and_duplicate_rows(spark):
 def test_null_keys_can_be_duplicates(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c")], "k int, v string")
     assert sorted(r.v for r in duplicate_rows(df, ["k"]).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("key", ["category", "s", "position", "row_hash", "text0", "copies", "in_source"])
+def test_any_key_name_works(spark, key):
+    source = spark.createDataFrame([(1, "a"), (2, "b")], ["id", "v"]).withColumnRenamed("id", key)
+    target = spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], ["id", "v"]).withColumnRenamed("id", key)
+    found = by_key(compare_rows(source, target, [key], [("v", "v")]), key_name(key))
+    assert found == {1: [(M, 1)], 2: [(D, 1)], 3: [("missing-from-source", 1)]}
+    assert duplicate_rows(source.union(source.limit(1)), [key]).count() == 2
+    for level, extra in (("row", {}), ("column", {}), ("key-range", {"range_size": 1}), ("partition", {"partition_column": key})):
+        found = compare_by_hash(source, target, level, ["v"], [key], **extra).mismatches
+        assert found.count() == {"row": 2, "column": 1, "key-range": 2, "partition": 2}[level]
+    checks = Checks(row_level=True, strategy="hash")
+    run = run_comparison(spark, Definition("n", source, target, [key], [("v", "v")], checks=checks))
+    assert run.summary.first().failed == 2
+    sample = stratified_sample(source.withColumn("salt", F.lit("keep")), key, 1)
+    assert sample.columns == [key, "v", "salt"] and {r.salt for r in sample.collect()} == {"keep"}
