@@ -157,15 +157,18 @@ def hash_key_ranges(source: DataFrame, target: DataFrame, spec: HashSpec, key: s
     if range_size <= 0:
         raise ValueError("range_size must be positive")
     left, right, families = key_columns(source, target, [key], list(spec.pairs))
-    numeric = [family(source.schema[key].dataType), family(target.schema[target_key(key, list(spec.pairs))].dataType)]
+    kinds = [source.schema[key].dataType, target.schema[target_key(key, list(spec.pairs))].dataType]
+    numbers = [k for k in kinds if family(k) == "number"]
     tagged = _both_sides(source, target, spec, left, right)
-    if families:
+    range_key = F.col(key_name(key))
+    if families:  # one side at most has number keys, and both show their keys as text
         tagged = tagged.where(F.col(families[0]) == "number")
-    elif numeric[0] != "number":
+        range_key = range_key.try_cast(numbers[0]) if numbers else range_key
+    elif not numbers:
         tagged = tagged.where(F.lit(False))
     per_key = (
-        _with_lanes(tagged.where(F.col(key_name(key)).isNotNull()), "row_hash")
-        .groupBy(F.col(key_name(key)).alias("range_key"))
+        _with_lanes(tagged.where(range_key.isNotNull()), "row_hash")
+        .groupBy(range_key.alias("range_key"))
         .agg(*_side_rows(), *_side_sums())
     )
     ranked = global_rank(per_key, ["range_key"], "rank").withColumn("bucket", F.floor(F.col("rank") / range_size))

@@ -56,18 +56,17 @@ def stratified_sample(
 ) -> DataFrame:
     """At most ``per_stratum`` rows of each value of a column.
 
-    Each stratum is first cut in salted parts, so a stratum that holds most of
-    the rows is ranked by many tasks and only their winners meet.
+    Winners are found per input partition, then per group of partitions, then
+    overall, so a stratum that holds most of the rows is ranked by many tasks
+    and no task sees more than the winners of the step before.
     """
     _positive(per_stratum, "per_stratum")
     order = [F.col(c) for c in dict.fromkeys([order_by or stratify_by, *tie_break])]
-    salt = F.spark_partition_id() % SALTS
-    parts = Window.partitionBy(stratify_by, SALT).orderBy(*order)
-    whole = Window.partitionBy(stratify_by).orderBy(*order)
-    place = F.row_number()
-    salted = df.withColumn(SALT, salt).withColumn(PLACE, place.over(parts)).where(F.col(PLACE) <= per_stratum)
-    best = salted.withColumn(PLACE, place.over(whole)).where(F.col(PLACE) <= per_stratum)
-    return best.drop(SALT, PLACE)
+    found = df.withColumn(SALT, F.spark_partition_id())
+    for part in (F.col(SALT), F.col(SALT) % SALTS, F.lit(0)):
+        ranking = Window.partitionBy(stratify_by, part).orderBy(*order)
+        found = found.withColumn(PLACE, F.row_number().over(ranking)).where(F.col(PLACE) <= per_stratum)
+    return found.drop(SALT, PLACE)
 
 
 def date_window(df: DataFrame, column: str, start: str, end: str) -> DataFrame:

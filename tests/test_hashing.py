@@ -101,6 +101,13 @@ def test_key_ranges_skip_keys_that_are_no_numbers(spark):
     assert compare_by_hash(source, source, "key-range", ["v"], ["k"], range_size=5).mismatches.isEmpty()
 
 
+def test_key_ranges_keep_number_order_when_the_other_side_has_text(spark):
+    source = spark.createDataFrame([(2, "a"), (10, "b"), (9, "c")], "k int, v string")
+    target = spark.createDataFrame([("2", "a"), ("x", "b")], "k string, v string")
+    found = compare_by_hash(source, target, "key-range", ["v"], ["k"], range_size=2).mismatches.collect()
+    assert sorted((r.range_start, r.range_end, r.source_rows, r.target_rows) for r in found) == [(2, 9, 2, 0), (10, 10, 1, 0)]
+
+
 def test_hot_keys_pair_like_ordinary_ones(spark):
     base = spark.range(600).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).cast("string").alias("v"))
     nulls = spark.range(40).select(F.lit(None).cast("bigint").alias("k"), (F.col("id") % 2).cast("string").alias("v"))
