@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from concord.functions.values import as_text, comparable, family
 from concord.operators.rows import Pair, require
+from concord.operators.skew import best_rows
 
 NULL_CHANGE_POINTS = 0.5
 MEDIAN_BAND = 2e-4  # half-width, in rank share, of the band sketched around a median
@@ -125,13 +126,7 @@ def top_values(df: DataFrame, n: int, columns: Sequence[str] | None = None) -> D
     chosen = list(columns or df.columns)
     counts = value_counts(df, chosen).where("present")
     order = [F.col("copies").desc(), *[F.col(s) for s in SLOTS]]
-    salted = counts.withColumn("salt", F.spark_partition_id() % 64)
-    place = F.row_number()
-    cut = salted.withColumn("place", place.over(Window.partitionBy("column_name", "salt").orderBy(*order)))
-    best = cut.where(F.col("place") <= n).withColumn(
-        "place", place.over(Window.partitionBy("column_name").orderBy(*order))
-    )
-    return best.where(F.col("place") <= n).select(
+    return best_rows(counts, "column_name", order, n, "place").select(
         "column_name", "place", slot_text().alias("value"), F.col("copies").alias("value_count")
     )
 

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-SALTS = 64
-SALT, PLACE = "__salt", "__place"  # helper columns, dropped from the result
+from concord.operators.skew import best_rows
+
+PLACE = "__place"  # helper column, dropped from the result
 
 
 def _positive(value: int, name: str) -> None:
@@ -56,17 +56,11 @@ def stratified_sample(
 ) -> DataFrame:
     """At most ``per_stratum`` rows of each value of a column.
 
-    Winners are found per input partition, then per group of partitions, then
-    overall, so a stratum that holds most of the rows is ranked by many tasks
-    and no task sees more than the winners of the step before.
+    Rows rank by the given columns; equal ones are interchangeable.
     """
     _positive(per_stratum, "per_stratum")
     order = [F.col(c) for c in dict.fromkeys([order_by or stratify_by, *tie_break])]
-    found = df.withColumn(SALT, F.spark_partition_id())
-    for part in (F.col(SALT), F.col(SALT) % SALTS, F.lit(0)):
-        ranking = Window.partitionBy(stratify_by, part).orderBy(*order)
-        found = found.withColumn(PLACE, F.row_number().over(ranking)).where(F.col(PLACE) <= per_stratum)
-    return found.drop(SALT, PLACE)
+    return best_rows(df, stratify_by, order, per_stratum, PLACE).drop(PLACE)
 
 
 def date_window(df: DataFrame, column: str, start: str, end: str) -> DataFrame:

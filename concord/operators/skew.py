@@ -13,6 +13,7 @@ from concord.session import pinned
 HOT_ROWS = 1_000_000
 BROADCAST_KEYS = 100_000
 BLOCK = 10_000
+SALTS = 64
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in these
 
 
@@ -69,3 +70,17 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     position = F.col("place").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)) + F.col("offset")
     return rows.join(F.broadcast(offsets), "part").withColumn(name, position).drop("part", "place", "offset")
+
+
+def best_rows(df: DataFrame, group: str, order: list[Column], n: int, place: str) -> DataFrame:
+    """The first n rows of each group with their places, counted from one.
+
+    Winners are found per input partition, then per group of partitions, then
+    overall, so a group that holds most of the rows is ranked by many tasks
+    and no task sees more than the winners of the step before.
+    """
+    found = df.withColumn("__salt", F.spark_partition_id())
+    for part in (F.col("__salt"), F.col("__salt") % SALTS, F.lit(0)):
+        ranking = Window.partitionBy(group, part).orderBy(*order)
+        found = found.withColumn(place, F.row_number().over(ranking)).where(F.col(place) <= n)
+    return found.drop("__salt")

@@ -135,5 +135,7 @@ def markdown_lines(run: Run, run_id: str) -> DataFrame:
 
 def write_markdown(run: Run, path: str, run_id: str) -> None:
     """Text files that read as one document in the order of their names."""
-    ordered = markdown_lines(run, run_id).orderBy("section", "part", "line")
+    # The tie-break lets the sort spread equal lines, as a duplicated key gives, over many tasks.
+    lines = markdown_lines(run, run_id).withColumn("tie", F.monotonically_increasing_id())
+    ordered = lines.orderBy("section", "part", "line", "tie")
     ordered.select("line").write.text(path)
