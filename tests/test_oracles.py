@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from concord.suite.oracles import oracles
+from concord.suite.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -19,15 +21,15 @@ def database():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracles())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
-    df = entry.queries()[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     names = sorted(df.columns)
     found = sorted(repr(tuple(r[c] for c in names)) for r in df.collect())
-    cursor = database.execute(entry.oracle_sql()[name])
+    cursor = database.execute(oracles()[name])
     order = [[d[0] for d in cursor.description].index(c) for c in names]
     expected = sorted(repr(tuple(r[i] for i in order)) for r in cursor.fetchall())
     assert len(order) == len(names) and found == expected
