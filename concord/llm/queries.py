@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import fixity, mixing, sharding
+from concord.llm import fixity, mixing, sharding, simhash
 from concord.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,14 @@ def registered(fn):
     return fn
 
 
+@registered
+def op1_simhash(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = simhash.near_duplicates(docs, width=3, words=1, radius=2, max_bits=2)
+    digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
+    return found.select(F.col("key").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @registered
 def op6_sharding(spark, sf):
     placed = sharding.interleave(table(spark, sf, "documents"), SHARDS)
