@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import fixity, mixing, sharding, simhash
+from concord.llm import decontam, fixity, mixing, sharding, simhash
 from concord.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op1_simhash(spark, sf):
     return found.select(F.col("key").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@registered
+def op3_decontamination(spark, sf):
+    found = decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "distance", F.col("start").alias("hit_start"), F.col("end").alias("hit_end")
+    )
+
+
 @registered
 def op6_sharding(spark, sf):
     placed = sharding.interleave(table(spark, sf, "documents"), SHARDS)
