@@ -127,27 +127,28 @@ def mix(
     topic: Column | None = None,
     seed: str = SEED,
     sweeps: int = SWEEPS,
+    prefix: str = "mix_",
 ) -> DataFrame:
-    """Every row of ``docs`` with (tokens, topic, probability, kept), under names led by ``mix_``.
+    """Every row of ``docs`` with (tokens, topic, probability, kept), under names led by ``prefix``.
 
     A row is kept if a number drawn from the seed and its key lies below its
     probability, so repeated rows share one fate and a retry repeats it. NULL
     is a category of its own in each dimension; a NULL text has no tokens and
     NULL as default topic; cells without any token keep all their rows. Named
     targets drop categories that they leave out. An empty table gives no row.
-    Columns named ``mix_*`` are replaced.
+    Columns of these names are replaced.
     """
     targets = targets or Targets()
-    own = ("mix_tokens", "mix_topic", "mix_probability", "mix_kept")
+    own = [f"{prefix}{n}" for n in ("tokens", "topic", "probability", "kept")]
     names = [c for c in docs.columns if c not in own]
     tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    told = docs.select(*names, tokens.alias("mix_tokens"), (cue_topic(F.col(text)) if topic is None else topic).alias("mix_topic"))
-    keys = {"source": F.col(source), "lang": F.col(lang), "topic": F.col("mix_topic")}
+    told = docs.select(*names, tokens.alias(own[0]), (cue_topic(F.col(text)) if topic is None else topic).alias(own[1]))
+    keys = {"source": F.col(source), "lang": F.col(lang), "topic": F.col(own[1])}
     coded = [category(v).alias(d) for d, v in keys.items()]
-    cells = pinned(told.select(*coded, "mix_tokens").groupBy(*DIMENSIONS).agg(F.sum("mix_tokens").alias("tokens")))
+    cells = pinned(told.select(*coded, F.col(own[0]).alias("n")).groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")))
     weights = cell_weights(cells, targets, sweeps)
     spark = docs.sparkSession
-    found = spark.createDataFrame(weights, "__source string, __lang string, __topic string, mix_probability double")
+    found = spark.createDataFrame(weights, "__source string, __lang string, __topic string, __chance double")
     listed = {d: sorted({w[i] for w in weights}) for i, d in enumerate(DIMENSIONS)}
     on = F.lit(True)
     for d, v in keys.items():
@@ -157,6 +158,10 @@ def mix(
         on = on & (code == F.col(f"__{d}"))
     drawn = unit_interval(seed, F.col(key))
     joined = told.join(F.broadcast(found), on)  # at most MAX_CELLS rows
-    return joined.select(
-        *names, "mix_tokens", "mix_topic", "mix_probability", (drawn < F.col("mix_probability")).alias("mix_kept")
-    )
+    chance = F.col("__chance")
+    return joined.select(*names, *own[:2], chance.alias(own[2]), (drawn < chance).alias(own[3]))
+
+
+def sample(docs: DataFrame, targets: Targets | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` that the mixture keeps, with their columns unchanged."""
+    return mix(docs, targets, prefix="__mix_", **options).where("__mix_kept").select(*docs.columns)

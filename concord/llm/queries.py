@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontam, fixity, mixing, sharding, simhash
-from concord.llm.common import table
+from concord.llm import decontam, fixity, mixing, quality, sharding, simhash, toxicity
+from concord.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,27 @@ def op3_decontamination(spark, sf):
     )
 
 
+def _held_out(modulus: int):
+    return (remainder("doc_id", modulus) == 2).alias("held_out")
+
+
+@registered
+def op4_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    found = quality.classify(docs, model).withColumnRenamed("key", "doc_id")
+    return found.select("doc_id", _held_out(4), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@registered
+def op7_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    found = toxicity.classify(docs, model).withColumnRenamed("key", "doc_id")
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", _held_out(4), "score", predicted, "lang", "threshold", "rejected")
+
+
 @registered
 def op6_sharding(spark, sf):
     placed = sharding.interleave(table(spark, sf, "documents"), SHARDS)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from concord.llm.common import category
 from concord.llm.graph import components
 from concord.session import pinned
 
@@ -181,7 +182,9 @@ def near_duplicates(
     radius: int = 4,
     max_bits: int = 58,
 ) -> DataFrame:
-    """(key, text_hash, fp, component) for each row: the class of each document, named by its least key.
+    """(key, text_hash, fp, root, component) for each row: the class of each document, named by its least key.
+
+    ``root`` tells classes apart even where none of their rows has a key.
 
     Equal fingerprints are one node; texts without words share the zero
     fingerprint and are linked like any other. A NULL text counts as empty.
@@ -203,5 +206,27 @@ def near_duplicates(
     placed = distinct.select("node", "least").join(roots, "node", "left")
     placed = placed.select("node", "least", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named = placed.join(names, "root").select("node", "component")
-    return found.join(named, "node").select("key", "text_hash", "fp", "component")
+    named = placed.join(names, "root").select("node", "root", "component")
+    return found.join(named, "node").select("key", "text_hash", "fp", "root", "component")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each class of near-duplicates, with the columns of ``docs`` unchanged.
+
+    The row with the least key stays (NULL keys last, then by a hash of the
+    text); of rows that share key and text, the one whose other columns come
+    first as JSON text.
+    """
+    found = near_duplicates(docs, key, text, **options)
+    first = F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("text_hash"))).alias("first")
+    kept = found.groupBy("root").agg(first).select(category(F.col("first.key")).alias("__k"), F.col("first.text_hash").alias("__h"))
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in (key, text)], F.lit(0).alias("__")))
+    marked = docs.select(
+        *docs.columns,
+        category(F.col(key)).alias("__k"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"),
+        others.alias("__others"),
+    )
+    copies = Window.partitionBy("__k", "__h").orderBy("__others")
+    single = marked.join(kept, ["__k", "__h"], "left_semi").withColumn("__copy", F.row_number().over(copies))
+    return single.where(F.col("__copy") == 1).select(*docs.columns)
