@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontam, fixity, mixing, quality, sharding, simhash, toxicity
+from concord.llm import decontam, fixity, mixing, quality, sharding, simhash, syncmers, toxicity
 from concord.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def op1_simhash(spark, sf):
     return found.select(F.col("key").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@registered
+def op2_syncmers(spark, sf):
+    found = syncmers.compare_with_next(table(spark, sf, "documents"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 @registered
 def op3_decontamination(spark, sf):
     found = decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
