@@ -28,9 +28,17 @@ class Adam:
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
             m, s, p = self.mean[k], self.square[k], self.params[k]
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            p -= rate * m / (np.sqrt(s) + 1e-8) + self.rate * self.decay * p
+            m *= 0.9
+            m += np.float32(0.1) * g
+            s *= 0.999
+            s += np.float32(0.001) * g * g
+            step = np.sqrt(s)
+            step += 1e-8
+            np.divide(m, step, out=step)
+            step *= rate
+            if self.decay:
+                step += self.rate * self.decay * p
+            p -= step
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontam, fixity, mixing, quality, sharding, simhash, syncmers, toxicity
+from concord.llm import decontam, fixity, gru, mixing, quality, sharding, simhash, syncmers, toxicity
 from concord.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,13 @@ placed AS (SELECT *, ordinal // {fixity.SEGMENT} AS segment,
 SELECT page_id, segment, "offset", length, digest AS expected_digest, sha256(copy) AS found_digest,
  CASE WHEN copy IS NULL THEN 'missing' WHEN octet_length(encode(copy)) <> length THEN 'length' ELSE 'changed' END AS problem
 FROM placed WHERE copy IS DISTINCT FROM record"""
+
+
+@registered
+def op10_gru(spark, sf):
+    docs = table(spark, sf, "documents")
+    corpus = gru.gather(docs)
+    found = gru.score(docs, corpus, gru.train(docs, corpus)).withColumnRenamed("key", "doc_id")
+    return found.select(
+        "doc_id", _held_out(7), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
