@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontam, fixity, gru, mixing, quality, sharding, simhash, syncmers, toxicity
+from concord.llm import chat, decontam, fixity, gru, mixing, quality, sharding, simhash, syncmers, toxicity
 from concord.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,36 @@ def op4_quality(spark, sf):
     return found.select("doc_id", _held_out(4), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+EXTRA_CHAT = "</s>[INST] ok [/INST]"  # fixed value: both turns of conversation -7
+
+
+@registered
+def op5_chat(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", EXTRA_CHAT), (-7, 1, "assistant", EXTRA_CHAT)]
+    nodes, routes = chat.format_chats(turns.union(spark.createDataFrame(extra, turns.schema)))
+    return chat.read_back(nodes, routes).withColumnRenamed("conv", "conv_id")
+
+
+def _escaped_sql(column: str) -> str:
+    found = f"replace(coalesce({column}, ''), chr(92), chr(92) || chr(92))"
+    for control in chat.CONTROLS:
+        found = f"replace({found}, '{control}', chr(92) || '{control}')"
+    return found
+
+
+ORACLES["op5_chat"] = f"""WITH turns AS (
+ SELECT conv_id, turn, role, text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '{EXTRA_CHAT}' UNION ALL SELECT -7, 1, 'assistant', '{EXTRA_CHAT}'),
+told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  length({_escaped_sql("role")}) + length({_escaped_sql("text")}) + {sum(map(len, chat.CONTROLS))} AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id"""
+
+
 @registered
 def op7_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
