@@ -182,7 +182,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(narrow.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)))
     bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
     at = F.size(F.filter(bounds, lambda c: F.col("key") > c)) if cuts else F.lit(0)
