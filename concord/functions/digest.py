@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.normalize import Rule, Tolerance, as_number
-from concord.functions.values import as_text, comparable, family, shared_type
+from concord.functions.values import as_text, as_type, comparable, family, is_floating, shared_type
 
 LANES = 4
 LANE_DIGITS = 15  # hex digits; 60 bits fit a signed 64-bit integer
@@ -78,14 +78,15 @@ def canonical_text(
 
 def _plain_text(c: Column, dtype: T.DataType, other: T.DataType, float_scale: int | None) -> Column:
     shared = shared_type(dtype, other) if family(dtype) == family(other) else shared_type(dtype, dtype)
-    if isinstance(shared, T.DoubleType):
+    floating = isinstance(shared, T.DoubleType) or float_scale is not None and is_floating(dtype, other)
+    if floating and family(dtype) == "number":
         value = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
         if float_scale is None:
             return value.cast("string")
         fixed = value.try_cast(T.DecimalType(38, float_scale))
         return F.coalesce(fixed.cast("string"), value.cast("string"))
     if family(dtype) in ("number", "time", "boolean"):
-        return c.cast(shared).cast("string")
+        return as_text(as_type(c, dtype, shared), shared)
     return as_text(comparable(c, dtype), dtype if not isinstance(dtype, T.MapType) else T.ArrayType(T.StringType()))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.values import comparable, family
+from concord.functions.values import as_type, comparable, family, shared_type, wall
 
 # The white space trimmed and collapsed by the string rules.
 WHITESPACE = (
@@ -65,7 +65,7 @@ def normalize(c: Column, dtype: T.DataType, rule: Rule | None) -> tuple[Column,
     if family(dtype) == "text":
         return _normalize_text(c, rule), dtype
     if family(dtype) == "time" and rule.has_date_rule:
-        return shift_and_truncate(c.cast("timestamp_ntz"), rule), T.TimestampNTZType()
+        return shift_and_truncate(wall(c, dtype), rule), T.TimestampNTZType()
     return c, dtype
 
 
@@ -150,7 +150,10 @@ def values_equal(
     a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, tolerance: Tolerance | None = None
 ) -> Column:
     """True or False, never NULL: strict equality, loosened by a tolerance."""
-    if family(a_type) == family(b_type):
+    if family(a_type) == family(b_type) and family(a_type) in ("number", "time"):
+        shared = shared_type(a_type, b_type)
+        strict = as_type(a, a_type, shared).eqNullSafe(as_type(b, b_type, shared))
+    elif family(a_type) == family(b_type):
         strict = comparable(a, a_type).eqNullSafe(comparable(b, b_type))
     else:
         strict = a.isNull() & b.isNull()

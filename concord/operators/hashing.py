@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from concord.functions.digest import LANES, LIMBS, canonical_text, digest, lanes, limbs, row_hash
 from concord.functions.normalize import Rule, normalize
-from concord.functions.values import family
+from concord.functions.values import family, shared_type
 from concord.operators.rows import Pair, as_pairs, key_columns, key_name, require, target_key
-from concord.operators.skew import HOT_ROWS, global_rank, hot_keys, match_keys, split_hot
+from concord.operators.skew import HOT_ROWS, global_rank, hot_keys, split_hot
 
 LEVELS = ("table", "partition", "key-range", "row", "column")
 
@@ -97,9 +97,9 @@ def _side_sums(prefix: str = "") -> list[Column]:
     ]
 
 
-def _merged_sums() -> list[Column]:
+def _merged_sums(prefixes: Sequence[str] = ("",)) -> list[Column]:
     """The same columns, from partial rows that already hold them."""
-    parts = ["rows", *[f"sum{i}" for i in range(LANES * LIMBS)]]
+    parts = ["rows", *[f"{p}sum{i}" for p in prefixes for i in range(LANES * LIMBS)]]
     return [F.sum(f"{side}_{part}").alias(f"{side}_{part}") for side in _sides() for part in parts]
 
 
@@ -151,29 +151,38 @@ def hash_partitions(source: DataFrame, target: DataFrame, spec: HashSpec, partit
 def hash_key_ranges(source: DataFrame, target: DataFrame, spec: HashSpec, key: str, range_size: int) -> DataFrame:
     """Ranges of ``range_size`` consecutive distinct keys that hash differently.
 
-    Rows fold to one digest per key first, so a hot key is one row; the rank of
-    a key is exact and found without a one-task window.
+    The key of at least one side must be a number. Rows whose key is NULL or is
+    text on the other side have no place in the order; all of them form one more
+    range whose bounds are NULL.
+
+    Only keys are ranked and pinned, exactly and without a one-task window. Rows
+    fold to one digest per key, so a hot key is one row, and meet the ranks in
+    the partitioning of that fold.
     """
     if range_size <= 0:
         raise ValueError("range_size must be positive")
     left, right, families = key_columns(source, target, [key], list(spec.pairs))
     kinds = [source.schema[key].dataType, target.schema[target_key(key, list(spec.pairs))].dataType]
     numbers = [k for k in kinds if family(k) == "number"]
-    tagged = _both_sides(source, target, spec, left, right)
+    if not numbers:
+        raise ValueError(f"the key-range level requires a number as key; {key} is {kinds[0].simpleString()}")
     range_key = F.col(key_name(key))
-    if families:  # one side at most has number keys, and both show their keys as text
-        tagged = tagged.where(F.col(families[0]) == "number")
-        range_key = range_key.try_cast(numbers[0]) if numbers else range_key
-    elif not numbers:
-        tagged = tagged.where(F.lit(False))
+    if families:  # one side has number keys, and both show their keys as text
+        range_key = F.when(F.col(families[0]) == "number", range_key.try_cast(numbers[0]))
+    elif isinstance(shared_type(*kinds), T.StringType):  # two kinds of numbers that meet as text
+        range_key = range_key.try_cast("decimal(38,10)")
+    keyed = source.select(*left).unionByName(target.select(*right)).select(range_key.alias("range_key"))
+    distinct = keyed.where(F.col("range_key").isNotNull()).distinct()
+    ranked = global_rank(distinct, ["range_key"], "rank")
+    buckets = ranked.select(F.col("range_key").alias("ranked_key"), F.floor(F.col("rank") / range_size).alias("bucket"))
+    tagged = _both_sides(source, target, spec, left, right)
     per_key = (
-        _with_lanes(tagged.where(range_key.isNotNull()), "row_hash")
-        .groupBy(range_key.alias("range_key"))
-        .agg(*_side_rows(), *_side_sums())
+        _with_lanes(tagged, "row_hash").groupBy(range_key.alias("range_key")).agg(*_side_rows(), *_side_sums())
     )
-    ranked = global_rank(per_key, ["range_key"], "rank").withColumn("bucket", F.floor(F.col("rank") / range_size))
-    grouped = ranked.groupBy("bucket").agg(
-        F.min("range_key").alias("range_start"), F.max("range_key").alias("range_end"), *_merged_sums()
+    grouped = (
+        per_key.join(buckets, F.col("range_key") == F.col("ranked_key"), "left")
+        .groupBy("bucket")
+        .agg(F.min("range_key").alias("range_start"), F.max("range_key").alias("range_end"), *_merged_sums())
     )
     return _unequal(grouped, ["range_start", "range_end"])
 
@@ -193,9 +202,8 @@ def hash_row_compare(
     by = [*map(key_name, keys), *families]
     tagged = _both_sides(source, target, spec, left, right)
     cold, hot = split_hot(tagged, hot_keys(tagged, by, hot_rows), by)
-    placed = cold.repartition(*by).withColumn(
-        "position", F.row_number().over(Window.partitionBy(*by, "in_source").orderBy("row_hash"))
-    )
+    place = F.row_number().over(Window.partitionBy(*by, "in_source").orderBy("row_hash"))
+    placed = cold.repartition(*by).withColumn("position", place.cast("bigint"))
     if hot is not None:
         placed = placed.unionByName(_place_hot(hot, by))
     value = lambda mine: F.max(F.when(mine, F.col("row_hash")))
@@ -215,32 +223,33 @@ def _place_hot(hot: DataFrame, by: list[str]) -> DataFrame:
     starts = ranked.groupBy(*[F.col(c).alias(f"{c}__key") for c in group]).agg(F.min("rank").alias("start"))
     on = [F.col(c).eqNullSafe(F.col(f"{c}__key")) for c in group]
     joined = ranked.join(starts, on)  # two rows per hot key at most
-    position = (F.col("rank") - F.col("start") + 1).cast("int")
+    position = F.col("rank") - F.col("start") + 1
     return joined.select(*by, "row_hash", "in_source", position.alias("position"))
 
 
 def hash_columns(source: DataFrame, target: DataFrame, spec: HashSpec, keys: Sequence[str]) -> DataFrame:
     """Columns whose values differ over the keys that both sides have.
 
-    The key set has one row per key; if a hot key makes the row side of the
-    join uneven, Spark splits that side at run time. The digests then fold
-    where the rows are.
+    Rows fold to one digest per key and column before the only shuffle, so a hot
+    key is one row by then; keys of one side alone are left out of the final sums.
     """
     if not keys:
         raise ValueError("this level requires key columns")
     left, right, families = key_columns(source, target, keys, list(spec.pairs))
     by = [*map(key_name, keys), *families]
+    prefixes = [f"c{i}_" for i in range(len(spec.columns))]
+    key_text = [F.col(key_name(k)).cast("string") for k in keys]
     sides = []
     for df, other, cols, side in ((source, target, left, "source"), (target, source, right, "target")):
-        texts = [t.alias(f"text{i}") for i, t in enumerate(hash_texts(df, other, spec, side))]
-        sides.append(df.select(*cols, *texts, F.lit(side == "source").alias("in_source")))
+        names = [f"text{i}" for i in range(len(spec.columns))]
+        texts = df.select(*cols, *[t.alias(n) for t, n in zip(hash_texts(df, other, spec, side), names)])
+        hashes = [row_hash([*key_text, F.col(n)]).alias(f"{p}hash") for n, p in zip(names, prefixes)]
+        sides.append(texts.select(*by, *hashes, F.lit(side == "source").alias("in_source")))
     tagged = sides[0].unionByName(sides[1])
-    seen = tagged.groupBy(*by).agg(F.bool_or("in_source").alias("s"), F.bool_and("in_source").alias("only_s"))
-    shared = match_keys(tagged, seen.where("s AND NOT only_s"), by, "left_semi")
-    key_text = [F.col(key_name(k)).cast("string") for k in keys]
-    for i in range(len(spec.columns)):
-        shared = _with_lanes(shared.withColumn("hash", row_hash([*key_text, F.col(f"text{i}")])), "hash", f"c{i}_")
-    totals = shared.agg(*_side_rows(), *[c for i in range(len(spec.columns)) for c in _side_sums(f"c{i}_")])
+    for p in prefixes:
+        tagged = _with_lanes(tagged, f"{p}hash", p)
+    per_key = tagged.groupBy(*by).agg(*_side_rows(), *[c for p in prefixes for c in _side_sums(p)])
+    totals = per_key.where("source_rows > 0 AND target_rows > 0").agg(*_merged_sums(prefixes))
     verdicts = [
         F.struct(
             F.lit(spec.target_name(column)).alias("column_name"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from concord.functions.values import as_text, comparable, family
+from concord.functions.values import as_text, comparable, family, wall
 from concord.operators.rows import Pair, require
 from concord.operators.skew import best_rows
 
@@ -37,7 +37,8 @@ def columns_of(df: DataFrame, families: Sequence[str], columns: Sequence[str] |
 
 def long_values(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     """One row per cell as (column_name, value), from one scan."""
-    cells = [F.struct(F.lit(c).alias("column_name"), df[c].cast(kind).alias("value")) for c in columns]
+    typed = lambda c: wall(df[c], df.schema[c].dataType) if kind == SLOTS["time"] else df[c].cast(kind)
+    cells = [F.struct(F.lit(c).alias("column_name"), typed(c).alias("value")) for c in columns]
     # One NULL cell per column, so that a table without rows has a profile too.
     seeds = df.sparkSession.createDataFrame([(c, None) for c in columns], "column_name string, value void")
     seeds = seeds.select("column_name", F.col("value").cast(kind).alias("value"))
@@ -48,29 +49,64 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How often each value of each column occurs: one scan, one shuffle.
 
     Every value sits in the slot of its type, so one frame holds all columns
-    and keeps their own order and equality. Repeats fold before the shuffle.
+    and keeps their own order and equality. Only slots whose type occurs are
+    there, and a number stands for the column until the counts are folded.
+    Repeats fold before the shuffle.
     """
     require(df, columns, "given")
-    scales = [t.scale for t in (df.schema[c].dataType for c in columns) if isinstance(t, T.DecimalType)]
-    kinds = {**SLOTS, "decimal": f"decimal(38,{max(scales, default=0)})"}
+    kinds = slots_of(df, columns)
+    counts = _cells(df, columns, kinds).groupBy("column", "present", *kinds).agg(F.sum("n").alias("copies"))
+    return named_columns(counts, columns)
+
+
+def value_counts_of_both(source: DataFrame, target: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The same for two sides with equal column names, out of one common shuffle."""
+    kinds = slots_of(source, columns, target)
+    left = _cells(source, columns, kinds).withColumnRenamed("n", "source").withColumn("target", F.lit(0))
+    right = _cells(target, columns, kinds).withColumnRenamed("n", "target").withColumn("source", F.lit(0))
+    sums = [F.sum(side).alias(side) for side in ("source", "target")]
+    counts = named_columns(left.unionByName(right).groupBy("column", "present", *kinds).agg(*sums), columns)
+    own = lambda side: counts.withColumn("copies", F.col(side)).where("copies > 0 OR NOT present")
+    return own("source").drop("source", "target"), own("target").drop("source", "target")
+
+
+def slots_of(df: DataFrame, columns: Sequence[str], *others: DataFrame) -> dict[str, str]:
+    """The slots that these columns need, with their types, in the fixed order."""
+    types = [x.schema[c].dataType for x in (df, *others) for c in columns]
+    scale = max((t.scale for t in types if isinstance(t, T.DecimalType)), default=0)
+    used = {_slot(t) for t in types}
+    return {s: k or f"decimal(38,{scale})" for s, k in SLOTS.items() if s in used}
+
+
+def _cells(df: DataFrame, columns: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """One row (column number, present, slots, n) for each cell, and one of n zero for each column."""
     cells = []
-    for c in columns:
+    for i, c in enumerate(columns):
         dtype = df.schema[c].dataType
         own = _slot(dtype)
-        value = as_text(df[c], dtype) if own == "text" else df[c]
+        value = as_text(df[c], dtype) if own == "text" else wall(df[c], dtype) if own == "time" else df[c]
         slots = [(value if s == own else F.lit(None)).cast(k).alias(s) for s, k in kinds.items()]
-        cells.append(F.struct(F.lit(c).alias("column_name"), comparable(df[c], dtype).isNotNull().alias("present"), *slots))
+        cells.append(F.struct(F.lit(i).alias("column"), df[c].isNotNull().alias("present"), *slots))
     # A count of zero per column, so that a table without rows has a profile too.
-    fields = ", ".join(f"{s} {k}" for s, k in kinds.items())
+    fields = "".join(f", {s} {k}" for s, k in kinds.items())
     seeds = df.sparkSession.createDataFrame(
-        [(c, False, *[None] * len(kinds), 0) for c in columns], f"column_name string, present boolean, {fields}, n int"
+        [(i, False, *[None] * len(kinds), 0) for i in range(len(columns))], f"column int, present boolean{fields}, n int"
     )
-    long = df.select(F.inline(F.array(*cells)), F.lit(1).alias("n")).unionByName(seeds) if cells else seeds
-    return long.groupBy("column_name", "present", *kinds).agg(F.sum("n").alias("copies"))
+    return df.select(F.inline(F.array(*cells)), F.lit(1).alias("n")).unionByName(seeds) if cells else seeds
+
+
+def named_columns(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    names = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
+    return counts.withColumn("column_name", F.get(names, F.col("column"))).drop("column")
+
+
+def slots_in(counts: DataFrame) -> list[Column]:
+    return [F.col(s) for s in SLOTS if s in counts.columns]
 
 
-def slot_text() -> Column:
-    return F.coalesce(*[F.col(s).cast("string") for s in SLOTS])
+def slot_text(counts: DataFrame) -> Column:
+    texts = [c.cast("string") for c in slots_in(counts)]
+    return F.coalesce(*texts) if texts else F.lit(None).cast("string")
 
 
 def general_metrics(counts: DataFrame, also: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +117,8 @@ def general_metrics(counts: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """
     populated = F.coalesce(F.sum(F.when(F.col("present"), F.col("copies"))), F.lit(0))
     first = F.min_by(
-        F.when(F.col("present"), slot_text()),
-        F.when(F.col("present"), F.struct(-F.col("copies"), *[F.col(s) for s in SLOTS])),
+        F.when(F.col("present"), slot_text(counts)),
+        F.when(F.col("present"), F.struct(-F.col("copies"), *slots_in(counts))),
     )
     metrics = counts.groupBy(*also, "column_name").agg(
         F.sum("copies").alias("row_count"),
@@ -125,9 +161,9 @@ def top_values(df: DataFrame, n: int, columns: Sequence[str] | None = None) -> D
     """The n most frequent values of each column, in order."""
     chosen = list(columns or df.columns)
     counts = value_counts(df, chosen).where("present")
-    order = [F.col("copies").desc(), *[F.col(s) for s in SLOTS]]
+    order = [F.col("copies").desc(), *slots_in(counts)]
     return best_rows(counts, "column_name", order, n, "place").select(
-        "column_name", "place", slot_text().alias("value"), F.col("copies").alias("value_count")
+        "column_name", "place", slot_text(counts).alias("value"), F.col("copies").alias("value_count")
     )
 
 
@@ -264,7 +300,7 @@ def profile_boolean(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     share = F.col("copies").cast("double") / F.col("populated") * 100
     return counts.join(F.broadcast(totals), "column_name").select(
         "column_name",
-        slot_text().alias("value"),
+        slot_text(counts).alias("value"),
         F.col("copies").alias("value_count"),
         share.alias("percentage"),
         "cardinality",
@@ -328,9 +364,8 @@ def _finding(name, metric, severity, message, source_value, target_value) -> Col
 
 def _metric_changes(source: DataFrame, target: DataFrame, pairs: list[Pair]) -> DataFrame:
     """Both sides' value counts shuffle together; a side-by-side row per column."""
-    left = value_counts(source.select(*[source[p.source] for p in pairs]), [p.source for p in pairs])
     renamed = target.select(*[target[p.target].alias(p.source) for p in pairs])
-    right = value_counts(renamed, [p.source for p in pairs])
+    left, right = value_counts_of_both(source, renamed, [p.source for p in pairs])
     s, t = general_metrics(left), general_metrics(right)
     kept = ["distinct_count", "null_percentage", "most_common_value"]
     side = lambda df, tag: df.select("column_name", F.struct(*kept).alias(tag))
@@ -374,8 +409,8 @@ def category_changes(source: DataFrame, target: DataFrame, pairs: Sequence[Pair]
     right = [target[p.target].alias(p.source) for p in pairs if boolean(target, p.target)]
     facing = target.select(*right)
     seen = lambda df: value_counts(df, df.columns).where("present")
-    tagged = lambda df, s, t: seen(df).select(
-        "column_name", slot_text().alias("value"), F.lit(s).alias("s"), F.lit(t).alias("t")
+    tagged = lambda df, s, t: (c := seen(df)).select(
+        "column_name", slot_text(c).alias("value"), F.lit(s).alias("s"), F.lit(t).alias("t")
     )
     sides = tagged(source.select(*left), 1, 0).unionByName(tagged(facing, 0, 1))
     where = sides.groupBy("column_name", "value").agg(F.max("s").alias("s"), F.max("t").alias("t")).where("s <> t")

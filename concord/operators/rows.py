@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
-from concord.functions.values import as_text, family, shared_type
+from concord.functions.values import as_text, as_type, family, shared_type
 from concord.operators.skew import match_keys
 
 # Severity of each row category.
@@ -96,8 +96,8 @@ def key_columns(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs
         a, b = source.schema[k].dataType, target.schema[tk].dataType
         if family(a) == family(b):
             common = shared_type(a, b)
-            left.append(source[k].cast(common).alias(key_name(k)))
-            right.append(target[tk].cast(common).alias(key_name(k)))
+            left.append(as_type(source[k], a, common).alias(key_name(k)))
+            right.append(as_type(target[tk], b, common).alias(key_name(k)))
         else:
             mark = f"key_family_{i}"
             families.append(mark)

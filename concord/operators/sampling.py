@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime, timezone
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -64,8 +65,11 @@ def stratified_sample(
 
 
 def date_window(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
-    """Rows whose date lies between two timestamps, both included."""
+    """Rows whose date lies between two timestamps, both included; instants are meant in UTC."""
     kind = df.schema[column].dataType.simpleString()
+    if kind == "timestamp":
+        low, high = (F.lit(datetime.fromisoformat(v).replace(tzinfo=timezone.utc)) for v in (start, end))
+        return df.where(F.col(column).between(low, high))
     low, high = (F.lit(v).cast("timestamp_ntz").cast(kind if kind != "string" else "timestamp_ntz") for v in (start, end))
     return df.where(F.col(column).between(low, high))
 

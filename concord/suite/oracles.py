@@ -240,12 +240,13 @@ SELECT o_orderkey AS k, o_orderstatus AS p, true AS src, {_hash(*SOURCE_TEXTS)}
  {", ".join(_hash("CAST(o_orderkey AS VARCHAR)", t) + f" AS h{i}" for i, t in enumerate(SOURCE_TEXTS))} FROM orders
 UNION ALL SELECT order_key, order_status, false, {_hash(*TARGET_TEXTS)},
  {", ".join(_hash("CAST(order_key AS VARCHAR)", t) for t in TARGET_TEXTS)} FROM tgt)"""
+HASHED_NULLS = f"{HASHED}, hn AS (SELECT CASE WHEN k % 50 <> 0 THEN k END AS k, src, h FROM h)"
 SIDES = f"""count(*) FILTER (WHERE src) AS source_rows, count(*) FILTER (WHERE NOT src) AS target_rows,
  {_digest("h", "src")} AS source_hash, {_digest("h", "NOT src")} AS target_hash"""
 UNEQUAL = """source_rows, target_rows, CASE WHEN source_rows > 0 THEN source_hash END AS source_hash,
  CASE WHEN target_rows > 0 THEN target_hash END AS target_hash FROM g WHERE source_hash <> target_hash"""
 ROW_HASHES = """placed AS (SELECT k, src, h, row_number() OVER (PARTITION BY k, src ORDER BY h) AS position FROM h),
-m AS (SELECT k AS o_orderkey, CAST(position AS INTEGER) AS position, max(h) FILTER (WHERE src) AS source_hash,
+m AS (SELECT k AS o_orderkey, position, max(h) FILTER (WHERE src) AS source_hash,
  max(h) FILTER (WHERE NOT src) AS target_hash FROM placed GROUP BY k, position
  HAVING max(h) FILTER (WHERE src) IS DISTINCT FROM max(h) FILTER (WHERE NOT src))"""
 
@@ -517,6 +518,7 @@ def oracles() -> dict[str, str]:
         "hash_table": f"{HASHED}, g AS (SELECT {SIDES} FROM h) SELECT 'table' AS level, *, source_hash = target_hash AS matched FROM g",  # noqa: E501
         "hash_partitions": f"{HASHED}, g AS (SELECT p AS partition_value, {SIDES} FROM h GROUP BY p) SELECT partition_value, {UNEQUAL}",  # noqa: E501
         "hash_key_ranges": f"{HASHED}, ranked AS (SELECT *, (dense_rank() OVER (ORDER BY k) - 1) // 1000 AS bucket FROM h), g AS (SELECT min(k) AS range_start, max(k) AS range_end, {SIDES} FROM ranked GROUP BY bucket) SELECT range_start, range_end, {UNEQUAL}",  # noqa: E501
+        "hash_key_ranges_null_keys": f"{HASHED_NULLS}, ranked AS (SELECT *, CASE WHEN k IS NOT NULL THEN (dense_rank() OVER (ORDER BY k NULLS LAST) - 1) // 1000 END AS bucket FROM hn), g AS (SELECT min(k) AS range_start, max(k) AS range_end, {SIDES} FROM ranked GROUP BY bucket) SELECT range_start, range_end, {UNEQUAL}",  # noqa: E501
         "hash_row_compare": f"{HASHED}, {ROW_HASHES} SELECT * FROM m",
         "hash_verdict": f"{HASHED}, {ROW_HASHES}, g AS (SELECT {SIDES} FROM h), c AS (SELECT count(*) AS mismatch_count FROM m) SELECT 'row' AS level, mismatch_count = 0 AS matched, source_hash, target_hash, mismatch_count FROM g, c",  # noqa: E501
         "hash_columns": _hash_columns(),

@@ -296,6 +296,18 @@ def hash_key_ranges(spark, sf):
     return _by_hash(spark, sf, "key-range", range_size=1000).mismatches
 
 
+@registered
+def hash_key_ranges_null_keys(spark, sf):
+    """One key in fifty is NULL on both sides."""
+    source, target = _order_sides(spark, sf)
+    source = source.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey")))
+    target = target.withColumn("order_key", F.when(F.col("order_key") % 50 != 0, F.col("order_key")))
+    options = {"float_scale": FLOAT_SCALE, "range_size": 1000}
+    return hashing.compare_by_hash(
+        source, target, "key-range", HASHED, KEY, ORDER_MAPPING, ORDER_RULES, **options
+    ).mismatches
+
+
 @registered
 def hash_row_compare(spark, sf):
     return _by_hash(spark, sf, "row").mismatches

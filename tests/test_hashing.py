@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.digest import significant_figures
 from concord.functions.normalize import Rule, Tolerance
-from concord.operators.hashing import HashSpec, compare_by_hash, hash_row_compare, hash_rows
+from concord.operators.hashing import HashSpec, compare_by_hash, hash_columns, hash_row_compare, hash_rows
 from concord.operators.skew import expand, global_rank, hot_keys
 from seeded import pair
 
@@ -96,16 +96,48 @@ def test_mapping_and_guards(spark):
             compare_by_hash(source, target, **{"mapping": mapping, **options})
 
 
-def test_key_ranges_skip_keys_that_are_no_numbers(spark):
-    source = spark.createDataFrame([("x", "a")], "k string, v string")
-    assert compare_by_hash(source, source, "key-range", ["v"], ["k"], range_size=5).mismatches.isEmpty()
+def test_key_ranges_need_a_number_as_key(spark):
+    source = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, v string")
+    target = spark.createDataFrame([("a", "CHANGED")], "k string, v string")
+    with pytest.raises(ValueError, match="number"):
+        compare_by_hash(source, target, "key-range", ["v"], ["k"], range_size=5)
+
+
+def test_rows_without_a_key_are_a_range_of_their_own(spark):
+    source = spark.createDataFrame([(1, "a"), (None, "extra")], "k int, v string")
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    compared = compare_by_hash(source, target, "key-range", ["v"], ["k"], range_size=5)
+    (found,) = compared.mismatches.collect()
+    assert (found.range_start, found.range_end, found.source_rows, found.target_rows) == (None, None, 1, 0)
+    assert not compared.result.first().matched
+    assert compare_by_hash(source, source, "key-range", ["v"], ["k"], range_size=5).result.first().matched
 
 
 def test_key_ranges_keep_number_order_when_the_other_side_has_text(spark):
     source = spark.createDataFrame([(2, "a"), (10, "b"), (9, "c")], "k int, v string")
     target = spark.createDataFrame([("2", "a"), ("x", "b")], "k string, v string")
     found = compare_by_hash(source, target, "key-range", ["v"], ["k"], range_size=2).mismatches.collect()
-    assert sorted((r.range_start, r.range_end, r.source_rows, r.target_rows) for r in found) == [(2, 9, 2, 0), (10, 10, 1, 0)]
+    assert sorted(map(repr, ((r.range_start, r.range_end, r.source_rows, r.target_rows) for r in found))) == [
+        "(10, 10, 1, 0)", "(2, 9, 2, 0)", "(None, None, 0, 2)",
+    ]
+
+
+def test_ranges_do_not_depend_on_partitions(spark):
+    source = spark.range(500).select((F.col("id") * 3).alias("k"), F.col("id").cast("string").alias("v"))
+    target = source.where("k % 7 <> 0")
+    rows = []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows.append(sorted(map(repr, compare_by_hash(source, target, "key-range", ["v"], ["k"], range_size=10).mismatches.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert rows[0] == rows[1] and len(rows[0]) == 50
+
+
+def test_column_hashes_shuffle_once_and_never_join(spark):
+    source = spark.range(50).select(F.col("id").alias("k"), F.lit("a").alias("v"), F.lit("b").alias("w"))
+    spec = HashSpec(("v", "w"), (), {}, None)
+    plan = hash_columns(source, source, spec, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_hot_keys_pair_like_ordinary_ones(spark):
