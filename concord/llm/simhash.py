@@ -28,7 +28,8 @@ from concord.session import pinned
 HASH_SEED = 42  # fixed value
 BITS = 64
 BLOCK = 1 << 16  # shingles hashed at once, whatever the length of a text
-SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each other
+SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each other; others go by exact flips
+SMALL_WIDE_BUCKET = 8  # the same where flips do not apply; others go by their least member and neighbours
 
 
 def signed(word: int) -> int:
@@ -112,13 +113,13 @@ def _tables(distinct: DataFrame, words: int, radius: int) -> DataFrame:
 
 
 def _pairs_in_small(members: DataFrame) -> DataFrame:
-    """All pairs of buckets with up to SMALL_BUCKET members."""
+    """All pairs within buckets of few members."""
     grouped = members.groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     pairs = F.flatten(
         F.transform(
             "nodes",
             lambda x, i: F.transform(
-                F.slice(F.col("nodes"), i + 2, F.lit(SMALL_BUCKET)), lambda y: F.struct(x.alias("a"), y.alias("b"))
+                F.slice(F.col("nodes"), i + 2, F.size("nodes")), lambda y: F.struct(x.alias("a"), y.alias("b"))
             ),
         )
     )
@@ -155,15 +156,18 @@ def link(distinct: DataFrame, words: int, radius: int, max_bits: int) -> DataFra
     radius of two that equals ``max_bits`` the links connect exactly what all
     pairs within the radius connect (the node must then be the word itself).
     Otherwise pairs beyond the radius are found where they happen to meet, and
-    in a bucket of over SMALL_BUCKET members each one is compared with the least
-    member and a neighbour per table instead of with all the others.
+    in a bucket of over SMALL_WIDE_BUCKET members each one is compared with the
+    least member and a neighbour per table instead of with all the others: the
+    pairs that a large group gives grow in proportion to it, and its members
+    are joined through many tables.
     """
+    exact = words == 1 and radius == max_bits == 2
+    few = SMALL_BUCKET if exact else SMALL_WIDE_BUCKET
     tables = _tables(distinct, words, radius)
     sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = pinned(tables.join(sizes, "bucket").select("bucket", "node", "n"))
-    small = _pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET)).distinct()
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    exact = words == 1 and radius == max_bits == 2
+    small = _pairs_in_small(shared.where(F.col("n") <= few)).distinct()
+    large = shared.where(F.col("n") > few)
     if exact:
         close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
         return small.where(close).union(_flips(large))
