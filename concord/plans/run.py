@@ -42,7 +42,10 @@ class Checks:
     """Which checks run and how; every check is off unless enabled.
 
     ``strategy="hash"`` compares one digest per row instead of its columns, so
-    only keys and digests move; ``max_differences`` caps the row findings that
+    only keys and digests move; columns under a numeric tolerance, which digests
+    cannot express, move as values and are compared as such, so both strategies
+    give the same categories. A mapped column that a side lacks makes every pair
+    of rows unable to compare under either; ``max_differences`` caps the row findings that
     are listed, never those that are counted.
     """
 
@@ -149,18 +152,26 @@ def _compare(source: DataFrame, target: DataFrame, definition: Definition, check
         return compare_rows(source, target, keys, pairs, definition.rules)
     if checks.strategy != "hash":
         raise ValueError(f"unknown strategy {checks.strategy!r}; known: full, hash")
-    present = [p for p in pairs if p.source in source.columns and p.target in target.columns]
-    if len(present) < len(pairs):
-        return compare_rows(source, target, keys, pairs, definition.rules)
-    spec = HashSpec(tuple(p.source for p in present), tuple(present), definition.rules, None)
-    named = [target_key(k, pairs) for k in keys]
-    keyed = [key_name(k) for k in keys]
-    s = source.select(*[F.col(k).alias(n) for k, n in zip(keys, keyed)], row_hash(hash_texts(source, target, spec, "source")).alias("row_hash"))
-    t = target.select(
-        *[F.col(t).alias(n) for t, n in zip(named, keyed)],
-        row_hash(hash_texts(target, source, spec, "target")).alias("row_hash"),
-    )
-    return compare_rows(s, t, keyed, [Pair("row_hash", "row_hash")])
+    if any(p.source not in source.columns or p.target not in target.columns for p in pairs):
+        return compare_rows(source, target, keys, pairs, definition.rules)  # reads keys alone: no pair can be compared
+    tolerant = lambda p: (r := definition.rules.get(p.target)) and r.numeric_tolerance and r.numeric_tolerance.is_set
+    loose = [p for p in pairs if tolerant(p)]
+    strict = [p for p in pairs if not tolerant(p)]
+    spec = HashSpec(tuple(p.source for p in strict), tuple(strict), definition.rules, None)
+    sides = []
+    for df, other, side in ((source, target, "source"), (target, source, "target")):
+        name = lambda p: getattr(p, side)  # noqa: B023, E731
+        named = keys if side == "source" else [target_key(k, pairs) for k in keys]
+        sides.append(
+            df.select(
+                *[F.col(k).alias(key_name(n)) for k, n in zip(named, keys)],
+                row_hash(hash_texts(df, other, spec, side)).alias("row_hash"),
+                *[df[name(p)].alias(f"value_{p.target}") for p in loose],
+            )
+        )
+    carried = [Pair(f"value_{p.target}", f"value_{p.target}") for p in loose]
+    rules = {f"value_{p.target}": definition.rules[p.target] for p in loose}
+    return compare_rows(*sides, [key_name(k) for k in keys], [Pair("row_hash", "row_hash"), *carried], rules)
 
 
 def _as_findings(kind: str, frame: DataFrame, keys: Sequence[str], max_differences: int | None) -> DataFrame:
@@ -180,6 +191,15 @@ def _as_findings(kind: str, frame: DataFrame, keys: Sequence[str], max_differenc
     return frame.select(*_shaped(kind, given))
 
 
+def each_finding(kind: str, frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per finding of a check, matching rows included, in the shape that all findings share."""
+    if kind != "rows":
+        return _as_findings(kind, frame, keys, None).drop("findings")
+    given = {c: F.col(c) for c in ("severity", "message", "category")}
+    each = {**given, "key_values": key_values(frame, keys), "column_differences": F.col("differences")}
+    return frame.select(*_shaped("rows", each)).drop("findings")
+
+
 def _shaped(kind: str, given: dict[str, Column]) -> list[Column]:
     fixed = {"kind": F.lit(kind), "findings": F.lit(1)}
     values = {**fixed, **given}

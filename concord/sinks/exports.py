@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from concord.operators.rows import key_values
 from concord.operators.skew import expand
-from concord.plans.run import Run
+from concord.plans.run import Run, each_finding
 
 # Sections of a document, in order, with their headings.
 SECTIONS = {"schema": "Schema Differences", "profile": "Profile Differences", "volume": "Volume Parity", "rows": "Row-Level Differences"}
+CSV_SECTIONS = {**SECTIONS, "volume": "Volume (Aggregate) Differences"}
+# The head of a CSV document, the texts of a Markdown document.
+CSV_HEAD = ["Section", "Comparison", "RunId", "Status"]
+CSV_SUMMARY = "Summary"
+MARKDOWN_TITLE, MARKDOWN_NONE = "# Parity Results: ", "_None._"
 # Column titles per section, for CSV and for Markdown.
 CSV_TITLES = {
     "schema": ["Severity", "ColumnName", "Kind", "SourceType", "TargetType", "Message"],
@@ -66,20 +71,48 @@ def csv_lines(name: str, df: DataFrame, keys: list[str] = ()) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_field(t) for t in _texts(name, df, list(keys), ";")]).alias("line"))
 
 
-def write_csv(run: Run, path: str) -> None:
-    """One CSV dataset with a header per kind of finding, and the summary."""
-    options = {"header": True, "escape": '"', "emptyValue": ""}
-    run.summary.write.csv(f"{path}/summary", **options)
-    for name, df in section_frames(run).items():
-        texts = _texts(name, df, list(run.keys), ";")
-        named = df.select(*[t.alias(c) for t, c in zip(texts, CSV_TITLES[name])])
-        named.write.csv(f"{path}/{name}", **options)
+def csv_document(run: Run, run_id: str) -> DataFrame:
+    """The whole document as (section, part, line); sorted by these it reads in order.
 
+    A head with the run, then each section with its title and header, with a
+    blank line between them. Values keep their spaces.
+    """
+    spark = run.findings.sparkSession
+    schema = "section int, part int, line string"
+    row = [csv_field(c) for c in (F.lit(CSV_SUMMARY), F.col("comparison"), F.lit(run_id), F.col("status"))]
+    head = run.summary.select(F.lit(0).alias("section"), F.lit(1).alias("part"), F.concat_ws(",", *row).alias("line"))
+    fixed = [(0, 0, ",".join(CSV_HEAD))]
+    for section, (name, title) in enumerate(CSV_SECTIONS.items(), start=1):
+        fixed += [(section, 0, ""), (section, 1, title), (section, 2, ",".join(CSV_TITLES[name]))]
+    out = spark.createDataFrame(fixed, schema).unionByName(head)
+    frames = section_frames(run)
+    for section, name in enumerate(CSV_SECTIONS, start=1):
+        if name in frames:
+            lines = csv_lines(name, frames[name], run.keys)
+            out = out.unionByName(lines.select(F.lit(section).alias("section"), F.lit(3).alias("part"), "line"))
+    return out
+
+
+def write_csv(run: Run, path: str, run_id: str) -> None:
+    """Text files that read as one CSV document in the order of their names."""
+    _write_lines(csv_document(run, run_id), path)
 
-def write_json(run: Run, path: str) -> None:
-    """Summary and findings as JSON records."""
-    run.summary.write.json(f"{path}/summary", ignoreNullFields=False)
-    run.findings.write.json(f"{path}/findings", ignoreNullFields=False)
+
+def json_findings(run: Run, run_id: str) -> DataFrame:
+    """One record per finding of every check that ran, with the run's id."""
+    listed = [each_finding(kind, frame, run.keys) for kind, frame in section_frames(run).items()]
+    none = run.findings.limit(0).drop("findings")
+    found = listed[0] if listed else none
+    for frame in listed[1:]:
+        found = found.unionByName(frame)
+    return found.select(F.lit(run_id).alias("run_id"), "*")
+
+
+def write_json(run: Run, path: str, run_id: str, timestamp: str) -> None:
+    """The complete result: the summary with run id and time, and one JSON record per finding."""
+    dated = run.summary.withColumn("run_id", F.lit(run_id)).withColumn("timestamp", F.lit(timestamp))
+    dated.write.json(f"{path}/summary", ignoreNullFields=False)
+    json_findings(run, run_id).write.json(f"{path}/findings", ignoreNullFields=False)
 
 
 def markdown_cell(text: Column) -> Column:
@@ -101,7 +134,7 @@ def markdown_lines(run: Run, run_id: str) -> DataFrame:
     )
     head = run.summary.select(
         F.array(
-            F.concat(F.lit("# Parity Results: "), "comparison"),
+            F.concat(F.lit(MARKDOWN_TITLE), "comparison"),
             F.lit(""),
             F.concat(F.lit(f"Run {run_id} — status: **"), "status", F.lit("**")),
             F.lit(""),
@@ -123,19 +156,22 @@ def markdown_lines(run: Run, run_id: str) -> DataFrame:
         if name in frames:
             body = markdown_rows(name, frames[name], list(run.keys))
             top = body.agg(F.count(F.lit(1)).alias("n")).select(
-                F.posexplode(F.when(F.col("n") > 0, F.array(*map(F.lit, header))).otherwise(F.array(F.lit("_None._"))))
+                F.posexplode(F.when(F.col("n") > 0, F.array(*map(F.lit, header))).otherwise(F.array(F.lit(MARKDOWN_NONE))))
                 .alias("place", "line")
             )
             out = out.unionByName(top.select(F.lit(section).alias("section"), (F.col("place") + 2).alias("part"), "line"))
             out = out.unionByName(position(body, section, 4))
         else:
-            out = out.unionByName(spark.createDataFrame([(section, 2, "_None._")], out.schema))
+            out = out.unionByName(spark.createDataFrame([(section, 2, MARKDOWN_NONE)], out.schema))
     return out
 
 
 def write_markdown(run: Run, path: str, run_id: str) -> None:
     """Text files that read as one document in the order of their names."""
+    _write_lines(markdown_lines(run, run_id), path)
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
     # The tie-break lets the sort spread equal lines, as a duplicated key gives, over many tasks.
-    lines = markdown_lines(run, run_id).withColumn("tie", F.monotonically_increasing_id())
-    ordered = lines.orderBy("section", "part", "line", "tie")
-    ordered.select("line").write.text(path)
+    tied = lines.withColumn("tie", F.monotonically_increasing_id())
+    tied.orderBy("section", "part", "line", "tie").select("line").write.text(path)

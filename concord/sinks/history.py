@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -19,27 +21,37 @@ RUN_FIELDS = (
 )
 
 
-def run_id_for(name: str, timestamp: str) -> str:
-    """A folder-safe id from the comparison's name and the time of the run."""
+def run_id_for(name: str, timestamp: str, attempt: str = "") -> str:
+    """A folder-safe id from the comparison's name, a digest of it, the time of the run and the attempt.
+
+    The digest keeps names apart that read alike once they are made safe.
+    """
     stem = re.sub(r"[^a-zA-Z0-9_-]+", "_", name).strip("_") or "run"
-    return f"{stem}-{re.sub(r'[^0-9TZ]', '-', timestamp)}"
+    digest = hashlib.md5(name.encode(), usedforsecurity=False).hexdigest()[:8]
+    stamp = re.sub(r"[^0-9TZ]", "-", timestamp)
+    return "-".join(filter(None, (stem, digest, stamp, attempt)))
 
 
 def persist_run(run: Run, root: str, timestamp: str | None = None) -> str:
-    """Append a run; its summary is written last and makes the run visible."""
+    """Record a run; its summary is written last and makes the run visible.
+
+    Without a timestamp each call is a run of its own, even within one
+    millisecond. With one, a call that broke off can be repeated: findings go
+    to the run's own folder and replace what the broken attempt left there.
+    """
     now = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    attempt = "" if timestamp else uuid.uuid4().hex[:12]
     timestamp = timestamp or now
-    run_id = run_id_for(run.name, timestamp)
+    run_id = run_id_for(run.name, timestamp, attempt)
     spark = run.findings.sparkSession
     if not list_runs(spark, root).where(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"run {run_id!r} is already recorded")
-    tag = F.lit(run_id)
-    run.findings.withColumn("run_id", tag).write.partitionBy("run_id").mode("append").parquet(f"{root}/{FINDINGS_DIR}")
+    run.findings.write.mode("overwrite").parquet(f"{root}/{FINDINGS_DIR}/run_id={run_id}")
     # The checks ran once for the write; the summary comes from what was written.
     stored = load_run(spark, root, run_id)
     summary = summarize(stored, run.name, run.labels) if run.readable else run.summary
-    dated = summary.withColumn("timestamp", F.lit(timestamp)).withColumn("run_id", tag)
-    dated.write.partitionBy("run_id").mode("append").parquet(f"{root}/{RUNS}")
+    dated = summary.withColumn("timestamp", F.lit(timestamp))
+    dated.write.mode("overwrite").parquet(f"{root}/{RUNS}/run_id={run_id}")
     return run_id
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from concord.functions.nativetypes import RISK_PAIRS, REVIEW_PAIRS, TYPE_PATTERNS
 from concord.suite import inputs
 
@@ -444,7 +446,8 @@ def _history() -> str:
 
 
 def _run_id(stamp: str) -> str:
-    return "orders_migration-" + stamp.replace(":", "-").replace(".", "-")
+    digest = hashlib.md5(b"orders migration", usedforsecurity=False).hexdigest()[:8]
+    return f"orders_migration-{digest}-" + stamp.replace(":", "-").replace(".", "-")
 
 
 def _export(line: str) -> str:
@@ -458,6 +461,16 @@ def _export(line: str) -> str:
  unnest(generate_series(1, findings)) AS copy FROM found) SELECT {line} AS line FROM listed"""
 
 
+# The lines of a CSV document that do not depend on findings.
+CSV_FIXED = (
+    "Section,Comparison,RunId,Status", "Summary,orders migration,run-1,failed", "", "Schema Differences",
+    "Severity,ColumnName,Kind,SourceType,TargetType,Message", "", "Profile Differences",
+    "Severity,ColumnName,Metric,SourceValue,TargetValue,Message", "", "Volume (Aggregate) Differences",
+    "Severity,SourceCount,TargetCount,Difference,DifferenceRate,Message", "", "Row-Level Differences",
+    "Severity,Category,KeyValues,Message,ColumnDifferences",
+)
+
+
 def _csv(c: str) -> str:
     return f"""CASE WHEN regexp_matches({c}, '[",\\n\\r]') THEN concat('"', replace({c}, '"', '""'), '"') ELSE {c} END"""
 
@@ -553,7 +566,16 @@ def oracles() -> dict[str, str]:
         "run_summary": _summed("schema profile volume rows"),
         "run_hash_strategy": _orders(EXACT_COLUMNS)
         + "SELECT category, severity, CAST(sum(findings) AS BIGINT) AS findings FROM found GROUP BY ALL",
-        "export_csv_rows": _export("concat_ws(',', " + ", ".join(_csv(c) for c in LISTED) + ")"),
+        "run_hash_tolerance": _orders()
+        + "SELECT category, severity, CAST(sum(findings) AS BIGINT) AS findings FROM found GROUP BY ALL",
+        "export_json_rows": _orders()
+        + ", volume AS (SELECT (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM tgt) AS t)"
+        + " SELECT 'run-1' AS run_id, 'rows' AS kind, category, severity, CAST(sum(findings) AS BIGINT) AS records,"
+        + " CAST(sum(CASE WHEN category = 'matched-key-differing-values' THEN len(string_split(differing_columns, ',')) ELSE 0 END) AS BIGINT) AS differences"  # noqa: E501
+        + " FROM found GROUP BY ALL UNION ALL SELECT 'run-1', 'volume', 'row-count',"
+        + " CASE WHEN t = s THEN 'Pass' WHEN abs(t - s) / s * 100 > 2 THEN 'Failure' ELSE 'Informational' END, 1, 0 FROM volume",
+        "export_csv_rows": _export("concat_ws(',', " + ", ".join(_csv(c) for c in LISTED) + ")")
+        + f" UNION ALL SELECT unnest({list(CSV_FIXED)})",
         "export_markdown_rows": _export("concat('| ', concat_ws(' | ', " + ", ".join(_markdown(c) for c in LISTED) + "), ' |')"),
         "run_history": _history(),
         "run_history_latest": f"{_run('rows volume')}, total AS (SELECT CAST(sum(findings) AS BIGINT) AS findings, count(*) FILTER (WHERE severity IN ('Failure', 'Error')) AS failed FROM run) SELECT '{_run_id('2026-01-03T00:00:00.000Z')}' AS run_id, 'orders migration' AS comparison, CASE WHEN failed > 0 THEN 'failed' ELSE 'warning' END AS status, '2026-01-03T00:00:00.000Z' AS timestamp, findings FROM total",  # noqa: E501

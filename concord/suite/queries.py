@@ -16,7 +16,7 @@ from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
 from concord.operators import hashing, profile, rows, sampling, schema
 from concord.operators.rows import Pair
 from concord.operators.volume import compare_volume
-from concord.plans.run import Checks, Definition, Run, run_comparison
+from concord.plans.run import FINDINGS, Checks, Definition, Run, run_comparison
 from concord.session import shared_dir
 from concord.sinks import exports, history
 from concord.sources.catalog import from_information_schema
@@ -494,10 +494,33 @@ def run_hash_strategy(spark, sf):
     return rows.category_counts(run_comparison(spark, exact).rows)
 
 
+@registered
+def run_hash_tolerance(spark, sf):
+    definition = _definition(spark, sf)
+    checks = Checks(row_level=True, strategy="hash")
+    loose = Definition(
+        definition.name, definition.source, definition.target, KEY, ORDER_MAPPING, rules=ORDER_RULES, checks=checks
+    )
+    return rows.category_counts(run_comparison(spark, loose).rows)
+
+
 @registered
 def export_csv_rows(spark, sf):
-    run = _run(spark, sf, ["row_level"])
-    return exports.csv_lines("rows", exports.section_frames(run)["rows"], KEY)
+    """All lines of the document that the sink has written."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    exports.write_csv(_run(spark, sf, ["row_level"]), path, "run-1")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@registered
+def export_json_rows(spark, sf):
+    """What the sink has written, counted by kind of finding."""
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    exports.write_json(_run(spark, sf, ["row_level", "row_count"]), path, "run-1", "2026-01-01T00:00:00.000Z")
+    found = spark.read.schema(FINDINGS + ", run_id string").json(f"{path}/findings")
+    return found.groupBy("run_id", "kind", "category", "severity").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.size(F.coalesce("column_differences", F.array()))).alias("differences")
+    )
 
 
 @registered
@@ -527,6 +550,6 @@ def run_history(spark, sf):
 def run_history_latest(spark, sf):
     root = _recorded(spark, sf)
     latest = history.latest_runs(spark, root, "orders migration")
-    newest = f"{'orders_migration'}-2026-01-03T00-00-00-000Z"
+    newest = history.run_id_for("orders migration", "2026-01-03T00:00:00.000Z")
     listed = history.load_run(spark, root, newest).groupBy("run_id").agg(F.sum("findings").alias("findings"))
     return latest.join(listed, "run_id")

@@ -1,9 +1,10 @@
+import csv
 import json
 from pathlib import Path
 
 import pytest
 
-from concord.functions.normalize import Tolerance
+from concord.functions.normalize import Rule, Tolerance
 from concord.plans.run import FINDING_FIELDS, Checks, Definition, run_comparison
 from concord.sinks import exports, history
 from concord.sources.sides import Derived, ParquetFiles, Query, SqlFile, Table, capped, label, load
@@ -109,15 +110,21 @@ def test_sides(spark, tmp_path):
 
 def test_exports(spark, tmp_path):
     run = run_comparison(spark, customer())
-    exports.write_json(run, str(tmp_path / "json"))
+    exports.write_json(run, str(tmp_path / "json"), "run-1", "2026-01-01T00:00:00.000Z")
     back = spark.read.json(str(tmp_path / "json" / "findings"))
-    assert back.count() == run.findings.count()
+    rows = back.where("kind = 'rows'").collect()
+    assert len(rows) == 8 and sum(r.category == "duplicate-in-target" for r in rows) == 2
+    assert {r.run_id for r in back.collect()} == {"run-1"}
     one = json.loads(next(l for f in (tmp_path / "json" / "summary").glob("*.json") for l in f.read_text().splitlines()))
     assert one["comparison"] == "Customer check" and one["failed"] > 0
-    exports.write_csv(run, str(tmp_path / "csv"))
-    rows = spark.read.csv(str(tmp_path / "csv" / "rows"), header=True, escape='"').collect()
-    assert len(rows) == 8 and sum(r.Category == "duplicate-in-target" for r in rows) == 2
-    assert {r.ColumnDifferences for r in rows if r.Category == "matched-key-differing-values"} == {
+    assert (one["run_id"], one["timestamp"]) == ("run-1", "2026-01-01T00:00:00.000Z")
+    exports.write_csv(run, str(tmp_path / "csv"), "run-1")
+    text = "".join(p.read_text() for p in sorted(Path(tmp_path / "csv").glob("part-*")))
+    assert text.startswith("Section,Comparison,RunId,Status\nSummary,Customer check,run-1,failed\n\nSchema Differences\nSeverity,")
+    assert "\n\nVolume (Aggregate) Differences\nSeverity,SourceCount," in text
+    rows = list(csv.DictReader(text[text.index("Severity,Category") :].splitlines()))
+    assert len(rows) == 8 and sum(r["Category"] == "duplicate-in-target" for r in rows) == 2
+    assert {r["ColumnDifferences"] for r in rows if r["Category"] == "matched-key-differing-values"} == {
         "CUSTOMER_NAME: Jane Roe -> Jane R. Doe"
     }
     exports.write_markdown(run, str(tmp_path / "md"), "run-1")
@@ -156,3 +163,47 @@ def test_history(spark, tmp_path):
     damaged.mkdir()
     (damaged / "part-0.parquet").write_bytes(b"not parquet")
     assert history.list_runs(spark, root).count() == 2
+
+
+def _spaces(spark, **options):
+    source = spark.createDataFrame([(" k1 ", "a"), ("k2", "x")], "k string, v string")
+    target = spark.createDataFrame([(" k1 ", " b "), ("k2", "x")], "k string, v string")
+    return run_comparison(spark, Definition("spaces", source, target, ["k"], [("v", "v")], checks=Checks(row_level=True, **options)))
+
+
+def test_csv_keeps_edge_spaces(spark, tmp_path):
+    exports.write_csv(_spaces(spark), str(tmp_path / "csv"), "run-1")
+    text = "".join(p.read_text() for p in sorted(Path(tmp_path / "csv").glob("part-*")))
+    assert ", k1 ," in text and text.count("v: a ->  b ") == 1 and "v: a ->  b \n" in text
+
+
+def test_hash_strategy_compares_tolerant_columns_by_value(spark):
+    source = spark.createDataFrame([(1, 125.364, "a"), (2, 1.0, "b"), (3, 5.0, "c")], "k int, p double, t string")
+    target = spark.createDataFrame([(1, 125.370, "a"), (2, 1.5, "b"), (3, 5.001, "C")], "k int, p double, t string")
+    found = []
+    for strategy in ("full", "hash"):
+        rules = {"p": Rule(numeric_tolerance=Tolerance(absolute=0.01))}
+        definition = Definition("d", source, target, ["k"], [("p", "p"), ("t", "t")], rules=rules, checks=Checks(row_level=True, strategy=strategy))
+        found.append(sorted((r.k, r.category) for r in run_comparison(spark, definition).rows.collect()))
+    assert found[0] == found[1] and [c for _, c in found[0]] == ["matching", *["matched-key-differing-values"] * 2]
+    missing = Definition("d", source, target, ["k"], [("p", "gone")], checks=Checks(row_level=True, strategy="hash"))
+    assert {r.category for r in run_comparison(spark, missing).rows.collect()} == {"unable-to-compare"}
+
+
+def test_a_broken_attempt_can_be_repeated(spark, tmp_path):
+    root, stamp = str(tmp_path / "history"), "2026-01-01T00:00:00.000Z"
+    run = _spaces(spark)
+    broken = f"{root}/findings/run_id={history.run_id_for(run.name, stamp)}"
+    run.findings.write.parquet(broken)  # the first attempt ended before its summary
+    assert history.list_runs(spark, root).isEmpty()
+    run_id = history.persist_run(run, root, stamp)
+    (listed,) = history.list_runs(spark, root).collect()
+    assert (listed.run_id, listed.failed) == (run_id, 1)
+
+
+def test_runs_of_one_moment_stay_apart(spark, tmp_path):
+    run = _spaces(spark)
+    ids = {history.persist_run(run, str(tmp_path / "history")) for _ in range(2)}
+    assert len(ids) == 2 and history.list_runs(spark, str(tmp_path / "history")).count() == 2
+    stamp = "2026-01-01T00:00:00.000Z"
+    assert history.run_id_for("orders v1.0", stamp) != history.run_id_for("orders v1_0", stamp)
