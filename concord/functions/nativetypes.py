@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NUMBER = "number with a scale"  # an integer or a decimal, as its scale says
+
 # Category of a native type name, trimmed and upper-cased, by the first pattern that fits.
 TYPE_PATTERNS = (
-    ("Decimal", r"^NUMBER\s*\(\s*\d+\s*,\s*0*[1-9]\d*\s*\)$"),
-    ("Integer", r"^NUMBER\s*\(\s*\d+\s*(,\s*\d+\s*)?\)$"),
+    (NUMBER, r"^NUMBER\s*\(\s*\d+\s*(,\s*\d+\s*)?\)$"),
     ("Integer", r"^(TINYINT|SMALLINT|INT|INTEGER|BIGINT|MEDIUMINT|INT2|INT4|INT8|SERIAL|BIGSERIAL|SMALLSERIAL|NUMBER)$"),
     ("Decimal", r"^((DECIMAL|NUMERIC)(\(\s*\d+\s*(,\s*\d+\s*)?\))?|MONEY|SMALLMONEY)$"),
     ("FloatingPoint", r"^(FLOAT|FLOAT4|FLOAT8|REAL|DOUBLE|DOUBLE\s+PRECISION)$"),
@@ -54,7 +55,8 @@ def canonical_type(native: Column) -> Column:
     name = F.upper(F.trim(native))
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for category, pattern in TYPE_PATTERNS:
-        out = out.when(name.rlike(pattern), category)
+        scaled = F.when(type_modifiers(native)["scale"] > 0, "Decimal").otherwise("Integer")
+        out = out.when(name.rlike(pattern), scaled if category == NUMBER else category)
     return out.otherwise(UNKNOWN)
 
 
@@ -68,8 +70,10 @@ def type_modifiers(native: Column) -> dict[str, Column]:
 
 
 def _is_pair(a: Column, b: Column, pairs) -> Column:
-    key = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
-    return key.isin(["|".join(sorted(p)) for p in pairs])
+    found = F.lit(False)
+    for x, y in pairs:
+        found = found | ((a == x) & (b == y)) | ((a == y) & (b == x))
+    return found
 
 
 def type_compatibility(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
 from concord.functions.values import as_text, as_type, family, shared_type
-from concord.operators.skew import match_keys
+from concord.operators.skew import hot_keys, split_hot
 
 # Severity of each row category.
 ROW_SEVERITY = {
@@ -246,13 +246,14 @@ def missing_rows(
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row of a key that this side has more than once.
 
-    Counts fold before their shuffle and leave one row per key, so only the
-    row side of the join can be uneven, and that side Spark splits at run time.
+    Only keys are counted, when this is called, and their counts fold before the
+    shuffle. Few repeated keys are broadcast to the rows, which then do not move;
+    many are joined, and Spark splits the side of the rows if a key is hot.
     """
     keys = list(keys)
     require(df, keys, "given")
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
-    return match_keys(df, repeated, keys, "left_semi")
+    repeated = hot_keys(df, keys, min_rows=2)
+    return df.limit(0) if repeated is None else split_hot(df, repeated, keys)[1]
 
 
 def key_values(df: DataFrame, keys: Sequence[str]) -> Column:

@@ -12,6 +12,8 @@ from concord.session import pinned
 
 HOT_ROWS = 1_000_000
 BROADCAST_KEYS = 100_000
+BROADCAST_BYTES = 64 << 20  # of those keys, as text
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 BLOCK = 10_000
 SALTS = 64
 POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in these
@@ -43,7 +45,9 @@ def split_hot(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> tuple[Da
     """
     if hot is None:
         return df, None
-    few = hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    width = F.coalesce(F.sum(F.length(F.to_json(F.struct(*keys)))), F.lit(0))
+    n, size = hot.limit(BROADCAST_KEYS + 1).agg(F.count(F.lit(1)), width).first()
+    few = n <= BROADCAST_KEYS and size <= BROADCAST_BYTES
     return match_keys(df, hot, keys, "left_anti", few), match_keys(df, hot, keys, "left_semi", few)
 
 
@@ -77,8 +81,13 @@ def best_rows(df: DataFrame, group: str, order: list[Column], n: int, place: str
 
     Winners are found per input partition, then per group of partitions, then
     overall, so a group that holds most of the rows is ranked by many tasks
-    and no task sees more than the winners of the step before.
+    and no task sees more than the winners of the step before. Spark cuts each
+    partition to its winners before it shuffles, up to a limit that this raises
+    to n for the session.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     found = df.withColumn("__salt", F.spark_partition_id())
     for part in (F.col("__salt"), F.col("__salt") % SALTS, F.lit(0)):
         ranking = Window.partitionBy(group, part).orderBy(*order)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-from concord.functions.nativetypes import RISK_PAIRS, REVIEW_PAIRS, TYPE_PATTERNS
 from concord.suite import inputs
 
 ORDERS_TARGET = inputs.ORDERS_TARGET.replace("{orders}", "orders")
@@ -110,10 +109,55 @@ SELECT * FROM rows QUALIFY count(*) OVER (PARTITION BY category, l_orderkey, l_l
 # --- types and schemas -----------------------------------------------------
 
 
+# Type names by category, here without their arguments; those of the second list may carry a length.
+PLAIN_NAMES = {
+    "Integer": "TINYINT SMALLINT INT INTEGER BIGINT MEDIUMINT INT2 INT4 INT8 SERIAL BIGSERIAL SMALLSERIAL NUMBER".split(),
+    "Decimal": ["MONEY", "SMALLMONEY", "DECIMAL", "NUMERIC"],
+    "FloatingPoint": ["FLOAT", "FLOAT4", "FLOAT8", "REAL", "DOUBLE", "DOUBLE PRECISION"],
+    "Boolean": ["BIT", "BOOLEAN", "BOOL"],
+    "JSON": ["JSON", "JSONB", "VARIANT"],
+    "Array": ["ARRAY"],
+    "Object": ["OBJECT", "STRUCT", "RECORD"],
+    "Geospatial": ["GEOGRAPHY", "GEOMETRY", "GEOMETRYCOLLECTION", "POINT", "POLYGON", "LINESTRING"],
+    "TimestampWithTimezone": ["TIMESTAMPTZ", "TIMESTAMP_TZ", "TIMESTAMP WITH TIME ZONE", "DATETIMEOFFSET"],
+    "Date": ["DATE"],
+}
+SIZED_NAMES = {
+    "String": "VARCHAR NVARCHAR CHAR NCHAR CHARACTER TEXT STRING CLOB BPCHAR".split() + ["CHARACTER VARYING"],
+    "Binary": ["BINARY", "VARBINARY", "BYTEA", "BLOB", "IMAGE", "RAW"],
+    "Time": ["TIME"],
+    "Timestamp": "TIMESTAMP TIMESTAMP_NTZ TIMESTAMPNTZ DATETIME DATETIME2 SMALLDATETIME".split() + ["TIMESTAMP WITHOUT TIME ZONE"],
+}
+RISKS = {"Decimal": ["FloatingPoint"], "FloatingPoint": ["Decimal", "Integer"], "Integer": ["FloatingPoint"],
+         "String": ["Binary"], "Binary": ["String"]}
+REVIEWS = {
+    "Integer": ["Decimal"], "Decimal": ["Integer"], "Date": ["Timestamp", "TimestampWithTimezone"],
+    "Time": ["Timestamp", "TimestampWithTimezone"], "Timestamp": ["Date", "Time", "TimestampWithTimezone"],
+    "TimestampWithTimezone": ["Date", "Time", "Timestamp"], "JSON": ["String", "Array", "Object"],
+    "Array": ["JSON", "String", "Object"], "Object": ["JSON", "Array", "String"], "String": ["JSON", "Array", "Object"],
+}
+
+
 def _canonical(native: str) -> str:
-    name = f"upper(trim({native}))"
-    whens = " ".join(f"WHEN regexp_matches({name}, '{pattern}') THEN '{category}'" for category, pattern in TYPE_PATTERNS)
-    return f"CASE {whens} ELSE 'Unknown' END"
+    """Splits a name into its words and its arguments and looks the words up."""
+    name = f"regexp_replace(upper(trim({native})), '\\s+', ' ', 'g')"
+    words = f"trim(regexp_replace({name}, ' ?\\([^()]*\\)', ''))"
+    inside = f"trim(regexp_extract({name}, '\\(([^()]*)\\)$', 1))"
+    bare = f"{name} NOT LIKE '%(%'"
+    number = "regexp_full_match({0}, '[0-9]+')"
+    first, second = (f"trim(split_part({inside}, ',', {i}))" for i in (1, 2))
+    digits = f"{number.format(first)} AND ({number.format(second)} OR ({second} = '' AND {inside} NOT LIKE '%,%'))"
+    among = lambda names: f"{words} IN ({', '.join(repr(n) for n in names)})"
+    whens = [
+        f"WHEN {name} LIKE '%[]' THEN 'Array' WHEN {name} LIKE 'STRUCT(%' THEN 'Object'",
+        f"WHEN {words} = 'NUMBER' AND {digits} THEN CASE WHEN TRY_CAST({second} AS INTEGER) > 0 THEN 'Decimal' ELSE 'Integer' END",
+        f"WHEN {words} IN ('DECIMAL', 'NUMERIC') AND {digits} THEN 'Decimal'",
+        f"WHEN regexp_full_match({name}, 'TIMESTAMP\\([0-9]+\\) WITH TIME ZONE') THEN 'TimestampWithTimezone'",
+        f"WHEN {among(SIZED_NAMES['Binary'])} AND {inside} = 'MAX' THEN 'Binary'",
+    ]
+    whens += [f"WHEN {bare} AND {among(n)} THEN '{c}'" for c, n in (PLAIN_NAMES | SIZED_NAMES).items()]
+    whens += [f"WHEN {name} LIKE '%)' AND {number.format(inside)} AND {among(n)} THEN '{c}'" for c, n in SIZED_NAMES.items()]
+    return f"CASE {' '.join(whens)} ELSE 'Unknown' END"
 
 
 def _modifier(native: str, pattern: str, group: int) -> str:
@@ -135,12 +179,12 @@ def _catalog(dump: str) -> str:
 
 
 def _compatible(a: str, b: str) -> str:
-    listed = lambda pairs: " OR ".join(
-        f"({a} = '{x}' AND {b} = '{y}') OR ({a} = '{y}' AND {b} = '{x}')" for x, y in pairs
+    listed = lambda table: " OR ".join(
+        f"({a} = '{x}' AND {b} IN ({', '.join(repr(y) for y in ys)}))" for x, ys in table.items()
     )
     return f"""CASE WHEN {a} = 'Unknown' OR {b} = 'Unknown' THEN 'Review'
  WHEN {a} = {b} THEN CASE WHEN {a} IN ('Timestamp', 'Time') THEN 'Review' ELSE 'Compatible' END
- WHEN {listed(RISK_PAIRS)} THEN 'Risk' WHEN {listed(REVIEW_PAIRS)} THEN 'Review'
+ WHEN {listed(RISKS)} THEN 'Risk' WHEN {listed(REVIEWS)} THEN 'Review'
  WHEN {a} = 'Geospatial' OR {b} = 'Geospatial' THEN 'Review' ELSE 'Risk' END"""
 
 
@@ -535,11 +579,21 @@ def oracles() -> dict[str, str]:
         "hash_row_compare": f"{HASHED}, {ROW_HASHES} SELECT * FROM m",
         "hash_verdict": f"{HASHED}, {ROW_HASHES}, g AS (SELECT {SIDES} FROM h), c AS (SELECT count(*) AS mismatch_count FROM m) SELECT 'row' AS level, mismatch_count = 0 AS matched, source_hash, target_hash, mismatch_count FROM g, c",  # noqa: E501
         "hash_columns": _hash_columns(),
+        "row_compare_mixed_keys": """WITH s AS (SELECT 9007199254740992 + o_orderkey AS id, o_orderstatus AS v FROM orders),
+t AS (SELECT CAST(CAST(9007199254740992 + o_orderkey AS DOUBLE) AS BIGINT) AS id, o_orderstatus AS v FROM orders),
+sk AS (SELECT id, count(*) AS n, any_value(v) AS v FROM s GROUP BY id), tk AS (SELECT id, count(*) AS n, any_value(v) AS v FROM t GROUP BY id),
+b AS (SELECT coalesce(sk.id, tk.id) AS id, coalesce(sk.n, 0) AS ns, coalesce(tk.n, 0) AS nt, sk.v AS a, tk.v AS c FROM sk FULL JOIN tk ON sk.id = tk.id)
+SELECT CAST(id AS VARCHAR) AS id, CASE WHEN nt > 1 THEN 'duplicate-in-target' WHEN nt = 0 THEN 'missing-from-target'
+ WHEN ns = 0 THEN 'missing-from-source' WHEN a = c THEN 'matching' ELSE 'matched-key-differing-values' END AS category,
+ greatest(nt, 1) AS findings FROM b""",  # noqa: E501
+        "norm_instant": """SELECT o_orderkey, strftime(date_trunc('hour', CAST(make_timestamp((800000000 + o_orderkey * 3600) * 1000000)
+ AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M:%S') AS value FROM orders""",
         "hash_tolerance": f"SELECT order_key, total_price, {STEP.format('total_price')} AS absolute_text, floor(total_price * pow(10.0, {magnitude}) + 0.5) / pow(10.0, {magnitude}) AS percentage_value FROM ({ORDERS_TARGET})",  # noqa: E501
         "sample_first_n": "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50",
         "sample_random": "SELECT least(500, count(*)) AS sampled, least(500, count(*)) AS distinct_keys FROM orders",
         "sample_hash": f"SELECT * FROM orders WHERE {hour_bucket}",
         "sample_stratified": "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) <= 5",  # noqa: E501
+        "sample_stratified_large": "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) <= 2000",  # noqa: E501
         "sample_date_window": "SELECT * FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31 23:59:59'",  # noqa: E501
         "sample_key_range": "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 200",
         "volume_compare": f"WITH {COUNTS} "

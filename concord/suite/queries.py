@@ -126,6 +126,16 @@ def rows_duplicate_keys(spark, sf):
     return found[0].unionByName(found[1])
 
 
+@registered
+def row_compare_mixed_keys(spark, sf):
+    """Whole keys beyond a double's exact range meet floating ones, and fractions meet decimals."""
+    big = F.lit(9007199254740992)
+    left = inputs.orders(spark, sf).select((big + F.col("o_orderkey")).alias("id"), "o_orderstatus")
+    right = inputs.orders(spark, sf).select((big + F.col("o_orderkey")).cast("double").alias("id"), "o_orderstatus")
+    compared = rows.compare_rows(left, right, ["id"], [Pair("o_orderstatus", "o_orderstatus")])
+    return compared.select("id", "category", "findings")
+
+
 @registered
 def row_compare_composite(spark, sf):
     keys = ["l_orderkey", "l_linenumber"]
@@ -169,6 +179,17 @@ def norm_string(spark, sf):
     return _normalized(inputs.table(spark, sf, "documents"), "doc_id", "text", rule)
 
 
+@registered
+def norm_instant(spark, sf):
+    """Order dates as instants, read as wall clocks of a zone; the session's zone has no part in it."""
+    instants = inputs.orders(spark, sf).select(
+        "o_orderkey", F.timestamp_seconds(F.lit(800_000_000) + F.col("o_orderkey") * 3600).alias("instant")
+    )
+    rule = Rule(timezone="America/New_York", truncate_to="hour")
+    value, _ = normalize(instants.instant, T.TimestampType(), rule)
+    return instants.select("o_orderkey", value.cast("string").alias("value"))
+
+
 @registered
 def norm_full_rule(spark, sf):
     rule = Rule(
@@ -360,6 +381,11 @@ def sample_stratified(spark, sf):
     return sampling.stratified_sample(inputs.orders(spark, sf), "o_orderstatus", 5, "o_totalprice", ["o_orderkey"])
 
 
+@registered
+def sample_stratified_large(spark, sf):
+    return sampling.stratified_sample(inputs.orders(spark, sf), "o_orderstatus", 2000, "o_totalprice", ["o_orderkey"])
+
+
 @registered
 def sample_date_window(spark, sf):
     return sampling.date_window(inputs.orders(spark, sf), "o_orderdate", "1997-01-01 00:00:00", "1997-12-31 23:59:59")
