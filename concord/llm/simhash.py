@@ -28,6 +28,7 @@ from concord.session import pinned
 HASH_SEED = 42  # fixed value
 BITS = 64
 BLOCK = 1 << 16  # shingles hashed at once, whatever the length of a text
+ROWS_PER_TASK = 2_000_000  # (bucket, node) rows that one task makes
 SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each other; others go by exact flips
 SMALL_WIDE_BUCKET = 8  # the same where flips do not apply; others go by their least member and neighbours
 
@@ -109,7 +110,10 @@ def _tables(distinct: DataFrame, words: int, radius: int) -> DataFrame:
         for w in range(words)
         for i, m in enumerate(masks(radius))
     ]
-    return distinct.select("node", F.explode(F.array(*spots)).alias("bucket"))
+    conf = distinct.sparkSession.conf
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), distinct.count() * len(spots) // ROWS_PER_TASK)
+    # Each row becomes many, so that partitions sized for the rows that come in would be far too few.
+    return distinct.repartition(tasks, "node").select("node", F.explode(F.array(*spots)).alias("bucket"))
 
 
 def _pairs_in_small(members: DataFrame) -> DataFrame:
