@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
 from concord.functions.values import as_text, as_type, family, shared_type
-from concord.operators.skew import hot_keys, split_hot
+from concord.operators.skew import HOT_ROWS, hot_keys, split_hot
 
 # Severity of each row category.
 ROW_SEVERITY = {
@@ -107,13 +107,21 @@ def key_columns(source: DataFrame, target: DataFrame, keys: Sequence[str], pairs
 
 
 def paired_rows(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], pairs: list[Pair], left: dict, right: dict
+    source: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str],
+    pairs: list[Pair],
+    left: dict,
+    right: dict,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per key: rows on each side and, if single, each side's values.
 
-    Both sides go through one aggregation by key rather than a join: copies of
-    a hot key fold together before the shuffle, NULL keys meet, and the rows
-    move once.
+    Both sides go through one aggregation by key rather than a join: rows move
+    once and NULL keys meet. Rows are not hash-aggregated, as they hold texts, so
+    ordinary keys, which have a row or two and would not fold, are shuffled first
+    and sorted once. Keys with very many rows are found first, from counts that
+    fold on the map side, when this is called; their rows fold before they move.
     """
     left_keys, right_keys, families = key_columns(source, target, keys, pairs)
     s = F.struct(*[c.alias(n) for n, c in left.items()]) if left else F.struct(F.lit(1).alias("row"))
@@ -121,17 +129,19 @@ def paired_rows(
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     sides = source.select(*left_keys, one.alias("in_source"), zero.alias("in_target"), s.alias("s"))
     other = target.select(*right_keys, zero.alias("in_source"), one.alias("in_target"), t.alias("t"))
-    return (
-        sides.unionByName(other, allowMissingColumns=True)
-        .groupBy(*map(key_name, keys), *families)
-        .agg(
-            F.sum("in_source").alias("source_rows"),
-            F.sum("in_target").alias("target_rows"),
-            F.first("s", ignorenulls=True).alias("s"),
-            F.first("t", ignorenulls=True).alias("t"),
-        )
-        .drop(*families)
-    )
+    tagged = sides.unionByName(other, allowMissingColumns=True)
+    by = [*map(key_name, keys), *families]
+    folds = [
+        F.sum("in_source").alias("source_rows"),
+        F.sum("in_target").alias("target_rows"),
+        F.first("s", ignorenulls=True).alias("s"),
+        F.first("t", ignorenulls=True).alias("t"),
+    ]
+    cold, hot = split_hot(tagged, hot_keys(tagged, by, hot_rows), by)
+    folded = cold.repartition(*by).groupBy(*by).agg(*folds)
+    if hot is not None:
+        folded = folded.unionByName(hot.groupBy(*by).agg(*folds))
+    return folded.drop(*families)
 
 
 def compare_rows(

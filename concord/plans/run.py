@@ -103,7 +103,10 @@ class Run:
 
 
 def run_comparison(spark: SparkSession, definition: Definition, only: Collection[str] | None = None) -> Run:
-    """Build the frames of every enabled check; nothing runs until one is read.
+    """Build the frames of every enabled check.
+
+    The row check counts its keys now, to find hot ones; all else runs when a
+    frame is read.
 
     A side that cannot be read gives a failed run without findings.
     """

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.normalize import Rule, Tolerance
 from concord.operators.rows import (
-    Pair, category_counts, column_differences, compare_rows, duplicate_rows, key_name, missing_rows,
+    Pair, category_counts, column_differences, compare_rows, duplicate_rows, key_name, missing_rows, paired_rows,
 )
 from concord.operators.hashing import compare_by_hash
 from concord.operators.sampling import stratified_sample
@@ -159,3 +159,19 @@ def test_any_key_name_works(spark, key):
     assert run.summary.first().failed == 2
     sample = stratified_sample(source.withColumn("salt", F.lit("keep")), key, 1)
     assert sample.columns == [key, "v", "salt"] and {r.salt for r in sample.collect()} == {"keep"}
+
+
+def test_hot_keys_fold_like_ordinary_ones(spark):
+    source = spark.range(300).select((F.col("id") % 5 * (F.col("id") % 2)).alias("k"), F.col("id").cast("string").alias("v"))
+    target = source.where("v > '2'").unionByName(spark.sql("SELECT 77L AS k, 'x' AS v UNION ALL SELECT NULL, 'y'"))
+    values = {"v": F.col("v")}
+    args = (source, target, ["k"], [], values, values)
+    ordinary, hot = (paired_rows(*args, hot_rows=n) for n in (1_000_000, 20))
+    counts = lambda df: sorted(map(repr, df.select("k", "source_rows", "target_rows").collect()))
+    assert counts(ordinary) == counts(hot) and len(counts(hot)) == 7
+
+
+def test_rows_are_sorted_once(spark):
+    source = spark.range(50).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
+    plan = compare_rows(source, source, ["k"], [Pair("v", "v")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
