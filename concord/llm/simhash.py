@@ -186,9 +186,9 @@ def near_duplicates(
     key: str = "doc_id",
     text: str = "text",
     width: int = 5,
-    words: int = 8,
+    words: int = 6,
     radius: int = 4,
-    max_bits: int = 77,
+    max_bits: int = 58,
 ) -> DataFrame:
     """(key, text_hash, fp, root, component) for each row: the class of each document, named by its least key.
 
@@ -200,7 +200,7 @@ def near_duplicates(
     class without any key is NULL. Repeated rows each give a row; an empty
     table gives none. Other columns are not read.
 
-    The default, eight words and 77 bits, stands for a Jaccard similarity of 0.8
+    The default, six words and 58 bits, stands for a Jaccard similarity of 0.8
     of five-word shingles: at that similarity 15 % of the bits differ.
     """
     found = pinned(fingerprints(docs, key, text, width, words))
