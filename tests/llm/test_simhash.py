@@ -132,3 +132,17 @@ def test_components(spark):
     alone = {x for x in root if all(x not in link or link == (x, x) for link in links)}
     assert found == {k: v for k, v in root.items() if k not in alone}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
+
+
+def _jaccard(a, b):
+    x, y = (set(simhash.shingle_set(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_one_repeated_line_does_not_link(spark):
+    rng = random.Random(5)
+    line = " ".join(f"l{i}" for i in range(10))
+    rows = [(i, " ".join([line] * 20 + [f"w{rng.randrange(10**9)}" for _ in range(200)])) for i in range(30)]
+    assert _jaccard(rows[0][1], rows[1][1]) < 0.1
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.component == r.key for r in found)
