@@ -34,7 +34,7 @@ BITS = 64
 BLOCK = 1 << 16  # shingles hashed at once, whatever the length of a text
 ROWS_PER_TASK = 2_000_000  # (bucket, node) rows that one task makes
 SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each other; others go by exact flips
-SMALL_WIDE_BUCKET = 8  # the same where flips do not apply; others go by their least member and neighbours
+SMALL_WIDE_BUCKET = 8  # the same where flips do not apply; others are first folded into classes, then compared across them
 FOLDS = 3  # rounds in which each node compares with its least and its nearest candidate only, before all that are left
 
 
@@ -182,7 +182,11 @@ def _flips(members: DataFrame) -> DataFrame:
 
 
 def _first_and_neighbours(members: DataFrame) -> DataFrame:
-    """Each member of a large bucket with the least one and with the next in its block of a shuffled order."""
+    """Pairs that fold a large bucket: each member with the least one and with the next in its block of a shuffled order.
+
+    They only save comparisons; ``_across`` finds what they leave apart. The
+    blocks spread the order of one bucket over several tasks.
+    """
     least = members.groupBy("bucket").agg(F.min("node").alias("a"))
     first = members.join(least, "bucket").select("a", F.col("node").alias("b"))
     order = Window.partitionBy("bucket", "block").orderBy("mixed")
@@ -191,6 +195,30 @@ def _first_and_neighbours(members: DataFrame) -> DataFrame:
     return first.union(next_.select(F.col("node").alias("a"), "b"))
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _across(members: DataFrame, distinct: DataFrame, roots: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """(a, b, bits): all pairs in one large bucket but in different classes that are within the bits.
+
+    Of two classes one is not the largest of its bucket, so only members outside
+    the largest are compared with the others; a bucket in one class drops out.
+    """
+    known = _rooted(members.select("bucket", "node"), roots)
+    sums = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sums.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    open_ = known.join(largest.where("classes > 1"), "bucket").join(distinct, "node")
+    open_ = pinned(open_.select("bucket", "node", "root", "fp", (F.col("root") == F.col("top.root")).alias("main")))
+    x = open_.where("NOT main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("fp").alias("x_fp"))
+    y = open_.select(F.col("bucket").alias("y_bucket"), F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("fp").alias("y_fp"), "main")
+    once = F.col("main") | (F.col("x") < F.col("y"))
+    near = _distance(F.col("x_fp"), F.col("y_fp"), words) <= max_bits
+    met = x.join(y, (F.col("bucket") == F.col("y_bucket")) & (F.col("x_root") != F.col("y_root")) & once & near)
+    bits = _distance(F.col("x_fp"), F.col("y_fp"), words).alias("bits")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits).distinct()
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """For each node its least and its nearest partner."""
     sides = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
@@ -231,13 +259,14 @@ def _linked(candidates: DataFrame, links: DataFrame, sets: DataFrame, least: flo
 
 
 def link_similar(distinct: DataFrame, sets_of, words: int, radius: int, max_bits: int, least: float) -> DataFrame:
-    """(a, b): links that connect what the similar pairs that meet connect.
+    """(a, b): links that connect what all similar pairs that share a bucket connect.
 
     ``distinct`` has (node, fp), and ``sets_of`` gives (node, shingles) for a
     table of nodes. A pair that shares a bucket and differs in at most
     ``max_bits`` bits counts if its sets have a Jaccard similarity of ``least``.
-    In a bucket of over SMALL_WIDE_BUCKET members each one is compared with the
-    least and a neighbour only.
+    Buckets of any size are compared whole, but for pairs that links already
+    connect: a large group of copies folds into one class first, so that its
+    pairs grow in proportion to it.
     """
     tables = _tables(distinct, words, radius)
     sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -251,8 +280,14 @@ def link_similar(distinct: DataFrame, sets_of, words: int, radius: int, max_bits
     bits = _distance(F.col("x"), F.col("y"), words)
     met = pinned(pairs.join(x, "a").join(y, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= max_bits))
     links = distinct.sparkSession.createDataFrame([], "a bigint, b bigint")
-    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return _linked(met, links, pinned(sets_of(nodes)), least)
+    for across in (False, True):
+        if across:
+            met = pinned(_across(large, distinct, components(links), words, max_bits))
+            if met.isEmpty():
+                break
+        nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        links = _linked(met, links, pinned(sets_of(nodes)), least)
+    return links
 
 
 def link(distinct: DataFrame, words: int, radius: int, max_bits: int) -> DataFrame:

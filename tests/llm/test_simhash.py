@@ -146,3 +146,16 @@ def test_one_repeated_line_does_not_link(spark):
     assert _jaccard(rows[0][1], rows[1][1]) < 0.1
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r.component == r.key for r in found)
+
+
+def test_large_buckets_are_compared_whole(spark):
+    """All texts share their buckets; one center is similar to all the others, which are not similar to each other."""
+    size, members = 100, 40
+    sets = {0: list(range(size))}
+    for i in range(1, members):
+        sets[i] = [x for x in range(size) if (x + i * 11) % size >= 10] + [1000 * i + j for j in range(10)]
+    shared = spark.createDataFrame([(k - 20, [k % 2, 5, 6]) for k in sets], "node bigint, fp array<bigint>")
+    table = spark.createDataFrame([(k - 20, v) for k, v in sets.items()], "node bigint, shingles array<bigint>")
+    links = simhash.link_similar(shared, lambda nodes: table.join(nodes, "node", "left_semi"), 3, 2, 30, 0.8)
+    roots = {r.node: r.root for r in components(links).collect()}
+    assert len(roots) == members and len(set(roots.values())) == 1
