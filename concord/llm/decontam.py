@@ -158,6 +158,11 @@ def _blocks(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
     return blocks
 
 
+def _matcher(block: list[tuple], rate: float) -> Matcher:
+    """Items go by their place in the block, so that those with one key or none are all looked for."""
+    return Matcher([(place, item) for place, (_, item) in enumerate(block)], rate)
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -167,14 +172,14 @@ def leaks(
     item_text: str = "text",
     rate: float = ERROR_RATE,
 ) -> DataFrame:
-    """(key, item, distance, start, end): items found in documents, one row per document row and item.
+    """(key, item, distance, start, end): items found in documents, one row per document row and item row.
 
     Positions count characters of the normalized text (lower case, one space
     between words). An item of n characters may differ in ``rate * n`` edits,
     rounded down; of several places the closest and then the first counts. NULL
     and blank items match nothing, NULL and empty documents hold nothing. A
-    repeated document row reports again, of items with one key the last text in
-    order counts, and a NULL key stays NULL. An empty table on either side gives
+    repeated document row reports again, each item row reports on its own even
+    if others share its key, and a NULL key on either side stays NULL. An empty table on either side gives
     no row. Other columns are not read.
     """
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]
@@ -184,12 +189,12 @@ def leaks(
     for block in _blocks(items, item_key, item_text):
 
         def rows(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            matcher = _matcher(block, rate)
             for batch in batches:
                 out: list[list] = [[], [], [], [], []]
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for i, hit in sorted(matcher.find(t.as_py()).items(), key=lambda x: str(x[0])):
-                        for column, value in zip(out, (k, i, *hit), strict=True):
+                    for place, hit in sorted(matcher.find(t.as_py()).items()):
+                        for column, value in zip(out, (k, block[place][0], *hit), strict=True):
                             column.append(value)
                 types = [batch.column(0).type, ITEM_TYPES[kinds[1]], pa.int32(), pa.int32(), pa.int32()]
                 arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
@@ -209,7 +214,7 @@ def clean(
 ) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with their columns unchanged.
 
-    Rows pass through one by one: repeated rows, NULL keys and NULL texts stay
+    Items count whether or not they have a key of their own. Rows pass through one by one: repeated rows, NULL keys and NULL texts stay
     unless their own text holds an item.
     """
     kept = docs
@@ -221,7 +226,7 @@ def clean(
 def _holds(block: list[tuple], rate: float):
     @F.pandas_udf("boolean")
     def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(block, rate)
+        matcher = _matcher(block, rate)
         for batch in texts:
             yield pd.Series([bool(matcher.find(t)) for t in batch], dtype=bool)
 

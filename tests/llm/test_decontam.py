@@ -100,3 +100,15 @@ def test_given_tables(spark):
     exact = {(d.doc_id, i) for d in docs.collect() for i, t in wanted.items() if t in decontam.normalize(d.text)}
     found = decontam.leaks(docs, items).collect()
     assert exact and {(r.key, r.item) for r in found if r.distance == 0} == exact
+
+
+@pytest.mark.parametrize("size", [decontam.BLOCK_BYTES, 1])
+@pytest.mark.parametrize("key", [None, 7])
+def test_items_that_share_a_key_or_have_none(spark, monkeypatch, key, size):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+    texts = ["alpha beta gamma delta", "one two three four five", "zulu yankee xray whiskey"]
+    items = _items(spark, [(key, t) for t in texts])
+    docs = cases.docs(spark, [(i, f"see {t} here", "en", "a", 1) for i, t in enumerate(texts)] + [(9, "none", "en", "a", 1)], ())
+    found = decontam.leaks(docs, items).collect()
+    assert sorted((r.key, r.item, r.distance) for r in found) == [(0, key, 0), (1, key, 0), (2, key, 0)]
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [9]
