@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 ERROR_RATE = 0.1  # edits per character of an item
 GRAM = 4
 BLOCK_BYTES = 32 << 20  # items matched in one pass over the documents
-MAX_ITEM_CHARS = 100_000
 
 ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -118,7 +117,13 @@ class Matcher:
         return hits
 
     def _hopeless(self, i: int, body: str, a: int, b: int) -> bool:
-        """Each edit spoils at most GRAM of the item's character runs; if more are missing, no match is within budget."""
+        """Whether no match within budget can lie there, as the place is too short or lacks too many character runs.
+
+        Each character that is missing is an edit, and each edit spoils at most
+        GRAM of the item's runs.
+        """
+        if min(b, len(body)) - a < len(self.items[i]) - self.errors[i]:
+            return True
         grams, spoiled = self.grams[i], self.errors[i] * GRAM
         if len(grams) <= spoiled:
             return False
@@ -139,23 +144,22 @@ class Matcher:
         return best
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
-    """The items in blocks of at most BLOCK_BYTES, in the order of their keys.
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
+    """The items in blocks of at most BLOCK_BYTES (or one longer item), in the order of their keys; at least one block.
 
-    The stated test set is read by the driver; each block travels with the tasks
-    of one pass over the documents, so what a task holds is bounded.
+    The driver reads the stated test set a part at a time and holds one block;
+    each block travels with the tasks of one pass over the documents, so what a
+    task holds is bounded, too.
     """
-    blocks: list[list[tuple]] = [[]]
+    block: list[tuple] = []
     size = 0
     for row in items.select(key, text).where(F.col(text).isNotNull()).orderBy(key, text).toLocalIterator():
-        if len(row[1]) > MAX_ITEM_CHARS:
-            raise ValueError(f"item {row[0]} has over {MAX_ITEM_CHARS} characters")
-        if blocks[-1] and size + len(row[1]) > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
+        if block and size + len(row[1]) > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((row[0], row[1]))
         size += len(row[1])
-    return blocks
+    yield block
 
 
 def _matcher(block: list[tuple], rate: float) -> Matcher:
@@ -179,7 +183,8 @@ def leaks(
     rounded down; of several places the closest and then the first counts. NULL
     and blank items match nothing, NULL and empty documents hold nothing. A
     repeated document row reports again, each item row reports on its own even
-    if others share its key, and a NULL key on either side stays NULL. An empty table on either side gives
+    if others share its key, and a NULL key on either side stays NULL. Texts and
+    items may have any length. An empty table on either side gives
     no row. Other columns are not read.
     """
     kinds = [docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()]

@@ -112,3 +112,23 @@ def test_items_that_share_a_key_or_have_none(spark, monkeypatch, key, size):
     found = decontam.leaks(docs, items).collect()
     assert sorted((r.key, r.item, r.distance) for r in found) == [(0, key, 0), (1, key, 0), (2, key, 0)]
     assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [9]
+
+
+def test_items_of_any_length(spark):
+    rng = random.Random(3)
+    long = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(15_000))
+    body = list(long)
+    for at in rng.sample(range(len(body)), 30):
+        body[at] = "~"
+    items = _items(spark, [(1, long), (2, "a short item of words")])
+    docs = cases.docs(spark, [(1, "".join(body), "en", "a", 1), (2, long[:90_000], "en", "a", 1)], ())
+    assert len(long) > 100_000
+    assert [(r.key, r.item, r.distance) for r in decontam.leaks(docs, items).collect()] == [(1, 1, 30)]
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [2]
+
+
+def test_blocks_are_read_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
+    blocks = decontam._blocks(_items(spark, [(i, "eight ch") for i in range(4)]), "item_id", "text")
+    assert next(blocks) == [(0, "eight ch")] and len(list(blocks)) == 3
+    assert list(decontam._blocks(_items(spark, []), "item_id", "text")) == [[]]
