@@ -20,9 +20,10 @@ from concord.session import pinned
 
 SEED = "mix-1"
 SWEEPS = 50
-MAX_CATEGORIES = 1000
-MAX_CELLS = 1_000_000
-REST = "rest"
+MAX_CATEGORIES = 1000  # the driver rakes up to so many categories of a dimension
+DRIVER_CELLS = 100_000  # and up to so many cells; more are raked as a table, with the same results
+MAX_CELLS: int | None = None  # a caller's own ceiling, over which a run is refused
+STEADY = 1e-12  # a table whose weights move by no more in a sweep is done
 DIMENSIONS = ("source", "lang", "topic")
 
 # Cues of the default topic, tried in this order.
@@ -68,25 +69,24 @@ def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], s
     return share / share.sum()
 
 
-def cell_weights(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> list[tuple]:
-    """(categories..., probability) of every cell.
+def cell_weights(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> tuple[DataFrame, bool]:
+    """(source, lang, topic, chance) of every cell, and whether they are few.
 
     ``cells`` has one row for each combination of categories with its tokens.
-    Each dimension keeps its MAX_CATEGORIES largest categories and the named
-    ones, the rest is pooled; over MAX_CELLS cells are refused. That bounds
-    what the driver holds.
+    Every category keeps its own target. Up to MAX_CATEGORIES categories of each
+    dimension and DRIVER_CELLS cells are raked by the driver, others as a table.
     """
-    pooled = cells
-    for d in DIMENSIONS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), d).limit(MAX_CATEGORIES + 1)
-        top = [r[d] for r in sums.collect()]
-        if len(top) > MAX_CATEGORIES:
-            named = {_code(c) for c in targets.shares.get(d, {})}
-            pooled = pooled.withColumn(d, F.when(F.col(d).isin([*named.union(top[:-1])]), F.col(d)).otherwise(REST))
-    rows = pooled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
+    counts = cells.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(d).alias(d) for d in DIMENSIONS]).head()
+    if MAX_CELLS is not None and counts["n"] > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells; give targets for coarser categories")
-    rows = sorted(rows, key=lambda r: tuple(r[d] for d in DIMENSIONS))
+    if counts["n"] <= DRIVER_CELLS and max(counts[d] for d in DIMENSIONS) <= MAX_CATEGORIES:
+        schema = "source string, lang string, topic string, chance double"
+        return cells.sparkSession.createDataFrame(_raked_by_driver(cells, targets, sweeps), schema), True
+    return _raked_as_table(cells, targets, sweeps), False
+
+
+def _raked_by_driver(cells: DataFrame, targets: Targets, sweeps: int) -> list[tuple]:
+    rows = sorted(cells.collect(), key=lambda r: tuple(r[d] for d in DIMENSIONS))  # at most DRIVER_CELLS rows
     live = [r for r in rows if r["tokens"] > 0]
     if not live:
         return [(*[r[d] for d in DIMENSIONS], 1.0) for r in rows]
@@ -94,7 +94,8 @@ def cell_weights(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> li
     codes, wanted = [], []
     for d in DIMENSIONS:
         names = sorted({r[d] for r in live})
-        code = np.array([names.index(r[d]) for r in live])
+        at = {n: i for i, n in enumerate(names)}
+        code = np.array([at[r[d]] for r in live])
         codes.append(code)
         wanted.append(_wanted(names, np.bincount(code, mass), targets, d))
     weight = rake(mass, codes, wanted, sweeps) / (mass / mass.sum())
@@ -102,6 +103,54 @@ def cell_weights(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS) -> li
     return [(*k, found.get(k, 1.0)) for k in (tuple(r[d] for d in DIMENSIONS) for r in rows)]
 
 
+def _raked_as_table(cells: DataFrame, targets: Targets, sweeps: int) -> DataFrame:
+    """The same over any number of categories: sums of each dimension are joined back, and each sweep is pinned.
+
+    Sums fold on the map side; where few categories hold many cells, their sums
+    are small enough to be broadcast or Spark splits the join.
+    """
+    live = cells.where("tokens > 0")
+    total = live.agg(F.sum("tokens")).head()[0]
+    if not total:
+        return cells.select(*DIMENSIONS, F.lit(1.0).alias("chance"))
+    goals = {d: pinned(_wanted_as_table(live, targets, d)) for d in DIMENSIONS}
+    raked = live.select(*DIMENSIONS, "tokens", (F.col("tokens") / F.lit(float(total))).alias("share"))
+    for _ in range(sweeps):
+        step = raked.withColumn("was", F.col("share"))
+        for d in DIMENSIONS:
+            sums = step.groupBy(F.col(d).alias("name")).agg(F.sum("share").alias("sum")).join(goals[d], F.col("name") == F.col("goal_name"))
+            factors = sums.select("name", F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
+            kept = [*DIMENSIONS, "tokens", "was"]
+            step = step.join(factors, F.col(d) == F.col("name")).select(*kept, (F.col("share") * F.col("factor")).alias("share"))
+        step = pinned(step)
+        moved = step.agg(F.max(F.abs(F.col("share") - F.col("was")) / F.nullif(F.greatest("share", "was"), F.lit(0.0)))).head()[0]
+        raked = step.select(*DIMENSIONS, "tokens", "share")
+        if moved is None or moved <= STEADY:
+            break
+    ratios = raked.select(*DIMENSIONS, (F.col("share") / F.col("tokens")).alias("ratio"))
+    largest = ratios.agg(F.max("ratio")).head()[0]
+    chances = ratios.select(*DIMENSIONS, (F.col("ratio") / F.lit(largest)).alias("chance"))
+    return pinned(chances.union(cells.where("tokens <= 0").select(*DIMENSIONS, F.lit(1.0).alias("chance"))))
+
+
+def _wanted_as_table(live: DataFrame, targets: Targets, dimension: str) -> DataFrame:
+    """(goal_name, goal): the target share of every category of a dimension."""
+    sums = live.groupBy(F.col(dimension).alias("goal_name")).agg(F.sum("tokens").alias("mass"))
+    given = {_code(k): v for k, v in targets.shares.get(dimension, {}).items()}
+    if given:
+        named = live.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "given_name string, given double")
+        sums = sums.join(named, F.col("goal_name") == F.col("given_name"), "left")
+        raw = pinned(sums.select("goal_name", F.coalesce("given", F.lit(0.0)).alias("raw")))
+    else:
+        whole = live.agg(F.sum("tokens")).head()[0]
+        share = F.col("mass") / F.lit(float(whole))
+        raw = pinned(sums.select("goal_name", F.pow(share, F.lit(targets.tempers.get(dimension, 1.0))).alias("raw")))
+    total = raw.agg(F.sum("raw")).head()[0]
+    if not total:
+        raise ValueError(f"no category of {dimension} has a target share")
+    return raw.select("goal_name", (F.col("raw") / F.lit(total)).alias("goal"))
+
+
 def _code(name: str | None) -> str:
     return "null" if name is None else f"={name}"
 
@@ -146,18 +195,13 @@ def mix(
     keys = {"source": F.col(source), "lang": F.col(lang), "topic": F.col(own[1])}
     coded = [category(v).alias(d) for d, v in keys.items()]
     cells = pinned(told.select(*coded, F.col(own[0]).alias("n")).groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")))
-    weights = cell_weights(cells, targets, sweeps)
-    spark = docs.sparkSession
-    found = spark.createDataFrame(weights, "__source string, __lang string, __topic string, __chance double")
-    listed = {d: sorted({w[i] for w in weights}) for i, d in enumerate(DIMENSIONS)}
+    weights, few = cell_weights(cells, targets, sweeps)
+    found = weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("chance").alias("__chance"))
     on = F.lit(True)
     for d, v in keys.items():
-        code = category(v)
-        if REST in listed[d]:
-            code = F.when(code.isin(listed[d]), code).otherwise(REST)
-        on = on & (code == F.col(f"__{d}"))
+        on = on & (category(v) == F.col(f"__{d}"))
     drawn = unit_interval(seed, F.col(key))
-    joined = told.join(F.broadcast(found), on)  # at most MAX_CELLS rows
+    joined = told.join(F.broadcast(found) if few else found, on)  # few: at most DRIVER_CELLS rows
     chance = F.col("__chance")
     return joined.select(*names, *own[:2], chance.alias(own[2]), (drawn < chance).alias(own[3]))
 

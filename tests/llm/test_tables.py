@@ -122,6 +122,28 @@ def test_pooled_categories_and_bounds(spark, monkeypatch):
         mixing.mix(docs)
 
 
+def test_every_category_keeps_its_target(spark):
+    """More sources than the driver takes are raked to their own targets, as they are by the driver."""
+    n = mixing.MAX_CATEGORIES + 200
+    rows = [(i, "w " * (1 + i % 7 + (i % n) // 50), "en" if i % 3 else "de", f"s{i % n}", 1) for i in range(2 * n)]
+    docs = spark.createDataFrame([*rows, (-1, None, None, "none", 1)], cases.DOCS)
+    mass = Counter()
+    for _, text, lang, source, _ in rows:
+        mass[(source, lang)] += text.count("w")
+    cells = sorted(mass)
+    share = np.array([mass[c] for c in cells], dtype=float)
+    codes = [np.unique([c[i] for c in cells], return_inverse=True)[1] for i in (0, 1)]
+    goals = []
+    for code, temper in zip(codes, (0.7, 0.8), strict=True):
+        goal = (np.bincount(code, share) / share.sum()) ** temper
+        goals.append(goal / goal.sum())
+    ratio = mixing.rake(share, codes, goals) / share
+    expected = dict(zip(cells, ratio / ratio.max(), strict=True))
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows) + 1
+    assert all(np.isclose(r.mix_probability, expected.get((r.source, r.lang), 1.0), rtol=1e-9) for r in found)
+
+
 # --- fixity ---
 
 
