@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import chat, decontam, fixity, gru, mixing, quality, sharding, simhash, syncmers, toxicity
+from concord.llm import chat, decontam, fixity, gru, hamming, mixing, negatives, phrases, quality, sharding, simhash, syncmers, toxicity
 from concord.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,3 +212,58 @@ def op10_gru(spark, sf):
     return found.select(
         "doc_id", _held_out(7), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@registered
+def op11_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op11_phrases"] = r"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+told AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM told GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM told, sizes WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS tail
+  FROM f, (SELECT unnest([1, 2, 3]) AS c) WHERE c < k),
+scored AS (SELECT x.lang, x.phrase, x.a, c, h.a AS l, t.a AS r,
+  CAST((CAST(2000000 AS HUGEINT) * x.a) // (CAST(h.a AS HUGEINT) + t.a) AS BIGINT) AS score FROM cuts x
+  JOIN f h ON h.lang = x.lang AND h.phrase = x.head JOIN f t ON t.lang = x.lang AND t.phrase = x.tail),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+within AS (SELECT o.lang, array_to_string(o.w[i:i + j - 1], ' ') AS phrase, max(o.a) AS outer_a
+  FROM f o, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS j) WHERE j < o.k AND i + j - 1 <= o.k GROUP BY ALL),
+left_over AS (SELECT x.* FROM weakest x LEFT JOIN within y ON y.lang = x.lang AND y.phrase = x.phrase
+  WHERE y.outer_a IS NULL OR CAST(100 AS HUGEINT) * y.outer_a < CAST(80 AS HUGEINT) * x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@registered
+def op12_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+ORACLES["op12_negatives"] = f"""WITH told AS (
+ SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+pairs AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+ FROM told a, told c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+near AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+hard AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+ FROM near JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 10"""
+
+
+@registered
+def op13_neighbours(spark, sf):
+    found = hamming.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
