@@ -89,7 +89,7 @@ class Block:
         inside[1:-1] = (raw != 32) & (raw != 10)
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
-        self.piece = np.cumsum(raw == 10, dtype=np.int64)[self.starts]
+        self.piece = np.searchsorted(np.flatnonzero(raw == 10), self.starts)
         begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
         self.lang = np.array(langs, np.int64)[np.searchsorted(begins, self.starts, "right") - 1]
         self.powers, self.keep = powers, np.uint64((WRAP - 1) ^ ((1 << (64 - bits)) - 1))
