@@ -30,9 +30,9 @@ from concord.operators.skew import global_rank
 from concord.session import pinned
 
 LONGEST = 4
-CHUNK = 4 << 20  # bytes of text hashed at once; a longer text is cut between pieces, and only a longer piece stays whole
+CHUNK = 2 << 20  # bytes of text hashed at once; a longer text is cut between pieces, and only a longer piece stays whole
 BITMAP_BITS = 27  # the bitmap of frequent fingerprints has 2^27 bits, 16 MB, whatever the corpus
-PACE = 1 << 20  # tables of powers grow by so many at once
+PACE = 1 << 19  # tables of powers grow by so many at once
 SLOT_BITS = 1 << 15  # bits in one of Spark's bitmaps
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd numbers, so that their powers have inverses
 WRAP = 1 << 64
