@@ -13,28 +13,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-STATED_BLOCK = 4096  # rows in a block
-ROWS_BLOCK = 8192
+STATED_BLOCK = 256  # rows in a block; each of these blocks reads all rows once
+ROWS_BLOCK = 32_768
 
 
 def numbered(df: DataFrame, vector: str, *columns: Column) -> DataFrame:
-    """(row, dim, the columns, vector as doubles) of rows whose vector and components are there and finite."""
-    doubles = F.col(vector).cast("array<double>")
+    """(row, dim, the columns, vector) of rows whose vector and components are there and finite.
+
+    Floats stay floats while they move; any other numbers are doubles.
+    """
+    kind = "float" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "double"
+    numbers = F.col(vector).cast(f"array<{kind}>")
     whole = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    told = df.select(*columns, doubles.alias("vector")).where(F.col("vector").isNotNull() & whole)
+    told = df.select(*columns, numbers.alias("vector")).where(F.col("vector").isNotNull() & whole)
     return told.withColumn("dim", F.size("vector")).withColumn("row", F.monotonically_increasing_id())
 
 
 def against(stated: DataFrame, rows: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn`` of each block of the stated rows and each block of all rows with vectors of one length.
 
-    Both frames have (row, dim) and should be pinned. There are as many blocks as keep
-    each within its bound, and at least one for each shuffle partition.
+    Both frames have (row, dim) and should be pinned. There are as many blocks
+    as keep each near its bound, so that what ``fn`` returns for a stated row
+    comes from few blocks.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tall = max(1, -(-stated.count() // STATED_BLOCK))
-    wide = max(tasks, -(-rows.count() // ROWS_BLOCK))
+    wide = max(1, -(-rows.count() // ROWS_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = stated.withColumn("q_block", block(tall)).withColumn("r_block", every(wide))
@@ -44,9 +49,10 @@ def against(stated: DataFrame, rows: DataFrame, fn: Callable[[pa.Table, pa.Table
 
 
 def matrix(table: pa.Table) -> np.ndarray:
-    """The vectors of a block as a matrix."""
+    """The vectors of a block as a matrix of doubles."""
     vectors = table.column("vector").combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    numbers = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return numbers.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
 
 
 def longs(table: pa.Table, name: str) -> np.ndarray:

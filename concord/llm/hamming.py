@@ -203,7 +203,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     """
     told = numbered(df, vector, F.col(key).cast("bigint").alias("id"), is_query.alias("is_query"))
     told = told.where(F.col("id").isNotNull() & F.exists("vector", lambda x: x != 0))
-    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     rows = pinned(told.withColumn("length", F.sqrt(square)))
     of_each = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
     sample = rows.orderBy(F.xxhash64("id", "row")).limit(SAMPLE).select("dim", "vector").collect()  # a bounded sample
