@@ -7,9 +7,9 @@ n-gram, all in numpy. Tasks count fingerprints of their blocks, keeping for each
 the places where it occurs; the shuffle adds the counts up.
 
 An n-gram is counted only where all its parts can be frequent, so that lengths
-are counted in three passes: words, pairs of frequent words, and longer ones
-made of frequent pairs. What is frequent travels as a bitmap of a fixed size: a
-false hit costs a row and no more.
+are counted one after the other: words, pairs of frequent words, and longer ones
+made of frequent parts. What is frequent travels as a bitmap of a fixed size in
+which each has two bits: a false hit costs a row and no more.
 
 Fingerprints only choose. A last pass goes back to the places of the frequent
 ones, compares every word with the text of the first word of its fingerprint,
@@ -30,9 +30,10 @@ from concord.operators.skew import global_rank
 from concord.session import pinned
 
 LONGEST = 4
-CHUNK = 2 << 20  # bytes of text hashed at once; a longer text is cut between pieces, and only a longer piece stays whole
+CHUNK = 1 << 20  # bytes of text hashed at once; a longer text is cut between pieces, and only a longer piece stays whole
 BITMAP_BITS = 27  # the bitmap of frequent fingerprints has 2^27 bits, 16 MB, whatever the corpus
-PACE = 1 << 19  # tables of powers grow by so many at once
+COUNTED_BITS = 40  # of a fingerprint that are shuffled; phrases that share them only count together until the last pass
+PACE = 1 << 18  # tables of powers grow by so many at once
 SLOT_BITS = 1 << 15  # bits in one of Spark's bitmaps
 BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd numbers, so that their powers have inverses
 WRAP = 1 << 64
@@ -169,23 +170,31 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[Bloc
         yield Block(texts, [number[x] for x in langs], powers, bits), names, salts
 
 
+def _places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both bits of a shuffled fingerprint: its upper and its lower part."""
+    return found >> (COUNTED_BITS - BITMAP_BITS), found & ((1 << BITMAP_BITS) - 1)
+
+
 def _holds(bitmap: np.ndarray, found: np.ndarray) -> np.ndarray:
-    at = found >> np.uint64(64 - BITMAP_BITS)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    one, other = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _places(_counted(found)))
+    return one & other == 1
+
+
+def _counted(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
 
 
-def _counts(told: DataFrame, sizes: tuple[int, ...], part: int, known, bits: int) -> DataFrame:
-    """(fp, copies) of the n-grams of these sizes whose parts of size ``part`` are all in the bitmap, by block."""
+def _counts(told: DataFrame, size: int, known, bits: int) -> DataFrame:
+    """(fp, copies) of the n-grams of this size whose two parts that are a word shorter are in the bitmap, by block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, salts in _blocks(batches, bits):
-            parts = _holds(known.value, block.grams(part, salts)[0]) if known else None
-            for size in sizes:
-                found, ok = block.grams(size, salts)
-                for i in range(size - part + 1) if known else ():
-                    ok = ok & parts[i : i + len(ok)]
-                own, copies = np.unique(found[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(copies.astype(np.int64))], ["fp", "copies"])
+            found, ok = block.grams(size, salts)
+            if known:
+                parts = _holds(known.value, block.grams(size - 1, salts)[0])
+                ok &= parts[: len(ok)] & parts[1 : len(ok) + 1]
+            own, copies = np.unique(_counted(found[ok]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(copies.astype(np.int64))], ["fp", "copies"])
 
     return told.mapInArrow(rows, "fp bigint, copies bigint")
 
@@ -193,8 +202,11 @@ def _counts(told: DataFrame, sizes: tuple[int, ...], part: int, known, bits: int
 def _bitmap(counts: DataFrame, least: int) -> np.ndarray:
     """Bits of the fingerprints with at least so many copies."""
     frequent = counts.groupBy("fp").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= least)
-    place = F.shiftrightunsigned("fp", 64 - BITMAP_BITS) + 1  # Spark counts bits from one
-    slots = frequent.select(F.bitmap_bucket_number(place).alias("slot"), F.bitmap_bit_position(place).alias("bit"))
+    upper = F.shiftright("fp", COUNTED_BITS - BITMAP_BITS)
+    lower = F.col("fp").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    place = F.col("place") + 1  # Spark counts bits from one
+    places = frequent.select(F.explode(F.array(upper, lower)).alias("place"))
+    slots = places.select(F.bitmap_bucket_number(place).alias("slot"), F.bitmap_bit_position(place).alias("bit"))
     found = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
     width = SLOT_BITS // 8
     for slot, bits in slots.groupBy("slot").agg(F.bitmap_construct_agg("bit")).collect():  # 16 MB at most
@@ -242,8 +254,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     spark = docs.sparkSession
     told = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     known, bitmap = None, np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for sizes, part in (((1,), 1), ((2,), 1), (tuple(range(3, LONGEST + 1)), 2)):
-        bitmap |= _bitmap(_counts(told, sizes, part, known, bits), least)
+    for size in range(1, LONGEST + 1):
+        bitmap |= _bitmap(_counts(told, size, known, bits), least)
         if known:
             known.unpersist()
         known = spark.sparkContext.broadcast(bitmap)
@@ -273,22 +285,22 @@ def collocations(
     words = F.split("phrase", " ")
     phrases = counted.where("size > 1").select("lang", "size", "phrase", F.col("copies").alias("a"), words.alias("words"))
 
-    cut = phrases.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    inner = phrases.where("size > 2").select(F.col("lang").alias("in_lang"), F.explode(_inner()).alias("inner"), F.col("a").alias("outer"))
+    held = inner.groupBy("in_lang", "inner").agg(F.max("outer").alias("outer"))
+    within = (F.col("lang") == F.col("in_lang")) & (F.col("phrase") == F.col("inner"))
+    exact = [F.col(c).cast("decimal(20,0)") * F.lit(x) for c, x in (("outer", 100), ("a", share))]
+    alone = phrases.join(held, within, "left").where(F.col("outer").isNull() | (exact[0] < exact[1]))
+
+    cut = alone.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     left = parts.select("lang", F.col("phrase").alias("head"), F.col("copies").alias("l"))
     right = parts.select("lang", F.col("phrase").alias("tail"), F.col("copies").alias("r"))
     cut = cut.select("lang", "phrase", "a", "k", _part(F.col("words"), 1, F.col("k")).alias("head"), _tail().alias("tail"))
-    both = cut.join(left, ["lang", "head"]).join(right, ["lang", "tail"])
+    both = cut.join(left, ["lang", "head"]).drop("head").join(right, ["lang", "tail"]).drop("tail")
     wide = F.col("a").cast("decimal(20,0)") * F.lit(SCORE_SCALE).cast("decimal(7,0)")
     score = F.call_function("div", wide, (F.col("l").cast("decimal(20,0)") + F.col("r").cast("decimal(20,0)")))
     scored = both.withColumn("score", score.cast("bigint"))
     weakest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-
-    inner = phrases.where("size > 2").select(F.col("lang").alias("in_lang"), F.explode(_inner()).alias("inner"), F.col("a").alias("outer"))
-    held = inner.groupBy("in_lang", "inner").agg(F.max("outer").alias("outer"))
-    within = (F.col("lang") == F.col("in_lang")) & (F.col("phrase") == F.col("inner"))
-    exact = [F.col(c).cast("decimal(20,0)") * F.lit(x) for c, x in (("outer", 100), ("a", share))]
-    own = weakest.join(held, within, "left")
-    own = own.where(F.col("outer").isNull() | (exact[0] < exact[1])).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    own = weakest.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
     # One order over all languages, so that a language of any size is ranked by many tasks.
     order = ["lang", "by_score", "by_copies", "phrase"]
