@@ -40,6 +40,22 @@ SELECT l_orderkey + 100000000, l_linenumber, l_quantity, l_returnflag, l_shipdat
 FROM {lineitem} WHERE l_partkey % 37 = 0
 """
 
+# A copy of orders in which two years have defects and the others are alike.
+ORDERS_DRIFTED = """
+SELECT o_orderkey, o_custkey, o_orderstatus,
+ CASE WHEN year(o_orderdate) = 1995 AND o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+ o_orderdate, o_orderpriority
+FROM {orders} WHERE NOT (year(o_orderdate) = 1997 AND o_orderkey % 101 = 0)
+"""
+
+# A copy of lineitem whose measures drift: one within a tolerance, one beyond it, and one group with fewer rows.
+LINES_DRIFTED = """
+SELECT l_orderkey, l_returnflag, l_linestatus, l_discount,
+ CASE WHEN l_partkey % 19 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+ CASE WHEN l_partkey % 23 = 0 THEN l_extendedprice + 0.004 ELSE l_extendedprice END AS l_extendedprice
+FROM {lineitem} WHERE NOT (l_returnflag = 'A' AND l_partkey % 31 = 0)
+"""
+
 # Spellings of native types that the derived column dumps use.
 NATIVE_TYPES = (
     "NUMBER(38,0)", "NUMBER(12,2)", "number", "INTEGER", "bigint", "SMALLINT", "DECIMAL(12,2)", "DECIMAL(10,2)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from concord.operators.patterns import SHAPES
 from concord.suite import inputs
 
 ORDERS_TARGET = inputs.ORDERS_TARGET.replace("{orders}", "orders")
@@ -362,6 +363,62 @@ TOP_TAIL = "WHERE $c IS NOT NULL GROUP BY $c ORDER BY count(*) DESC, $c LIMIT 3"
 EVERY = (TEXT, NUMBER, TIME)
 
 
+RANKS = ", (SELECT unnest([0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]::DOUBLE[]) AS rank) WHERE $c IS NOT NULL GROUP BY rank"
+
+
+def _patterns() -> tuple[str, str]:
+    """Shapes by the same classes; there are no references within a pattern here, so each class folds on its own."""
+    shape, marks = "$c", [(kind, chr(0xE000 + i), sign) for i, (kind, sign) in enumerate(SHAPES)]
+    for kind, mark, _ in marks:
+        shape = f"regexp_replace({shape}, '{kind}', '{mark}', 'g')"
+    for _, mark, _ in marks:
+        shape = f"regexp_replace({shape}, '{mark}{{2,}}', '{mark}+', 'g')"
+    for _, mark, sign in marks:
+        shape = f"replace({shape}, '{mark}', '{sign}')"
+    picked = f"{shape} AS pattern, count(*) AS value_count, count(*)::DOUBLE / sum(count(*)) OVER () * 100 AS percentage"
+    return picked, f"WHERE $c IS NOT NULL GROUP BY {shape} QUALIFY count(*) >= sum(count(*)) OVER () * 0.05"
+
+
+def _aggregates() -> str:
+    """Sums are exact as whole numbers of units of a power of two; a double is made of two exact parts, so that it is rounded once."""
+    units = {"l_quantity": 20, "l_extendedprice": 45, "l_discount": 62}
+    parts = []
+    for side, table in (("s", "lineitem"), ("t", "drifted")):
+        measured = ", ".join(
+            f"count({c}) AS {c}_n, sum(CAST({c} * pow(2.0, {u}) AS HUGEINT)) AS {c}_u, min({c}) AS {c}_min, max({c}) AS {c}_max"
+            for c, u in units.items()
+        )
+        parts.append(
+            f"{side} AS (SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus) AS g, {measured} FROM {table} "
+            "GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ()))"
+        )
+    rows = []
+    label = "CASE g WHEN 0 THEN 'l_returnflag,l_linestatus' WHEN 1 THEN 'l_returnflag' WHEN 2 THEN 'l_linestatus' ELSE '' END"
+    on = "s.g = t.g AND s.l_returnflag IS NOT DISTINCT FROM t.l_returnflag AND s.l_linestatus IS NOT DISTINCT FROM t.l_linestatus"
+    for c, u in units.items():
+        total = f"((CAST($.{c}_u // 1099511627776 AS DOUBLE) * 1099511627776.0 + CAST($.{c}_u % 1099511627776 AS DOUBLE)) / pow(2.0, {u}))"
+        metrics = {
+            "count": (f"CAST($.{c}_n AS DOUBLE)", f"s.{c}_n = t.{c}_n", False),
+            "sum": (total, f"s.{c}_u = t.{c}_u", True),
+            "avg": (f"({total} / $.{c}_n)", f"s.{c}_u = t.{c}_u AND s.{c}_n = t.{c}_n", True),
+            "min": (f"$.{c}_min", f"s.{c}_min = t.{c}_min", True),
+            "max": (f"$.{c}_max", f"s.{c}_max = t.{c}_max", True),
+        }
+        for metric, (value, equal, tolerant) in metrics.items():
+            a, b = value.replace("$", "s"), value.replace("$", "t")
+            close = f"abs({a} - {b}) / greatest(abs({a}), abs({b})) * 100 <= 0.0001" if tolerant and c == "l_extendedprice" else "false"
+            rows.append(
+                f"SELECT s.l_returnflag, s.l_linestatus, {label.replace('g WHEN', 's.g WHEN', 1)} AS grouping, '{c}' AS column_name, '{metric}' AS metric, "
+                f"{a} AS source_value, {b} AS target_value, CASE WHEN {equal} THEN 'equal' WHEN {close} THEN 'within-tolerance' "
+                f"ELSE 'differing' END AS category FROM s JOIN t ON {on}"
+            )
+    drifted = inputs.LINES_DRIFTED.replace("{lineitem}", "lineitem")
+    return (
+        f"WITH drifted AS ({drifted}), {', '.join(parts)}, found AS ({' UNION ALL '.join(rows)}) "
+        "SELECT *, CASE category WHEN 'differing' THEN 'Failure' ELSE 'Pass' END AS severity FROM found"
+    )
+
+
 def _profile_table() -> str:
     each = ", ".join(f"count({c}) AS {c}_non_null_count, count(DISTINCT {c}) AS {c}_distinct_count" for c in COLUMNS["orders"])
     return f"SELECT count(*) AS total_count, {each} FROM orders"
@@ -586,8 +643,11 @@ b AS (SELECT coalesce(sk.id, tk.id) AS id, coalesce(sk.n, 0) AS ns, coalesce(tk.
 SELECT CAST(id AS VARCHAR) AS id, CASE WHEN nt > 1 THEN 'duplicate-in-target' WHEN nt = 0 THEN 'missing-from-target'
  WHEN ns = 0 THEN 'missing-from-source' WHEN a = c THEN 'matching' ELSE 'matched-key-differing-values' END AS category,
  greatest(nt, 1) AS findings FROM b""",  # noqa: E501
-        "norm_instant": """SELECT o_orderkey, strftime(date_trunc('hour', CAST(make_timestamp((800000000 + o_orderkey * 3600) * 1000000)
- AS TIMESTAMP) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M:%S') AS value FROM orders""",
+        # Of a wall clock that occurs twice the earlier instant counts, which is an hour before the one that is given here.
+        "norm_instant": """WITH w AS (SELECT o_orderkey, CAST(make_timestamp((800000000 + o_orderkey * 3600) * 1000000) AS TIMESTAMP) AS wall FROM orders),
+i AS (SELECT *, wall AT TIME ZONE 'America/New_York' AS later FROM w),
+e AS (SELECT o_orderkey, CASE WHEN (later - INTERVAL 1 HOUR) AT TIME ZONE 'America/New_York' = wall THEN later - INTERVAL 1 HOUR ELSE later END AS instant FROM i)
+SELECT o_orderkey, strftime(date_trunc('hour', instant AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M:%S') AS value FROM e""",  # noqa: E501
         "hash_tolerance": f"SELECT order_key, total_price, {STEP.format('total_price')} AS absolute_text, floor(total_price * pow(10.0, {magnitude}) + 0.5) / pow(10.0, {magnitude}) AS percentage_value FROM ({ORDERS_TARGET})",  # noqa: E501
         "sample_first_n": "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50",
         "sample_random": "SELECT least(500, count(*)) AS sampled, least(500, count(*)) AS distinct_keys FROM orders",
@@ -632,5 +692,14 @@ SELECT CAST(id AS VARCHAR) AS id, CASE WHEN nt > 1 THEN 'duplicate-in-target' WH
         + f" UNION ALL SELECT unnest({list(CSV_FIXED)})",
         "export_markdown_rows": _export("concat('| ', concat_ws(' | ', " + ", ".join(_markdown(c) for c in LISTED) + "), ' |')"),
         "run_history": _history(),
+        "narrow_differences": f"{_orders()} SELECT o_orderkey, category, {SEVERITY} AS severity, findings, source_rows, target_rows FROM found WHERE category <> 'matching'",  # noqa: E501
+        "narrow_differences_partitioned": f"""WITH t AS ({inputs.ORDERS_DRIFTED.replace("{orders}", "orders")})
+SELECT s.o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'missing-from-target' ELSE 'matched-key-differing-values' END AS category,
+ CAST(1 AS BIGINT) AS source_rows, CAST(t.o_orderkey IS NOT NULL AS BIGINT) AS target_rows
+FROM orders s LEFT JOIN t USING (o_orderkey) WHERE t.o_orderkey IS NULL OR t.o_totalprice <> s.o_totalprice""",
+        "aggregate_parity": _aggregates(),
+        "profile_distinct_sketch": _per_column((*PROFILED, "lineitem"), EVERY, "count(DISTINCT $c) AS distinct_count, true AS within_error"),
+        "profile_quantiles": _per_column((*PROFILED, "lineitem"), (NUMBER,), "rank, count($c) AS populated, true AS within_error", RANKS),
+        "profile_patterns": _per_column(("customer", "orders", "events", "conversations"), (TEXT,), *_patterns()),
         "run_history_latest": f"{_run('rows volume')}, total AS (SELECT CAST(sum(findings) AS BIGINT) AS findings, count(*) FILTER (WHERE severity IN ('Failure', 'Error')) AS failed FROM run) SELECT '{_run_id('2026-01-03T00:00:00.000Z')}' AS run_id, 'orders migration' AS comparison, CASE WHEN failed > 0 THEN 'failed' ELSE 'warning' END AS status, '2026-01-03T00:00:00.000Z' AS timestamp, findings FROM total",  # noqa: E501
     }

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from concord.functions.digest import canonical_text
 from concord.functions.nativetypes import canonical_type, type_compatibility, type_modifiers
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
-from concord.operators import hashing, profile, rows, sampling, schema
+from concord.operators import aggregates, hashing, narrowing, patterns, profile, rows, sampling, schema, sketches
 from concord.operators.rows import Pair
 from concord.operators.volume import compare_volume
 from concord.plans.run import FINDINGS, Checks, Definition, Run, run_comparison
@@ -579,3 +579,76 @@ def run_history_latest(spark, sf):
     newest = history.run_id_for("orders migration", "2026-01-03T00:00:00.000Z")
     listed = history.load_run(spark, root, newest).groupBy("run_id").agg(F.sum("findings").alias("findings"))
     return latest.join(listed, "run_id")
+
+
+# --- narrowing, aggregates, sketches ---------------------------------------
+
+
+@registered
+def narrow_differences(spark, sf):
+    """Defects all over the key range: the descent ends early."""
+    source, target = _order_sides(spark, sf)
+    found = narrowing.narrow_differences(source, target, KEY, ORDER_MAPPING, ORDER_RULES, float_scale=FLOAT_SCALE)
+    return found.result.select(*KEY, "category", "severity", "findings", "source_rows", "target_rows")
+
+
+@registered
+def narrow_differences_partitioned(spark, sf):
+    """Two tables partitioned by year, of which two years differ in few rows; the other years are read once."""
+    folder = f"{shared_dir(spark)}/narrow-{uuid.uuid4().hex}"
+    sides = []
+    for name, df in (("source", inputs.orders(spark, sf)), ("target", inputs.from_sql(spark, sf, inputs.ORDERS_DRIFTED, "orders"))):
+        df.withColumn("order_year", F.year("o_orderdate")).write.partitionBy("order_year").parquet(f"{folder}/{name}")
+        sides.append(spark.read.parquet(f"{folder}/{name}"))
+    mapping = [(c, c) for c in sides[0].columns]
+    found = narrowing.narrow_differences(*sides, KEY, mapping, partition_column="order_year", row_goal=1000)
+    return found.result.select(*KEY, "category", "source_rows", "target_rows")
+
+
+@registered
+def aggregate_parity(spark, sf):
+    """All grouping sets of two columns; sums are exact before the tolerance."""
+    source = inputs.lines(spark, sf)
+    target = inputs.from_sql(spark, sf, inputs.LINES_DRIFTED, "lineitem")
+    measures, by = ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]
+    return aggregates.aggregate_parity(source, target, measures, by, tolerances={"l_extendedprice": Tolerance(percentage=0.0001)})
+
+
+@registered
+def profile_distinct_sketch(spark, sf):
+    """Estimates from sketches of eight parts, merged, against the exact counts of distinct values."""
+
+    def checked(df):
+        parts = df.withColumn("__part", F.pmod(F.xxhash64(df.columns[0]), F.lit(8)))
+        merged = sketches.merge_sketches(sketches.sketch_columns(parts, df.columns, "__part"))
+        exact = profile.profile_general(df).select("column_name", "distinct_count")
+        both = exact.join(sketches.distinct_estimates(merged), "column_name")
+        return both.select("column_name", "distinct_count", F.col("distinct_count").between(F.col("low"), F.col("high")).alias("within_error"))
+
+    return _profiled(spark, sf, checked, (*PROFILED, "lineitem"))
+
+
+@registered
+def profile_quantiles(spark, sf):
+    """Quantiles from merged sketches, each checked against the exact rank of its value."""
+    ranks = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+
+    def checked(df):
+        parts = df.withColumn("__part", F.pmod(F.xxhash64(df.columns[0]), F.lit(8)))
+        found = sketches.quantiles(sketches.merge_sketches(sketches.sketch_columns(parts, df.columns, "__part")), ranks)
+        found = found.withColumnRenamed("value", "quantile")
+        cells = profile.long_values(df, profile.columns_of(df, ["number"]), "double").where("value IS NOT NULL")
+        v, q = F.col("value"), F.col("quantile")
+        placed = cells.join(F.broadcast(found), "column_name").groupBy("column_name", "rank", "rank_error").agg(
+            F.count_if(v < q).alias("below"), F.count_if(v <= q).alias("upto"), F.count(F.lit(1)).alias("populated")
+        )
+        share = lambda c: F.col(c) / F.col("populated")
+        inside = (share("below") - F.col("rank_error") <= F.col("rank")) & (F.col("rank") <= share("upto") + F.col("rank_error"))
+        return placed.select("column_name", "rank", "populated", inside.alias("within_error"))
+
+    return _profiled(spark, sf, checked, (*PROFILED, "lineitem"))
+
+
+@registered
+def profile_patterns(spark, sf):
+    return _profiled(spark, sf, lambda df: patterns.frequent_patterns(df, 0.05), ("customer", "orders", "events", "conversations"))

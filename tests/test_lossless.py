@@ -91,3 +91,19 @@ def test_large_strata_shuffle_winners_only(spark):
     ]
     plan = sample._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan.split("Scan")[0].split("Exchange")[-1]
+
+
+def test_wall_clocks_that_occur_twice_or_not_at_all(spark):
+    """The earlier instant of a doubled hour, and what a skipped hour would have been."""
+    clocks = {
+        "1995-10-29 00:30:00": "1995-10-29 04:30:00", "1995-10-29 01:13:20": "1995-10-29 05:13:20", "1995-10-29 02:00:00": "1995-10-29 07:00:00",
+        "1996-10-27 01:59:59": "1996-10-27 05:59:59", "1996-04-07 01:59:59": "1996-04-07 06:59:59", "1996-04-07 02:13:20": "1996-04-07 07:13:20",
+        "1996-04-07 03:00:00": "1996-04-07 07:00:00", "1997-04-06 02:30:00": "1997-04-06 07:30:00",
+    }
+    df = spark.createDataFrame([(k,) for k in clocks], "t string")
+    wall = df.select("t", F.col("t").cast("timestamp_ntz").alias("w"))
+    rule = Rule(timezone="America/New_York")
+    value, _ = normalize(wall.w, T.TimestampNTZType(), rule)
+    assert {r.t: str(r.v) for r in wall.select("t", value.alias("v")).collect()} == clocks
+    text, _ = normalize(df.t, T.StringType(), rule)
+    assert {r.t: r.v for r in df.select("t", text.alias("v")).collect()} == {k: v.replace(" ", "T") + ".000Z" for k, v in clocks.items()}

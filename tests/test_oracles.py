@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from concord.suite.oracles import oracles
 from concord.suite.queries import QUERIES
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
