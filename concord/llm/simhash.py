@@ -9,13 +9,18 @@ words that differ in at most r bits agree under some mask: every pair within
 the radius meets in some table. With several words, a pair with fewer than
 words * (r + 1) different bits has a word within the radius.
 
-With several words a link is not left to the bits: pairs that meet and are
-within a bit limit are compared by the Jaccard similarity of their sets of
-distinct shingles. Pairs that links already connect need no comparison.
+``similar_documents`` does not leave links to the bits: pairs count by the Jaccard
+similarity of their sets of distinct shingles. Covering masks bring near copies
+together, which fold into classes. What they leave apart is completed exactly.
+In one order of all shingles, two sets with a similarity of t share one of the
+first n - ceil(t n) + 1 shingles of each, n being its size; so each text also
+meets others in the buckets of these. Shingles that are frequent in a sample of
+texts come last in the order, so that few buckets are large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,8 +39,9 @@ BITS = 64
 BLOCK = 1 << 16  # shingles hashed at once, whatever the length of a text
 ROWS_PER_TASK = 2_000_000  # (bucket, node) rows that one task makes
 SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each other; others go by exact flips
-SMALL_WIDE_BUCKET = 8  # the same where flips do not apply; others are first folded into classes, then compared across them
-FOLDS = 3  # rounds in which each node compares with its least and its nearest candidate only, before all that are left
+SAMPLED_TEXTS = 20_000  # texts that show which shingles are frequent; this orders shingles and decides nothing else
+FREQUENT = 20  # of the sampled texts that hold a shingle for it to count as frequent
+COMPARED_BLOCK = 512  # members of a bucket that one task compares with the others
 
 
 def signed(word: int) -> int:
@@ -104,23 +110,12 @@ def fingerprint(text: str | None, width: int, words: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, width: int, words: int = 1) -> DataFrame:
-    """(key, text_hash, fp, node) for each row; ``fp`` is an array of ``words`` longs.
-
-    With one word the node is the word. With several, repeated shingles count
-    once and the node is a hash of the set of shingles.
-    """
+    """(key, text_hash, fp, node) for each row; ``fp`` is an array of ``words`` longs, the node its first word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, nodes = [], []
-            for t in batch.column(2):
-                if words == 1:
-                    found.append(fingerprint(t.as_py(), width))
-                    nodes.append(found[-1][0])
-                else:
-                    own = shingle_set(t.as_py(), width)
-                    found.append(_majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), words))
-                    nodes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)))
+            found = [fingerprint(t.as_py(), width, words) for t in batch.column(2)]
+            nodes = [fp[0] for fp in found]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node"])
 
@@ -133,14 +128,6 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _distance(x: Column, y: Column, words: int) -> Column:
-    parts = [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(words)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
-
-
 def _tables(distinct: DataFrame, words: int, radius: int) -> DataFrame:
     """(bucket, node): one row for each fingerprint and mask."""
     spots = [
@@ -181,50 +168,118 @@ def _flips(members: DataFrame) -> DataFrame:
     return spread.join(least, "middle").select("a", F.col("node").alias("b"))
 
 
-def _first_and_neighbours(members: DataFrame) -> DataFrame:
-    """Pairs that fold a large bucket: each member with the least one and with the next in its block of a shuffled order.
+def _frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """Hashes of the shingles that many of a bounded sample of texts hold, in order.
 
-    They only save comparisons; ``_across`` finds what they leave apart. The
-    blocks spread the order of one bucket over several tasks.
+    The sample takes different texts by their hash. As each frequent shingle
+    takes its share of the sample's shingles, their number is bounded too.
     """
-    least = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    first = members.join(least, "bucket").select("a", F.col("node").alias("b"))
-    order = Window.partitionBy("bucket", "block").orderBy("mixed")
-    mixed = members.withColumn("mixed", F.xxhash64("node", "bucket")).withColumn("block", F.shiftright("mixed", 60))
-    next_ = mixed.withColumn("b", F.lead("node").over(order)).where(F.col("b").isNotNull())
-    return first.union(next_.select(F.col("node").alias("a"), "b"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), width).view(np.int64))], ["shingle"])
+
+    told = docs.select(F.col(text).alias("text"), _text_hash(text).alias("text_hash"))
+    part = max(1, told.count() // SAMPLED_TEXTS)
+    sample = told.where(F.pmod("text_hash", F.lit(part)) == 0).dropDuplicates(["text_hash"]).limit(2 * SAMPLED_TEXTS)
+    counts = sample.select("text").mapInArrow(rows, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = [r.shingle for r in counts.where(F.col("n") >= FREQUENT).select("shingle").collect()]
+    return np.sort(np.array(found, np.int64)).view(np.uint64) if found else np.zeros(0, np.uint64)
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """How many first shingles of a set are enough to meet every set that is so similar."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the common order: rare before frequent, then by hash."""
+    own = np.sort(shingles)
+    known = np.sort(frequent)
+    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+    late = known[at] == own if len(known) else np.zeros(len(own), bool)
+    return np.concatenate([own[~late], own[late]])[: prefix_length(len(own), similarity)]
+
+
+def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: float, frequent) -> DataFrame:
+    """(key, text_hash, fp, node, size, prefix) for each row; the node is a hash of the set of distinct shingles."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, nodes, sizes, firsts = [], [], [], []
+            for t in batch.column(2):
+                own = shingle_set(t.as_py(), width)
+                found.append(_majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), 1))
+                nodes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)))
+                sizes.append(len(own))
+                firsts.append(prefix(own, frequent.value, similarity).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
+            columns += [pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix"])
+
+    narrow = docs.select(F.col(key).alias("key"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
+    kind = narrow.schema["key"].dataType.simpleString()
+    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>")
+
+
+def _met(nodes: DataFrame, radius: int) -> DataFrame:
+    """(bucket, node, size, members) of the buckets of masks and of first shingles that several nodes share."""
+    spots = F.array(*[F.xxhash64(F.lit(i), F.col("fp")[0].bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius))])
+    conf = nodes.sparkSession.conf
+    made = nodes.agg(F.sum(F.size("prefix") + F.size(spots))).first()[0] or 0
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), made // ROWS_PER_TASK)
+    # Each row becomes many, so that partitions sized for the rows that come in would be far too few.
+    tables = nodes.repartition(tasks, "node").select("node", "size", F.explode(F.concat(spots, "prefix")).alias("bucket"))
+    sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return tables.join(sizes, "bucket")
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _sized(n: Column, m: Column, least: float) -> Column:
+    """Whether sets of these sizes can be so similar."""
+    return F.least(n, m) >= least * F.greatest(n, m)
+
+
+def _folding(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) that fold buckets: each member with the one that meets most others in all its buckets.
+
+    In a group of copies that is the text they are copies of, as its shingles
+    are in more of them than any edited one's. The pairs only save comparisons,
+    but for buckets of two, of which they are all; ``_across`` finds what they
+    leave apart.
+    """
+    meetings = met.groupBy("node").agg(F.sum("members").alias("meetings"))
+    told = met.select("bucket", "node").join(meetings, "node")
+    hubs = told.groupBy("bucket").agg(F.max(F.struct("meetings", "node")).alias("hub"))
+    pairs = told.join(hubs, "bucket").where(F.col("node") != F.col("hub.node"))
+    return pairs.select(*_ordered(F.col("hub.node"), F.col("node"))).distinct()
 
 
-def _across(members: DataFrame, distinct: DataFrame, roots: DataFrame, words: int, max_bits: int) -> DataFrame:
-    """(a, b, bits): all pairs in one large bucket but in different classes that are within the bits.
+def _across(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) in one bucket but in different classes.
 
     Of two classes one is not the largest of its bucket, so only members outside
     the largest are compared with the others; a bucket in one class drops out.
+    The members of a large bucket are dealt to blocks, each of which meets all
+    others in a task of its own.
     """
-    known = _rooted(members.select("bucket", "node"), roots)
+    known = met.where("members > 2").select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sums.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
-    open_ = known.join(largest.where("classes > 1"), "bucket").join(distinct, "node")
-    open_ = pinned(open_.select("bucket", "node", "root", "fp", (F.col("root") == F.col("top.root")).alias("main")))
-    x = open_.where("NOT main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("fp").alias("x_fp"))
-    y = open_.select(F.col("bucket").alias("y_bucket"), F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("fp").alias("y_fp"), "main")
+    largest = sums.groupBy("bucket").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.ceil(F.sum("n") / COMPARED_BLOCK).alias("blocks")
+    )
+    open_ = pinned(known.join(largest.where("classes > 1"), "bucket").withColumn("main", F.col("root") == F.col("top.root")).drop("top", "classes"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    x = open_.where("NOT main").select("bucket", block.alias("block"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("root").alias("x_root"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    y = open_.select("bucket", every.alias("block"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("root").alias("y_root"), "main")
     once = F.col("main") | (F.col("x") < F.col("y"))
-    near = _distance(F.col("x_fp"), F.col("y_fp"), words) <= max_bits
-    met = x.join(y, (F.col("bucket") == F.col("y_bucket")) & (F.col("x_root") != F.col("y_root")) & once & near)
-    bits = _distance(F.col("x_fp"), F.col("y_fp"), words).alias("bits")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits).distinct()
-
-
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """For each node its least and its nearest partner."""
-    sides = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    best = sides.groupBy("a").agg(F.min("b").alias("p"), F.min(F.struct("bits", "b")).alias("q"))
-    chosen = best.select("a", F.explode(F.array("p", "q.b")).alias("b"))
-    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = x.join(y, ["bucket", "block"]).where((F.col("x_root") != F.col("y_root")) & once & _sized(F.col("x_size"), F.col("y_size"), least))
+    return met.select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -233,61 +288,30 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     # Sets of too different sizes are told apart by their counts alone.
     n, m = F.size("x"), F.size("y")
-    both = pairs.join(x, "a").join(y, "b").where(F.least(n, m) >= least * F.greatest(n, m))
+    both = pairs.join(x, "a").join(y, "b").where(_sized(n, m, least))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= least * (n + m - common)).select("a", "b")
-
-
-def _linked(candidates: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links with as many similar candidates as connect what all similar candidates would."""
-    rest = candidates
-    for fold in range(FOLDS + 1):
-        roots = components(links)
-        x = roots.select(F.col("node").alias("x"), F.col("root").alias("x_root"))
-        y = roots.select(F.col("node").alias("y"), F.col("root").alias("y_root"))
-        placed = rest.join(x, F.col("a") == F.col("x"), "left").join(y, F.col("b") == F.col("y"), "left")
-        rest = pinned(placed.where(F.coalesce("x_root", "a") != F.coalesce("y_root", "b")).select("a", "b", "bits"))
-        if rest.isEmpty():
-            break
-        if fold == FOLDS:
-            return pinned(links.union(_similar(rest.select("a", "b"), sets, least)))
-        tried = pinned(_nearest(rest))
-        links = pinned(links.union(_similar(tried, sets, least)))
-        done = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        rest = rest.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    return links
-
-
-def link_similar(distinct: DataFrame, sets_of, words: int, radius: int, max_bits: int, least: float) -> DataFrame:
-    """(a, b): links that connect what all similar pairs that share a bucket connect.
-
-    ``distinct`` has (node, fp), and ``sets_of`` gives (node, shingles) for a
-    table of nodes. A pair that shares a bucket and differs in at most
-    ``max_bits`` bits counts if its sets have a Jaccard similarity of ``least``.
-    Buckets of any size are compared whole, but for pairs that links already
-    connect: a large group of copies folds into one class first, so that its
-    pairs grow in proportion to it.
+    return both.where(common >= least * (n + m - common) - 1e-9).select("a", "b")
+
+
+def link_similar(nodes: DataFrame, sets_of, radius: int, least: float) -> DataFrame:
+    """(node, root): the classes that all pairs with a Jaccard similarity of ``least`` connect, but for lone nodes.
+
+    ``nodes`` has (node, fp, size, prefix), and ``sets_of`` gives (node,
+    shingles) for a table of nodes. No pair is left out: every similar pair
+    shares a bucket, and buckets of any size are compared whole, but for pairs
+    whose classes links already connect. A large group of copies folds into one
+    class first, so that its pairs grow in proportion to it.
     """
-    tables = _tables(distinct, words, radius)
-    sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = pinned(tables.join(sizes, "bucket").select("bucket", "node", "n"))
-    large = shared.where(F.col("n") > SMALL_WIDE_BUCKET)
-    small = _pairs_in_small(shared.where(F.col("n") <= SMALL_WIDE_BUCKET)).distinct()
-    pairs = small.union(_first_and_neighbours(large).distinct()).where(F.col("a") != F.col("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x = distinct.select(F.col("node").alias("a"), F.col("fp").alias("x"))
-    y = distinct.select(F.col("node").alias("b"), F.col("fp").alias("y"))
-    bits = _distance(F.col("x"), F.col("y"), words)
-    met = pinned(pairs.join(x, "a").join(y, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= max_bits))
-    links = distinct.sparkSession.createDataFrame([], "a bigint, b bigint")
-    for across in (False, True):
-        if across:
-            met = pinned(_across(large, distinct, components(links), words, max_bits))
-            if met.isEmpty():
-                break
-        nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        links = _linked(met, links, pinned(sets_of(nodes)), least)
-    return links
+    met = pinned(_met(nodes, radius))
+    links = None
+    for found in (lambda: _folding(met), lambda: _across(met, components(links), least)):
+        pairs = pinned(found())
+        if links is not None and pairs.isEmpty():
+            break
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        similar = _similar(pairs, pinned(sets_of(wanted)), least)
+        links = pinned(similar if links is None else links.union(similar))
+    return components(links)
 
 
 def link(distinct: DataFrame, words: int, radius: int, max_bits: int) -> DataFrame:
@@ -324,51 +348,52 @@ def _shingle_sets(docs: DataFrame, key: str, text: str, width: int, wanted: Data
     return found.mapInArrow(rows, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
 
-def near_duplicates(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    width: int = 5,
-    words: int = 6,
-    radius: int = 4,
-    max_bits: int = 80,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """(key, text_hash, fp, root, component) for each row: the class of each document, named by its least key.
+def _classes(found: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, text_hash, fp, root, component) for each row."""
+    placed = distinct.select("node", "least").join(roots, "node", "left")
+    placed = placed.select("node", "least", F.coalesce("root", "node").alias("root"))
+    names = placed.groupBy("root").agg(F.min("least").alias("component"))
+    named = placed.join(names, "root").select("node", "root", "component")
+    return found.join(named, "node").select("key", "text_hash", "fp", "root", "component")
 
-    ``root`` tells classes apart even where none of their rows has a key.
 
-    With one word, equal fingerprints are one node; with several, equal sets of
-    shingles are. Texts without words share the zero fingerprint and are linked
-    like any other. A NULL text counts as empty. NULL keys take part and are
-    passed over when a class is named, so only a class without any key is NULL.
-    Repeated rows each give a row; an empty table gives none. Other columns are
-    not read.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, words: int = 1, radius: int = 2, max_bits: int = 2) -> DataFrame:
+    """(key, text_hash, fp, root, component) for each row: the class of each document, named by its least key.
 
-    With one word the bits alone link. With several, ``similarity`` is the least
-    Jaccard similarity of the distinct shingles of a link, and ``max_bits`` only
-    spares comparisons: at 0.8, 15 % of the bits differ, 58 of 384, with a
-    standard deviation of 7, so that 80 leave out about one pair in a thousand.
+    ``root`` tells classes apart even where none of their rows has a key. Equal
+    fingerprints are one node, and the bits alone link. Texts without words share
+    the zero fingerprint and are linked like any other. A NULL text counts as
+    empty. NULL keys take part and are passed over when a class is named, so only
+    a class without any key is NULL. Repeated rows each give a row; an empty
+    table gives none. Other columns are not read.
     """
     found = pinned(fingerprints(docs, key, text, width, words))
+    distinct = pinned(found.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp")))
+    links = link(distinct.select("node", "fp"), words, radius, max_bits)
+    return _classes(found, distinct, components(links))
+
+
+def similar_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2, similarity: float = 0.8
+) -> DataFrame:
+    """The same columns, with classes that link every pair of this Jaccard similarity of distinct shingles.
+
+    Equal sets of shingles are one node; the fingerprint is over distinct
+    shingles. All that ``near_duplicates`` says of odd rows holds here too; texts
+    without words have equal, empty sets.
+    """
+    spark = docs.sparkSession
+    frequent = spark.sparkContext.broadcast(_frequent(docs, text, width))  # bounded by the sample
+    found = pinned(_set_prints(docs, key, text, width, similarity, frequent))
     first = F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("text_hash"))).alias("first")
-    distinct = pinned(found.groupBy("node").agg(F.min("key").alias("least"), F.min("fp").alias("fp"), first))
-    single = distinct.select("node", "fp")
-    if words == 1:
-        links = link(single, words, radius, max_bits)
-    else:
-
-        def sets_of(nodes: DataFrame) -> DataFrame:
-            wanted = distinct.join(nodes, "node", "left_semi").select("node", "first.key", "first.text_hash")
-            return _shingle_sets(docs, key, text, width, wanted)
-
-        links = link_similar(single, sets_of, words, radius, max_bits, similarity)
-    roots = components(links)
-    placed = distinct.select("node", "least").join(roots, "node", "left")
-    placed = placed.select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named = placed.join(names, "root").select("node", "root", "component")
-    return found.join(named, "node").select("key", "text_hash", "fp", "root", "component")
+    distinct = pinned(found.groupBy("node").agg(F.min("key").alias("least"), first))
+    nodes = found.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        named = distinct.join(wanted, "node", "left_semi").select("node", "first.key", "first.text_hash")
+        return _shingle_sets(docs, key, text, width, named)
+
+    return _classes(found, distinct, link_similar(nodes, sets_of, radius, similarity))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -378,7 +403,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     text); of rows that share key and text, the one whose other columns come
     first as JSON text.
     """
-    found = near_duplicates(docs, key, text, **options)
+    found = similar_documents(docs, key, text, **options)
     first = F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("text_hash"))).alias("first")
     kept = found.groupBy("root").agg(first).select(category(F.col("first.key")).alias("__k"), F.col("first.text_hash").alias("__h"))
     others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in (key, text)], F.lit(0).alias("__")))

@@ -100,25 +100,93 @@ def test_deduplicate(spark):
     assert simhash.deduplicate(cases.empty(spark)).isEmpty()
 
 
-@pytest.mark.parametrize("edits,least", [(2, 57), (4, 48)])
-def test_similar_texts_share_a_class(spark, edits, least):
-    """A Jaccard similarity of at least 0.95 and of about 0.9; unrelated texts stay apart."""
-    rng = random.Random(1)
-    words = [f"w{i}" for i in range(2000)]
-    rows, near = [], {}
-    for base in range(30):
-        text = [rng.choice(words) for _ in range(400)]
-        rows.append((base, " ".join(text)))
-        for copy in range(2):
-            own = list(text)
-            for _ in range(edits):  # five shingles each
-                own[rng.randrange(400)] = "edited"
-            near[100 + base * 2 + copy] = base
-            rows.append((100 + base * 2 + copy, " ".join(own)))
-    found = {r.key: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert sum(found[copy] == base for copy, base in near.items()) >= least
-    assert all(found[copy] in (base, copy, copy - 1) for copy, base in near.items())
-    assert len({found[base] for base in range(30)}) == 30
+def _classes_of(texts, least=0.8, width=5):
+    """{key: least key reachable} over all pairs of this Jaccard similarity, by brute force."""
+    sets = {k: frozenset(simhash.shingle_set(t, width).tolist()) for k, t in texts.items()}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {k: find(k) for k in keys}
+
+
+def _found(spark, texts, **options):
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    return {r.key: r.component for r in simhash.similar_documents(df, **options).collect()}
+
+
+def _edited(rng, words, n):
+    own = list(words)
+    for at in rng.sample(range(len(own)), n):
+        own[at] = f"e{rng.randrange(10**9)}"
+    return own
+
+
+def test_every_pair_at_the_similarity_is_linked(spark):
+    """Pairs all around 0.8, of short and long texts, against all pairs."""
+    rng = random.Random(7)
+    texts = {}
+    for base in range(120):
+        n = rng.choice([1, 3, 5, 8, 20, 60, 300])
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts[base * 10] = " ".join(words)
+        for copy in range(1, 4):
+            texts[base * 10 + copy] = " ".join(_edited(rng, words, min(n, rng.randrange(1 + n // 30 + 2))))
+    expected = _classes_of(texts)
+    assert 0 < sum(k != v for k, v in expected.items()) < len(texts)
+    assert _found(spark, texts) == expected
+
+
+def test_all_pairs_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.key: r.component for r in simhash.similar_documents(docs).collect()}
+    assert found == _classes_of(texts)
+
+
+@pytest.mark.parametrize("own", [9, 30])
+def test_a_shared_passage_in_many_texts(spark, monkeypatch, own):
+    """Texts that are mostly one passage meet in its buckets, and only similar ones are linked; rare shingles go first."""
+    monkeypatch.setattr(simhash, "COMPARED_BLOCK", 16)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(100)]
+    texts = {i: " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(own + i % 20)]) for i in range(150)}
+    expected = _classes_of(texts)
+    assert _found(spark, texts) == expected
+
+
+def test_many_unrelated_members_of_one_bucket(spark):
+    rng = random.Random(13)
+    line = "one line that all of them share word for word"
+    texts = {i: f"{line} " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) for i in range(5000)}
+    found = _found(spark, texts)
+    assert found == {i: i for i in range(5000)}
+
+
+def test_a_large_group_around_one_text(spark):
+    """Thousands of copies, each at 0.8 or more to one text and often less to each other."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(_edited(rng, words, 5) if i else words) for i in range(2000)}
+    assert set(_found(spark, texts).values()) == {0}
+
+
+def test_first_shingles_suffice():
+    for n in range(1, 300):
+        kept = simhash.prefix_length(n, 0.8)
+        # A similar set shares at least this many of the n; so many cannot all lie after the first ones.
+        least = -(-4 * n // 5)
+        assert kept >= 1 and n - kept < least
 
 
 def test_components(spark):
@@ -144,18 +212,5 @@ def test_one_repeated_line_does_not_link(spark):
     line = " ".join(f"l{i}" for i in range(10))
     rows = [(i, " ".join([line] * 20 + [f"w{rng.randrange(10**9)}" for _ in range(200)])) for i in range(30)]
     assert _jaccard(rows[0][1], rows[1][1]) < 0.1
-    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r.component == r.key for r in found)
-
-
-def test_large_buckets_are_compared_whole(spark):
-    """All texts share their buckets; one center is similar to all the others, which are not similar to each other."""
-    size, members = 100, 40
-    sets = {0: list(range(size))}
-    for i in range(1, members):
-        sets[i] = [x for x in range(size) if (x + i * 11) % size >= 10] + [1000 * i + j for j in range(10)]
-    shared = spark.createDataFrame([(k - 20, [k % 2, 5, 6]) for k in sets], "node bigint, fp array<bigint>")
-    table = spark.createDataFrame([(k - 20, v) for k, v in sets.items()], "node bigint, shingles array<bigint>")
-    links = simhash.link_similar(shared, lambda nodes: table.join(nodes, "node", "left_semi"), 3, 2, 30, 0.8)
-    roots = {r.node: r.root for r in components(links).collect()}
-    assert len(roots) == members and len(set(roots.values())) == 1
