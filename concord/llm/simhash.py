@@ -39,8 +39,9 @@ BITS = 64
 BLOCK = 1 << 16  # shingles hashed at once, whatever the length of a text
 ROWS_PER_TASK = 2_000_000  # (bucket, node) rows that one task makes
 SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each other; others go by exact flips
-SAMPLED_TEXTS = 20_000  # texts that show which shingles are frequent; this orders shingles and decides nothing else
-FREQUENT = 20  # of the sampled texts that hold a shingle for it to count as frequent
+SAMPLED_TEXTS = 5_000  # texts that show which shingles are frequent; this orders shingles and decides nothing else
+FREQUENT = 8  # of the sampled texts that hold a shingle for it to count as frequent
+BUCKET_BITS = 40  # of a hash that name a bucket; hashes that share them meet and are told apart when they are compared
 COMPARED_BLOCK = 512  # members of a bucket that one task compares with the others
 
 
@@ -213,7 +214,7 @@ def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: fl
                 found.append(_majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), 1))
                 nodes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)))
                 sizes.append(len(own))
-                firsts.append(prefix(own, frequent.value, similarity).view(np.int64))
+                firsts.append((prefix(own, frequent.value, similarity) >> np.uint64(BITS - BUCKET_BITS)).view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
             columns += [pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix"])
@@ -224,15 +225,24 @@ def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: fl
 
 
 def _met(nodes: DataFrame, radius: int) -> DataFrame:
-    """(bucket, node, size, members) of the buckets of masks and of first shingles that several nodes share."""
-    spots = F.array(*[F.xxhash64(F.lit(i), F.col("fp")[0].bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius))])
+    """(bucket, node, size, members, times) of the buckets of masks and of first shingles that several nodes share.
+
+    Copies share very many buckets; of those with equal members one stands for
+    all, and ``times`` says for how many. Members are equal if their number and
+    two sums without carry of their hashes are.
+    """
+    hashed = [F.xxhash64(F.lit(i), F.col("fp")[0].bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius))]
+    spots = F.array(*[F.shiftrightunsigned(h, BITS - BUCKET_BITS) for h in hashed])
     conf = nodes.sparkSession.conf
-    made = nodes.agg(F.sum(F.size("prefix") + F.size(spots))).first()[0] or 0
+    made = nodes.agg(F.sum(F.size("prefix") + len(hashed))).first()[0] or 0
     tasks = max(int(conf.get("spark.sql.shuffle.partitions")), made // ROWS_PER_TASK)
     # Each row becomes many, so that partitions sized for the rows that come in would be far too few.
-    tables = nodes.repartition(tasks, "node").select("node", "size", F.explode(F.concat(spots, "prefix")).alias("bucket"))
-    sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return tables.join(sizes, "bucket")
+    tables = nodes.repartition(tasks, "node").select("node", F.explode(F.array_distinct(F.concat(spots, "prefix"))).alias("bucket"))
+    marks = [F.bit_xor("node").alias("mark"), F.bit_xor(F.xxhash64("node")).alias("other_mark")]
+    sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *marks).where("members > 1")
+    alike = sizes.groupBy("members", "mark", "other_mark").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    met = tables.join(alike.select("bucket", "members", "times"), "bucket")
+    return met.join(nodes.select("node", "size"), "node")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -244,7 +254,7 @@ def _sized(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= least * F.greatest(n, m)
 
 
-def _folding(met: DataFrame) -> DataFrame:
+def _folding(met: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that fold buckets: each member with the one that meets most others in all its buckets.
 
     In a group of copies that is the text they are copies of, as its shingles
@@ -252,10 +262,10 @@ def _folding(met: DataFrame) -> DataFrame:
     but for buckets of two, of which they are all; ``_across`` finds what they
     leave apart.
     """
-    meetings = met.groupBy("node").agg(F.sum("members").alias("meetings"))
-    told = met.select("bucket", "node").join(meetings, "node")
-    hubs = told.groupBy("bucket").agg(F.max(F.struct("meetings", "node")).alias("hub"))
-    pairs = told.join(hubs, "bucket").where(F.col("node") != F.col("hub.node"))
+    meetings = met.groupBy("node").agg(F.sum(F.col("members") * F.col("times")).alias("meetings"))
+    told = met.select("bucket", "node", "size").join(meetings, "node")
+    hubs = told.groupBy("bucket").agg(F.max(F.struct("meetings", "node", "size")).alias("hub"))
+    pairs = told.join(hubs, "bucket").where((F.col("node") != F.col("hub.node")) & _sized(F.col("size"), F.col("hub.size"), least))
     return pairs.select(*_ordered(F.col("hub.node"), F.col("node"))).distinct()
 
 
@@ -304,12 +314,12 @@ def link_similar(nodes: DataFrame, sets_of, radius: int, least: float) -> DataFr
     """
     met = pinned(_met(nodes, radius))
     links = None
-    for found in (lambda: _folding(met), lambda: _across(met, components(links), least)):
+    for found in (lambda: _folding(met, least), lambda: _across(met, components(links), least)):
         pairs = pinned(found())
         if links is not None and pairs.isEmpty():
             break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        similar = _similar(pairs, pinned(sets_of(wanted)), least)
+        similar = _similar(pairs, sets_of(wanted), least)  # both sides of a pair come out of one shuffle of the sets
         links = pinned(similar if links is None else links.union(similar))
     return components(links)
 
