@@ -42,6 +42,7 @@ SMALL_BUCKET = 32  # up to so many members of a bucket are compared with each ot
 SAMPLED_TEXTS = 5_000  # texts that show which shingles are frequent; this orders shingles and decides nothing else
 FREQUENT = 8  # of the sampled texts that hold a shingle for it to count as frequent
 BUCKET_BITS = 40  # of a hash that name a bucket; hashes that share them meet and are told apart when they are compared
+BINS = 512  # counts of a set's shingles by hash, which bound what two sets can share
 COMPARED_BLOCK = 512  # members of a bucket that one task compares with the others
 
 
@@ -203,25 +204,32 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.
     return np.concatenate([own[~late], own[late]])[: prefix_length(len(own), similarity)]
 
 
+def bins(shingles: np.ndarray) -> bytes:
+    """How many shingles each bin has, in a byte each; a set that is too large for that has none."""
+    counts = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % BINS, minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: float, frequent) -> DataFrame:
-    """(key, text_hash, fp, node, size, prefix) for each row; the node is a hash of the set of distinct shingles."""
+    """(key, text_hash, fp, node, size, prefix, bins) for each row; the node is a hash of the set of distinct shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, nodes, sizes, firsts = [], [], [], []
+            found, nodes, sizes, firsts, counts = [], [], [], [], []
             for t in batch.column(2):
                 own = shingle_set(t.as_py(), width)
                 found.append(_majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), 1))
                 nodes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)))
                 sizes.append(len(own))
+                counts.append(bins(own))
                 firsts.append((prefix(own, frequent.value, similarity) >> np.uint64(BITS - BUCKET_BITS)).view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
-            columns += [pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix"])
+            columns += [pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix", "bins"])
 
     narrow = docs.select(F.col(key).alias("key"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>")
+    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>, bins binary")
 
 
 def _met(nodes: DataFrame, radius: int) -> DataFrame:
@@ -292,6 +300,28 @@ def _across(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     return met.select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose bins leave room for the similarity.
+
+    Two sets share at most the lesser count of each bin, so that no similar
+    pair is lost; most others need not be looked at whole.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = sum(batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            keep = np.ones(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_py(), np.uint8) for v in (x, y))
+                if len(x) and len(y):
+                    keep[i] = np.minimum(x, y).sum(dtype=np.int64) >= least / (1 + least) * sizes[i] - 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+
+    x, y = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bins").alias(f"{c}_bins")) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b").where(_sized(F.col("a_size"), F.col("b_size"), least))
+    return both.select("a", "b", "a_size", "b_size", "a_bins", "b_bins").mapInArrow(rows, "a bigint, b bigint")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least this Jaccard similarity."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -306,22 +336,27 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def link_similar(nodes: DataFrame, sets_of, radius: int, least: float) -> DataFrame:
     """(node, root): the classes that all pairs with a Jaccard similarity of ``least`` connect, but for lone nodes.
 
-    ``nodes`` has (node, fp, size, prefix), and ``sets_of`` gives (node,
+    ``nodes`` has (node, fp, size, prefix, bins), and ``sets_of`` gives (node,
     shingles) for a table of nodes. No pair is left out: every similar pair
     shares a bucket, and buckets of any size are compared whole, but for pairs
     whose classes links already connect. A large group of copies folds into one
     class first, so that its pairs grow in proportion to it.
     """
     met = pinned(_met(nodes, radius))
-    links = None
-    for found in (lambda: _folding(met, least), lambda: _across(met, components(links), least)):
-        pairs = pinned(found())
-        if links is not None and pairs.isEmpty():
-            break
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        similar = _similar(pairs, sets_of(wanted), least)  # both sides of a pair come out of one shuffle of the sets
-        links = pinned(similar if links is None else links.union(similar))
-    return components(links)
+    tried = pinned(_folding(met, least))
+    links = _verified(tried, nodes, sets_of, least)
+    roots = components(links)
+    rest = pinned(_across(met, roots, least).join(tried, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    return components(links.union(_verified(rest, nodes, sets_of, least)))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets_of, least: float) -> DataFrame:
+    """The similar ones among pairs (a, b)."""
+    pairs = pinned(_plausible(pairs, nodes, least))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return pinned(_similar(pairs, sets_of(wanted), least))  # both sides of a pair come out of one shuffle of the sets
 
 
 def link(distinct: DataFrame, words: int, radius: int, max_bits: int) -> DataFrame:
@@ -397,7 +432,8 @@ def similar_documents(
     found = pinned(_set_prints(docs, key, text, width, similarity, frequent))
     first = F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("text_hash"))).alias("first")
     distinct = pinned(found.groupBy("node").agg(F.min("key").alias("least"), first))
-    nodes = found.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
+    nodes = pinned(found.select("node", "fp", "size", "prefix", "bins").dropDuplicates(["node"]))
+    found = found.select("key", "text_hash", "fp", "node")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         named = distinct.join(wanted, "node", "left_semi").select("node", "first.key", "first.text_hash")

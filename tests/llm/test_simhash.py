@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -181,6 +182,16 @@ def test_a_large_group_around_one_text(spark):
     assert set(_found(spark, texts).values()) == {0}
 
 
+def test_bins_bound_what_sets_share():
+    rng = random.Random(19)
+    for n in (0, 1, 50, 3000):
+        x, y = ({rng.getrandbits(64) for _ in range(n)} for _ in range(2))
+        x |= set(list(y)[: n // 2])
+        a, b = (np.frombuffer(simhash.bins(np.array(sorted(v), np.uint64)), np.uint8) for v in (x, y))
+        assert len(x & y) <= np.minimum(a, b).sum() and a.sum() == len(x)
+    assert simhash.bins(np.full(70_000, 5, np.uint64)) == b""
+
+
 def test_first_shingles_suffice():
     for n in range(1, 300):
         kept = simhash.prefix_length(n, 0.8)
