@@ -189,6 +189,8 @@ def test_bins_bound_what_sets_share():
         x |= set(list(y)[: n // 2])
         a, b = (np.frombuffer(simhash.bins(np.array(sorted(v), np.uint64)), np.uint8) for v in (x, y))
         assert len(x & y) <= np.minimum(a, b).sum() and a.sum() == len(x)
+        p, q = (int.from_bytes(simhash.spread(np.array(sorted(v), np.uint64)).tobytes(), "little") for v in (x, y))
+        assert len(x & y) <= min(len(x) - (p & ~q).bit_count(), len(y) - (q & ~p).bit_count())
     assert simhash.bins(np.full(70_000, 5, np.uint64)) == b""
 
 
