@@ -9,7 +9,7 @@ from concord.llm import decontam, toxicity
 from concord.llm.queries import ORACLES, QUERIES
 from tests.llm import cases
 
-TABLES = "documents pages benchmark labels conversations"
+TABLES = "documents embeddings pages benchmark labels conversations"
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -25,9 +25,9 @@ def test_sql_twins(spark, name):
     assert found and found == sorted(repr(tuple(r[i] for i in order)) for r in cursor.fetchall())
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     found = entry.queries()
-    assert {n for q in found if q.startswith("op") for n in [q[2:].split("_")[0]]} == {str(n) for n in range(1, 11)}
+    assert {n for q in found if q.startswith("op") for n in [q[2:].split("_")[0]]} == {str(n) for n in range(1, 14)}
     assert "pipeline" in found and set(ORACLES) <= set(entry.oracle_sql())
 
 
