@@ -75,10 +75,11 @@ def _turn_rows(turns: DataFrame, key: str, turn: str, role: str, text: str) -> D
         turn_text(F.col(role), F.col(text)).alias("formatted"),
     )
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "formatted")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)  # equal turns are turns of their own
     rows = rows.withColumn("depth", F.row_number().over(order) - 1).withColumn("size", F.length("formatted").cast("long"))
     lanes = [F.xxhash64(F.lit(i), F.col("depth"), F.col("formatted")) for i in (1, 2)]
-    prefix = F.concat(*[F.lpad(F.hex(F.bit_xor(x).over(order)), 16, "0") for x in lanes])
-    rows = rows.withColumn("node", prefix).withColumn("position", F.sum("size").over(order) - F.col("size"))
+    prefix = F.concat(*[F.lpad(F.hex(F.bit_xor(x).over(so_far)), 16, "0") for x in lanes])
+    rows = rows.withColumn("node", prefix).withColumn("position", F.sum("size").over(so_far) - F.col("size"))
     return rows.withColumn("parent", F.lag("node").over(order))
 
 

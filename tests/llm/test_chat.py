@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from concord.llm import chat
 from tests.llm import cases
 
@@ -37,15 +39,19 @@ def test_round_trip(spark):
     assert sorted(map(repr, (tuple(r)[:5] for r in chat.read_back(nodes, routes).collect()))) == plain(rows)
 
 
-def test_trees_are_packed_depth_first(spark):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_trees_are_packed_depth_first(spark, repeated):
     rows = _talks(2)
+    if repeated:
+        rows = [r for r in rows for _ in range(1 + (r[0] + r[1]) % 3)]
     nodes, routes = chat.format_chats(spark.createDataFrame(rows, KINDS))
     found = {r.node: r for r in nodes.collect()}
+    read = {r.conv: r.formatted_chars for r in chat.read_back(nodes, routes).collect()}
     ways = {}
     for r in routes.collect():
         ways.setdefault(r.conv, []).append((r.depth, r.node))
     prefixes = set()
-    for way in ways.values():
+    for conv, way in ways.items():
         texts = [found[n].formatted for _, n in sorted(way)]
         prefixes |= {tuple(texts[: i + 1]) for i in range(len(texts))}
         length = 0
@@ -56,6 +62,7 @@ def test_trees_are_packed_depth_first(spark):
             seen = {n for n, r in found.items() if r.tree == own.tree and r.start <= own.start < r.visible_until}
             assert seen == {n for d, n in way if d <= depth}
             assert own.parent == (None if depth == 0 else dict(way)[depth - 1])
+        assert length == read[conv]
     assert len(found) == len(prefixes)
     for tree in {r.tree for r in found.values()}:
         at = 0
