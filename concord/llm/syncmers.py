@@ -4,15 +4,19 @@ A run of K characters is a closed syncmer if the least hash among its inner
 runs of S characters lies at its first or last place. Whether it is one depends
 on these K characters alone, so an unchanged passage gives the same anchors in
 any document, and a stretch of K - S + 1 places always holds at least one.
-Anchors carry their positions for matching; a document's fingerprint keeps the
-smallest anchor hashes as a sketch from which the share of common anchors is
-estimated.
+Anchors carry their positions, by which two documents are aligned.
+
+A fingerprint keeps two sketches of every text, each the smallest hashes of its
+anchors: one of runs of K, and one of runs of SHORT_K, which texts of a few
+characters have as well. Two texts are always compared by sketches of the same
+kind: by the second one if either is shorter than SHORT_TEXT, else by the first.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -21,10 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, S = 14, 5
+SHORT_K, SHORT_S = 3, 2  # with two marks ahead of the text, so that a text has as many runs as characters
+SHORT_TEXT = 3 * K
 SKETCH = 128  # anchor hashes in a fingerprint
 BLOCK = 1 << 20  # characters hashed at once, whatever the length of a text
+PART_BYTES = 64 << 20  # text that one task compares
+CUT_ROWS = 50  # sampled rows for each cut between tasks
 
-NAMES = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors"]
+FIELDS = (
+    "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+    "near_next double, n_anchors bigint, edited_aligned bigint, next_aligned bigint, next_shift bigint"
+)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,44 +85,132 @@ def _block_anchors(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.nd
     return places, _mix(first * _MULTIPLIER + _mix(middle * _MULTIPLIER + last)) >> np.uint64(32)
 
 
+def _codes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+
+
 def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in code points) and 32-bit hashes of all closed syncmers, in order.
+    """Positions (in code points) and 32-bit hashes of all closed syncmers, in order; a text shorter than ``k`` has none."""
+    return _anchors(_codes(text), k, s)
 
-    A text shorter than three times ``k`` takes runs of a third of its length
-    instead (one of one or two characters is one anchor, itself), so that short
-    texts have several anchors as well; an empty or NULL text has none.
-    """
-    codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
-    if len(codes) < 3 * k:
-        k = max(2, len(codes) // 3)
-        s = max(1, k // 3)
-    if len(codes) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+def _anchors(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     with np.errstate(over="ignore"):
-        if len(codes) < k:
-            whole = np.frombuffer(hashlib.sha256(codes.tobytes()).digest()[:4], np.uint32).astype(np.uint64)
-            return np.zeros(1, np.int64), whole
-        found = []
         for at in range(0, len(codes) - k + 1, BLOCK):
             places, hashes = _block_anchors(codes[at : at + BLOCK + k - 1], k, s)
             found.append((places + at, hashes))
     return np.concatenate([p for p, _ in found]), np.concatenate([h for _, h in found])
 
 
-def sketch(text: str | None, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
-    """The ``size`` smallest hashes of anchors and their occurrence numbers, in order.
+def _sketch(found: np.ndarray, new: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` smallest hashes of sorted anchors and their occurrence numbers, in order.
 
     An anchor that occurs n times counts n times, so repeated passages keep
     their weight.
     """
-    found = np.sort(anchors(text, k, s)[1])
     if len(found) == 0:
         return found
-    new = np.concatenate(([True], found[1:] != found[:-1]))
     first = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
     with np.errstate(over="ignore"):
         numbered = _mix(found * _MULTIPLIER + (np.arange(len(found)) - first).astype(np.uint64))
-    return np.unique(numbered >> np.uint64(32))[:size]
+    return _smallest(numbered >> np.uint64(32), size)
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Marks the first of equal neighbours."""
+    return np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]))
+
+
+def _smallest(values: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` smallest different values, in order."""
+    few = 2 * size
+    while True:
+        some = np.sort(values if len(values) <= few else np.partition(values, few)[:few])
+        found = some[_new(some)]
+        if len(found) >= size or len(some) == len(values):
+            return found[:size]
+        few *= 8
+
+
+def _short_sketch(codes: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` smallest hashes of different runs of SHORT_K, the first of which begin before the text.
+
+    Both inner runs of such a run lie at an edge, so each of them is a closed
+    syncmer. Hashes below a bound are looked at first, and all of them if these
+    are too few.
+    """
+    if len(codes) == 0:
+        return np.zeros(0, np.uint64)
+    marked = np.concatenate((np.full(SHORT_K - 1, 0x110000, np.uint32), codes))
+    low: list[np.ndarray] = []
+    for at in range(0, len(codes), BLOCK):
+        with np.errstate(over="ignore"):
+            runs = _runs(marked[at : at + BLOCK + SHORT_K - 1].astype(np.uint64), SHORT_K)
+            hashes = (_mix(runs) >> np.uint64(32)).astype(np.uint32)
+        below = (1 << 32) * 8 * size // max(len(hashes), 8 * size)
+        some = _smallest(hashes[hashes < below], size)
+        low.append(some if len(some) >= size else _smallest(hashes, size))
+    return low[0] if len(low) == 1 else _smallest(np.concatenate(low), size)
+
+
+@dataclass(frozen=True)
+class Fingerprint:
+    """Both sketches of a text, with its different anchors in order and the first place of each."""
+
+    length: int
+    sketch: np.ndarray
+    short: np.ndarray
+    anchors: np.ndarray
+    firsts: np.ndarray
+    places: np.ndarray  # of all anchors, in the order of the text
+    hashes: np.ndarray
+
+    def __str__(self) -> str:
+        return f"{as_text(self.sketch)}.{as_text(self.short)}"
+
+
+def fingerprint(text: str | None, known: Fingerprint | None = None, kept: int = 0) -> Fingerprint:
+    """The fingerprint of a whole text; NULL counts as empty, whose sketches are empty.
+
+    If the first ``kept`` characters are those of a text with a ``known``
+    fingerprint, the anchors inside them are taken over.
+    """
+    codes = _codes(text)
+    start = max(0, kept - K + 1) if known else 0
+    places, hashes = _anchors(codes[start:], K, S)
+    places += start
+    if start:
+        taken = np.searchsorted(known.places, start)
+        places, hashes = np.concatenate((known.places[:taken], places)), np.concatenate((known.hashes[:taken], hashes))
+    order = np.argsort(hashes, kind="stable")
+    found = hashes[order]
+    new = _new(found)
+    return Fingerprint(len(codes), _sketch(found, new), _short_sketch(codes), found[new], places[order][new], places, hashes)
+
+
+def alike(a: Fingerprint, b: Fingerprint) -> float:
+    """Likeness of two fingerprints by sketches of one kind: short runs if either text is short."""
+    short = min(a.length, b.length) < SHORT_TEXT
+    return likeness(a.short, b.short) if short else likeness(a.sketch, b.sketch)
+
+
+def aligned(a: Fingerprint, b: Fingerprint) -> tuple[int, int | None]:
+    """How many anchors two texts share at the commonest distance of their positions, and that distance.
+
+    An anchor counts at its first place in each text. Of equally common
+    distances the one nearest to zero counts, then the smaller. Without a
+    common anchor: 0 and NULL.
+    """
+    if len(a.anchors) == 0 or len(b.anchors) == 0:
+        return 0, None
+    at = np.minimum(np.searchsorted(b.anchors, a.anchors), len(b.anchors) - 1)
+    common = b.anchors[at] == a.anchors
+    if not common.any():
+        return 0, None
+    shifts, counts = np.unique(b.firsts[at[common]] - a.firsts[common], return_counts=True)
+    best = np.lexsort((shifts, np.abs(shifts), -counts))[0]
+    return int(counts[best]), int(shifts[best])
 
 
 def as_text(found: np.ndarray) -> str:
@@ -122,8 +221,10 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Estimated share of common anchors among all of both texts, from 0 to 1; two empty sketches are alike."""
     if len(a) == 0 and len(b) == 0:
         return 1.0
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a) & np.isin(both, b)).sum() / len(both))
+    both = np.sort(np.concatenate((a, b)))
+    first = np.nonzero(_new(both))[0][:size]
+    counted = first[-1] + 1 + (first[-1] + 1 < len(both) and both[first[-1] + 1] == both[first[-1]])
+    return float((counted - len(first)) / len(first))
 
 
 def edited(text: str, next_: str) -> str:
@@ -166,75 +267,97 @@ def anchor_table(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return narrow.mapInArrow(rows, f"key {kind}, position bigint, anchor bigint")
 
 
+def _cuts(placed: DataFrame, parts: int | None) -> list[tuple]:
+    """Places in the order of (key, hash) that cut the rows into parts of nearly equal counts.
+
+    They come from a sample of CUT_ROWS rows for each part, chosen by a hash; only
+    the work of tasks depends on them. Without ``parts`` there is one for
+    each PART_BYTES of text, and at least as many as Spark shuffles into.
+    """
+    if parts is None:
+        size = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    order = F.xxhash64(F.lit(1), "key", "hash")
+    rows = placed.select("key", "hash").distinct().orderBy(order, "key", "hash").limit(CUT_ROWS * parts)
+    sample = [tuple(r) for r in rows.orderBy(F.col("key").asc_nulls_first(), "hash").collect()]
+    return [sample[i] for i in sorted({len(sample) * i // parts for i in range(1, parts)} - {0}) if i < len(sample)]
+
+
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document.
 
     Gives (key, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, n_anchors). Documents follow by ascending key, NULL
-    first, rows of one key by their text; after the last comes the first, and a
+    near_edited, near_next, n_anchors, edited_aligned, next_aligned, next_shift):
+    likeness from 0 to 1, and how many anchors lie at one common distance in
+    both texts (in the edited text, in the next one, and that distance).
+    Documents follow by ascending key of any type that Spark orders, NULL first, rows of one key
+    in the order of a hash of their text, then the text; after the last comes the first, and a
     single document follows itself. NULL texts count as empty. Equal texts have
     equal fingerprints. An empty table gives no row; other columns are not read.
 
-    Keys are cut into ranges of nearly equal counts. Texts move once, to the
-    task of their range, and the first of each range goes to the range before as
-    well, so that every document meets the one that follows it.
+    Keys and hashes are cut into ranges of nearly equal counts, so that rows of one
+    key, or without a key, spread over tasks; only rows with the same key and text
+    stay together. Texts move once, to the task of their range, and the first of
+    each range goes to the range before as well, so that every document meets the
+    one that follows it.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    filled = F.coalesce(F.col(text), F.lit(""))
+    narrow = docs.select(F.col(key).alias("key"), filled.alias("text"), F.xxhash64(filled).alias("hash"))
     kind = narrow.schema["key"].dataType.simpleString()
-    parts = max(2, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(narrow.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts])
-    at = F.size(F.filter(bounds, lambda c: F.col("key") > c)) if cuts else F.lit(0)
-    placed = narrow.withColumn("part", F.when(F.col("key").isNull(), 0).otherwise(at))
-    heads = placed.groupBy("part").agg(F.min("key"), F.max(F.col("key").isNull())).orderBy("part").collect()
-    firsts = [(None if blank else first, heads[i - 1][0]) for i, (_, first, blank) in enumerate(heads)]
-    known = spark.createDataFrame(firsts, f"first {kind}, before int")  # one row for each range
-    looked = placed.join(F.broadcast(known), F.col("key").eqNullSafe(F.col("first")))
-    ahead = looked.select("key", "text", F.col("before").alias("part"), F.lit(True).alias("ahead"))
-    rows = placed.select("key", "text", "part", F.lit(False).alias("ahead")).union(ahead)
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.col("key").asc_nulls_first(), "text")
+    cuts = _cuts(narrow, parts)
+    parts = len(cuts) + 1
+    place = F.struct("key", "hash")
+    bounds = F.array(*[F.struct(F.lit(k).cast(kind).alias("key"), F.lit(h).cast("bigint").alias("hash")) for k, h in cuts])
+    placed = narrow.withColumn("part", F.size(F.filter(bounds, lambda c: c <= place)) if cuts else F.lit(0))
+    heads = placed.groupBy("part").agg(F.min(place).alias("first")).orderBy("part").collect()  # one row for each range
+    firsts = [(*r["first"], heads[i - 1]["part"]) for i, r in enumerate(heads)]
+    known = spark.createDataFrame(firsts, f"first_key {kind}, first_hash bigint, before int")
+    at_head = F.col("key").eqNullSafe(F.col("first_key")) & (F.col("hash") == F.col("first_hash"))
+    ahead = placed.join(F.broadcast(known), at_head).groupBy("before").agg(F.min(F.struct("key", "hash", "text")).alias("x"))
+    ahead = ahead.select("x.*", F.col("before").alias("part"), F.lit(True).alias("ahead"))
+    rows = placed.withColumn("ahead", F.lit(False)).unionByName(ahead)
+    ordered = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", F.col("key").asc_nulls_first(), "hash", "text")
+    ordered = ordered.select("key", "text", "ahead")
+    names = ["key", *(f.split()[0] for f in FIELDS.split(", "))]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in names]
         held: list = ["", None]
 
-        def sketched(t: str) -> np.ndarray:
+        def marked(t: str) -> Fingerprint:
             if held[1] is None or held[0] != t:
-                held[:] = [t, sketch(t)]
+                held[:] = [t, fingerprint(t)]
             return held[1]
 
         def read() -> Iterator[tuple]:
             nonlocal kinds
             for batch in batches:
                 kinds = batch.column(0).type
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
         def flushed() -> pa.RecordBatch:
-            types = [kinds, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], NAMES)
+            whole, real = pa.int64(), pa.float64()
+            types = [kinds, whole, pa.string(), pa.string(), pa.string(), real, real, whole, whole, whole, whole]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
         for (k, t, follows), (_, after, _) in pairwise(read()):
             if follows:
                 continue
-            own, changed = sketched(t), edited(t, after)
-            changed_sketch = sketch(changed)
-            next_sketch = sketched(after)
+            own, changed = marked(t), edited(t, after)
+            other = fingerprint(changed, own, len(t) - len(t) // 4)
+            following = marked(after)
             values = (
-                k, len(t), hashlib.sha256(changed.encode()).hexdigest(), as_text(own), as_text(changed_sketch),
-                likeness(own, changed_sketch), likeness(own, next_sketch), len(own),
+                k, len(t), hashlib.sha256(changed.encode()).hexdigest(), str(own), str(other), alike(own, other),
+                alike(own, following), len(own.hashes), aligned(own, other)[0], *aligned(own, following),
             )
             for column, value in zip(out, values, strict=True):
                 column.append(value)
             if len(out[0]) >= 1000:
                 yield flushed()
-                out = [[] for _ in range(8)]
+                out = [[] for _ in names]
         if out[0]:
             yield flushed()
 
-    schema = (
-        f"key {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, n_anchors bigint"
-    )
-    return ordered.mapInArrow(compared, schema)
+    return ordered.mapInArrow(compared, f"key {kind}, {FIELDS}")
