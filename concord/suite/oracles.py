@@ -475,6 +475,33 @@ COUNTS = f"""counts AS (SELECT *, target_rows - source_rows AS difference, CASE
  (target_rows - source_rows)::DOUBLE / source_rows * 100 END AS difference_rate FROM (SELECT
  (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM ({ORDERS_TARGET})) AS target_rows))"""
 NO_TOLERANCE = ("exact equality (no tolerance configured)", "difference <> 0")
+
+
+def _volume_by_dimension() -> str:
+    dimensions = {
+        "l_returnflag": ("l_returnflag", "return_flag", "2.0000% tolerance", "abs(difference_rate) > 2"),
+        "l_quantity": ("CAST(l_quantity AS VARCHAR)", "CAST(quantity AS VARCHAR)", "2.0000% tolerance", "abs(difference_rate) > 2"),
+        "ship_month": ("strftime(l_shipdate, '%Y-%m')", "strftime(ship_date, '%Y-%m')", "5.0000% tolerance", "abs(difference_rate) > 5"),
+        "all rows": ("CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "100 row absolute tolerance", "abs(difference) > 100"),
+    }
+    parts = []
+    for name, (a, b, words, test) in dimensions.items():
+        counted = (
+            f"SELECT coalesce(s.v, t.v) AS v, coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows FROM "
+            f"(SELECT {a} AS v, count(*) AS n FROM lineitem GROUP BY ALL) s FULL JOIN "
+            f"(SELECT {b} AS v, count(*) AS n FROM tgt GROUP BY ALL) t ON s.v IS NOT DISTINCT FROM t.v"
+        )
+        lacking = "source_rows = 0 OR target_rows = 0"
+        parts.append(
+            f"SELECT '{name}' AS dimension, v AS dimension_value, CASE WHEN source_rows = 0 THEN 'missing-from-source' "
+            "WHEN target_rows = 0 THEN 'missing-from-target' WHEN difference = 0 THEN 'matching' ELSE 'differing-counts' END AS category, "
+            f"* EXCLUDE (v) FROM ({_volume(words, f'({lacking} OR {test})').replace('SELECT ', 'SELECT v, ', 1)} FROM "
+            "(SELECT *, target_rows - source_rows AS difference, CASE WHEN source_rows = 0 THEN 0.0::DOUBLE ELSE "
+            f"(target_rows - source_rows)::DOUBLE / source_rows * 100 END AS difference_rate FROM ({counted})))"
+        )
+    return f"WITH tgt AS ({LINES_TARGET}) " + " UNION ALL ".join(parts)
+
+
 RUN_SCHEMA = {
     "o_orderkey": "BIGINT", "o_custkey": "BIGINT", "o_orderstatus": "STRING", "o_totalprice": "DOUBLE",
     "o_orderdate": "TIMESTAMP", "o_orderpriority": "STRING",
@@ -665,6 +692,7 @@ SELECT o_orderkey, strftime(date_trunc('hour', instant AT TIME ZONE 'UTC'), '%Y-
                 ("exact", *NO_TOLERANCE),
             )
         ),
+        "volume_by_dimension": _volume_by_dimension(),
         "profile_general": _per_column(PROFILED, EVERY, GENERAL),
         "profile_most_common": _per_column(PROFILED, EVERY, COMMON, COMMON_TAIL),
         "profile_top_values": _per_column(PROFILED, EVERY, TOP, TOP_TAIL),

@@ -15,7 +15,7 @@ from concord.functions.nativetypes import canonical_type, type_compatibility, ty
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
 from concord.operators import aggregates, hashing, narrowing, patterns, profile, rows, sampling, schema, sketches
 from concord.operators.rows import Pair
-from concord.operators.volume import compare_volume
+from concord.operators.volume import ALL_ROWS, compare_volume, volume_by_dimension as count_by_dimension
 from concord.plans.run import FINDINGS, Checks, Definition, Run, run_comparison
 from concord.session import shared_dir
 from concord.sinks import exports, history
@@ -407,6 +407,20 @@ def volume_compare(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+LINE_DIMENSIONS = [
+    Pair("l_returnflag", "return_flag"),
+    Pair("l_quantity", "quantity"),
+    Derived("ship_month", "ship_month", "date_format(l_shipdate, 'yyyy-MM')", "date_format(ship_date, 'yyyy-MM')"),
+]
+
+
+@registered
+def volume_by_dimension(spark, sf):
+    """Counts by flag, quantity and month of both sides, in one pass."""
+    bounds = {ALL_ROWS: Tolerance(absolute=100), "ship_month": Tolerance(percentage=5)}
+    return count_by_dimension(inputs.lines(spark, sf), inputs.lines_target(spark, sf), LINE_DIMENSIONS, Tolerance(percentage=2), bounds)
+
+
 def _profiled(spark, sf, operator, tables=PROFILED):
     parts = [operator(inputs.table(spark, sf, t)).withColumn("table_name", F.lit(t)) for t in tables]
     out = parts[0]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.normalize import Tolerance
 from concord.operators import sampling
-from concord.operators.volume import compare_volume
+from concord.operators.volume import ALL_ROWS, compare_volume, volume_by_dimension
 from seeded import pair
 
 
@@ -102,3 +102,64 @@ def test_seeded_volumes(spark):
     found = {n: compare_volume(*pair(spark, n)).first() for n in ("customer", "orders")}
     assert (found["customer"].difference, round(found["customer"].difference_rate, 4)) == (1, 16.6667)
     assert (found["orders"].difference, found["orders"].difference_rate) == (-1, -20.0)
+
+
+COUNTED = "flag string, day int"
+
+
+def by_dimension(spark, source, target, **options):
+    sides = [spark.createDataFrame(rows, COUNTED) for rows in (source, target)]
+    found = volume_by_dimension(*sides, [("flag", "flag"), ("day", "day")], **options).collect()
+    return {(r.dimension, r.dimension_value): (r.category, r.source_rows, r.target_rows, r.severity) for r in found}
+
+
+def test_counts_by_dimension(spark):
+    source = [("a", 1), ("a", 1), ("a", 2), ("b", 2), (None, 3), ("", None)]
+    target = [("a", 1), ("a", 2), ("b", 2), ("b", 2), (None, 4), ("", None)]
+    assert by_dimension(spark, source, target, tolerances={"flag": Tolerance(absolute=1)}) == {
+        (ALL_ROWS, None): ("matching", 6, 6, "Pass"),
+        ("flag", "a"): ("differing-counts", 3, 2, "Informational"),
+        ("flag", "b"): ("differing-counts", 1, 2, "Informational"),
+        ("flag", None): ("matching", 1, 1, "Pass"),
+        ("flag", ""): ("matching", 1, 1, "Pass"),
+        ("day", "1"): ("differing-counts", 2, 1, "Failure"),
+        ("day", "2"): ("differing-counts", 2, 3, "Failure"),
+        ("day", "3"): ("missing-from-target", 1, 0, "Failure"),
+        ("day", "4"): ("missing-from-source", 0, 1, "Failure"),
+        ("day", None): ("matching", 1, 1, "Pass"),
+    }
+
+
+def test_counts_of_empty_sides(spark):
+    assert by_dimension(spark, [], []) == {(ALL_ROWS, None): ("matching", 0, 0, "Pass")}
+    found = by_dimension(spark, [], [("a", None)], tolerance=Tolerance(absolute=9))
+    assert found[("flag", "a")] == ("missing-from-source", 0, 1, "Failure") and found[(ALL_ROWS, None)][3] == "Informational"
+    assert ("day", None) in found and len(found) == 3
+
+
+def test_a_tolerance_needs_its_dimension(spark):
+    with pytest.raises(ValueError, match="no dimension"):
+        by_dimension(spark, [], [], tolerances={"other": Tolerance(absolute=1)})
+    with pytest.raises(ValueError, match="target side"):
+        volume_by_dimension(spark.range(1), spark.range(1), [("id", "gone")])
+
+
+def test_counts_take_one_shuffle_of_folded_rows(spark, tmp_path):
+    hot = spark.range(200_000).select(F.lit(1).alias("part"), F.when(F.col("id") > 10, F.lit("hot")).alias("flag"), "id")
+    for side in ("source", "target"):
+        hot.write.partitionBy("part").parquet(str(tmp_path / side))
+    sides = [spark.read.parquet(str(tmp_path / side)) for side in ("source", "target")]
+    found = volume_by_dimension(*sides, [("part", "part"), ("flag", "flag")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ReadSchema: struct<flag:string>" in plan
+    rows = {(r.dimension, r.dimension_value): (r.source_rows, r.target_rows) for r in found.collect()}
+    assert rows == {(ALL_ROWS, None): (200_000,) * 2, ("part", "1"): (200_000,) * 2, ("flag", "hot"): (199_989,) * 2, ("flag", None): (11, 11)}
+    parts = volume_by_dimension(*sides, [("part", "part")])._jdf.queryExecution().executedPlan().toString()
+    assert parts.count("ReadSchema: struct<>") == 2
+
+
+def test_dimensions_of_two_number_types(spark):
+    source = spark.createDataFrame([(1,), (2,)], "day int")
+    target = spark.createDataFrame([(1.0,), (2.5,)], "day double")
+    found = {(r.dimension, r.category) for r in volume_by_dimension(source, target, [("day", "day")]).collect()}
+    assert found == {(ALL_ROWS, "matching"), *(("day", c) for c in ("matching", "missing-from-source", "missing-from-target"))}
