@@ -56,6 +56,17 @@ SELECT l_orderkey, l_returnflag, l_linestatus, l_discount,
 FROM {lineitem} WHERE NOT (l_returnflag = 'A' AND l_partkey % 31 = 0)
 """
 
+# A run of each priority a month: one with a jump, one that rises, one with a short history.
+MONTHLY_RUNS = """
+SELECT o_orderpriority AS comparison, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) AS timestamp,
+ concat(o_orderpriority, '-', CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING)) AS run_id,
+ CAST(count(CASE WHEN o_orderkey % 23 = 0 THEN 1 END)
+  + max(CASE WHEN o_orderpriority = '1-URGENT' AND year(o_orderdate) >= 1997 THEN 1000 ELSE 0 END)
+  + max(CASE WHEN o_orderpriority = '2-HIGH' THEN (year(o_orderdate) * 12 + month(o_orderdate)) * 3 ELSE 0 END) AS BIGINT) AS failed
+FROM {orders} WHERE NOT (o_orderpriority = '5-LOW' AND year(o_orderdate) * 100 + month(o_orderdate) > 199205)
+GROUP BY o_orderpriority, year(o_orderdate), month(o_orderdate)
+"""
+
 # Spellings of native types that the derived column dumps use.
 NATIVE_TYPES = (
     "NUMBER(38,0)", "NUMBER(12,2)", "number", "INTEGER", "bigint", "SMALLINT", "DECIMAL(12,2)", "DECIMAL(10,2)",

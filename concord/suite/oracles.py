@@ -573,6 +573,24 @@ def _history() -> str:
     return " UNION ALL ".join(f"(SELECT * FROM ({_summed(p, tagged(s))}))" for s, p in zip(stamps, parts))
 
 
+def _trend() -> str:
+    """Medians and signs over all pairs of runs of a comparison."""
+    return f"""WITH hist AS ({inputs.MONTHLY_RUNS.replace("{orders}", "orders")}),
+r AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY comparison ORDER BY timestamp DESC, run_id DESC) <= 60),
+o AS (SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY timestamp, run_id) AS i, count(*) OVER (PARTITION BY comparison) AS n FROM r),
+s AS (SELECT a.comparison, median((b.failed - a.failed)::DOUBLE / (b.i - a.i)) AS slope FROM o a JOIN o b ON a.comparison = b.comparison AND a.i < b.i GROUP BY 1),
+v AS (SELECT a.comparison, a.i, a.n, sum(sign(b.failed - a.failed)) AS v FROM o a JOIN o b USING (comparison) GROUP BY ALL),
+u AS (SELECT comparison, i, n, abs(sum(v) OVER (PARTITION BY comparison ORDER BY i)) AS u FROM v),
+k AS (SELECT comparison, n, i AS k, CAST(u AS DOUBLE) AS most FROM u WHERE i < n AND n >= 8 QUALIFY row_number() OVER (PARTITION BY comparison ORDER BY u DESC, i) = 1),
+m AS (SELECT o.comparison, median(CASE WHEN o.i > k.k THEN failed END) - median(CASE WHEN o.i <= k.k THEN failed END) AS shift,
+ max(CASE WHEN o.i = k.k + 1 THEN timestamp END) AS change_at, max(CASE WHEN o.i = k.k + 1 THEN run_id END) AS change_run_id
+ FROM o JOIN k USING (comparison) WHERE most > 0 GROUP BY 1),
+p AS (SELECT comparison, least(1.0::DOUBLE, 2 * exp(-6 * most * most / (n::DOUBLE * n * n + n * n))) AS p FROM k)
+SELECT c.comparison, c.runs, CASE WHEN runs >= 8 THEN round(slope, 9) END AS slope, change_at, change_run_id, CAST(shift AS DOUBLE) AS shift,
+ round(p, 9) AS p_value, p <= 0.01 AS changed FROM (SELECT comparison, count(*) AS runs FROM o GROUP BY 1) c
+ LEFT JOIN s USING (comparison) LEFT JOIN m USING (comparison) LEFT JOIN p USING (comparison)"""  # noqa: E501
+
+
 def _run_id(stamp: str) -> str:
     digest = hashlib.md5(b"orders migration", usedforsecurity=False).hexdigest()[:8]
     return f"orders_migration-{digest}-" + stamp.replace(":", "-").replace(".", "-")
@@ -720,6 +738,7 @@ SELECT o_orderkey, strftime(date_trunc('hour', instant AT TIME ZONE 'UTC'), '%Y-
         + f" UNION ALL SELECT unnest({list(CSV_FIXED)})",
         "export_markdown_rows": _export("concat('| ', concat_ws(' | ', " + ", ".join(_markdown(c) for c in LISTED) + "), ' |')"),
         "run_history": _history(),
+        "run_trend": _trend(),
         "narrow_differences": f"{_orders()} SELECT o_orderkey, category, {SEVERITY} AS severity, findings, source_rows, target_rows FROM found WHERE category <> 'matching'",  # noqa: E501
         "narrow_differences_partitioned": f"""WITH t AS ({inputs.ORDERS_DRIFTED.replace("{orders}", "orders")})
 SELECT s.o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'missing-from-target' ELSE 'matched-key-differing-values' END AS category,

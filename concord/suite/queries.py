@@ -15,6 +15,7 @@ from concord.functions.nativetypes import canonical_type, type_compatibility, ty
 from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
 from concord.operators import aggregates, hashing, narrowing, patterns, profile, rows, sampling, schema, sketches
 from concord.operators.rows import Pair
+from concord.operators.trend import run_trends
 from concord.operators.volume import ALL_ROWS, compare_volume, volume_by_dimension as count_by_dimension
 from concord.plans.run import FINDINGS, Checks, Definition, Run, run_comparison
 from concord.session import shared_dir
@@ -666,3 +667,10 @@ def profile_quantiles(spark, sf):
 @registered
 def profile_patterns(spark, sf):
     return _profiled(spark, sf, lambda df: patterns.frequent_patterns(df, 0.05), ("customer", "orders", "events", "conversations"))
+
+
+@registered
+def run_trend(spark, sf):
+    """Slope and change point of the failures of monthly runs, from a history with a planted jump."""
+    found = run_trends(inputs.from_sql(spark, sf, inputs.MONTHLY_RUNS, "orders"))
+    return found.withColumns({c: F.round(c, 9) for c in ("slope", "p_value")})
