@@ -52,8 +52,8 @@ def labelled_sample(
 
     Half of the rows are meant for each label, chosen by a hash of the key.
     Held-out keys (crc32 of the key modulo 4 is 2), NULL keys and labels other
-    than 0 and 1 take no part; of several labels of a key the largest counts.
-    The driver holds the chosen keys only, at most ``rows`` of them.
+    than 0 and 1 take no part; of several labels of a key the largest counts,
+    of several documents of a key the one with the least text. The driver holds the chosen keys only, at most ``rows`` of them.
     """
     usable = (
         labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(key, 4) != 2))
@@ -69,8 +69,9 @@ def labelled_sample(
     kind = labels.schema[key].dataType.simpleString()
     keys = docs.sparkSession.createDataFrame(chosen, f"__key {kind}, __label int")
     found = docs.join(F.broadcast(keys), F.col(key) == F.col("__key")).where(F.length(text) <= MAX_TRAIN_CHARS)
-    columns = [F.col(key).alias("key"), F.col("__label").alias("label"), F.col(text).alias("text"), F.col(lang).alias("lang")]
-    return found.select(*columns), prior
+    columns = [F.col(key).alias("key"), F.col("__label").alias("label"), F.struct(F.col(text).alias("text"), F.col(lang).alias("lang")).alias("doc")]
+    single = found.select(*columns).groupBy("key", "label").agg(F.min("doc").alias("doc"))
+    return single.select("key", "label", "doc.text", "doc.lang"), prior
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:

@@ -92,3 +92,15 @@ def test_thresholds_by_language(spark):
     model = {"params": toxicity.fit([], 0.1)["params"], "thresholds": found}
     cuts = {r.lang: r.threshold for r in toxicity.classify(cases.docs(spark), model).collect()}
     assert cuts["en"] == found["en"] and cuts["de"] == found["de"] and cuts["fr"] == cuts[None] == found[None]
+
+
+def test_a_sample_has_one_row_for_each_key(spark):
+    rows = [(6, f"copy {i}", "en", "a", 6) for i in range(5000)] + [(i, f"text {i}", "de", "a", 6) for i in range(100, 140)]
+    docs = cases.docs(spark, rows, clashes=("key", "label", "doc", "prior"))
+    marks = cases.labels(spark, [(i, i % 2, i % 2) for i in [6, *range(100, 140)]] + [(6, 0, 0)])
+    sample, prior = labelled_sample(docs, marks, "toxic", rows=1000)
+    found = {r.key: tuple(r)[1:] for r in sample.collect()}
+    kept = {i for i in [6, *range(100, 140)] if crc32(str(i).encode()) % 4 != 2}
+    assert sample.count() == len(kept) == len(found) and set(found) == kept and 0 < prior < 1
+    assert found[6] == (0, "copy 0", "en")
+    assert labelled_sample(docs, marks, "toxic", rows=10)[0].count() <= 10
