@@ -146,6 +146,17 @@ def within(a: Column, b: Column, tolerance: Tolerance) -> Column:
     return close
 
 
+def times_within(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, seconds: float) -> Column:
+    """Whether two wall clocks lie at most so far apart, both ends included; never NULL.
+
+    Dates count as their midnight, instants as their UTC wall clock, and text as
+    the time it shows. What is NULL or no time on either side is not within.
+    """
+    clocks = [c.try_cast("timestamp_ntz") if family(t) == "text" else wall(c, t) for c, t in ((a, a_type), (b, b_type))]
+    bound = F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    return F.coalesce((clocks[0] <= clocks[1] + bound) & (clocks[1] <= clocks[0] + bound), F.lit(False))
+
+
 def values_equal(
     a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, tolerance: Tolerance | None = None
 ) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.functions.normalize import Rule, Tolerance, normalize, values_equal
+from concord.functions.normalize import Rule, Tolerance, normalize, times_within, values_equal
 from concord.functions.values import as_text, as_type, family, shared_type
 from concord.operators.skew import HOT_ROWS, hot_keys, split_hot
 
@@ -152,11 +152,15 @@ def compare_rows(
     rules: Mapping[str, Rule] | None = None,
     numeric_tolerance: Mapping[str, Tolerance] | None = None,
     ignore_columns: Sequence[str] = (),
+    time_tolerance: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Classify every key; one output row per key and category.
 
     ``findings`` counts the findings a row stands for: one, or the number of
-    rows of a duplicated key. Rules and tolerances go by target column name.
+    rows of a duplicated key. Rules and tolerances go by target column name;
+    ``time_tolerance`` gives seconds for columns of dates, times or their texts.
+    Rows already meet by key, so that a gap is measured itself and no pair is
+    lost at the edge of a time bucket.
     """
     rules, tolerances = rules or {}, numeric_tolerance or {}
     pairs, named = as_pairs(mapping), [key_name(k) for k in keys]
@@ -175,12 +179,18 @@ def compare_rows(
         rule = rules.get(p.target)
         tolerance = tolerances.get(p.target) or (rule.numeric_tolerance if rule else None)
         s, t = F.col(f"s.v{i}"), F.col(f"t.v{i}")
+        equal = values_equal(s, a, t, b, tolerance)
+        if p.target in (time_tolerance or {}):
+            for kind in (a, b):
+                if family(kind) not in ("time", "text"):
+                    raise ValueError(f"a time tolerance needs dates, times or text; {p.target} is {kind.simpleString()}")
+            equal = equal | times_within(s, a, t, b, time_tolerance[p.target])
         found = F.struct(
             F.lit(p.target).alias("column_name"),
             as_text(s, a).alias("source_value"),
             as_text(t, b).alias("target_value"),
         )
-        differences.append(F.when(~values_equal(s, a, t, b, tolerance), found))
+        differences.append(F.when(~equal, found))
     none = F.array().cast(f"array<{DIFFERENCE}>")
     differing = F.array_compact(F.array(*differences)) if differences else none
 

@@ -40,6 +40,14 @@ SELECT l_orderkey + 100000000, l_linenumber, l_quantity, l_returnflag, l_shipdat
 FROM {lineitem} WHERE l_partkey % 37 = 0
 """
 
+# Order dates moved by up to a minute, and some by more.
+ORDERS_SHIFTED = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate - INTERVAL '61' SECOND
+ WHEN o_orderkey % 7 = 0 THEN o_orderdate + INTERVAL '60' SECOND WHEN o_orderkey % 5 = 0 THEN o_orderdate - INTERVAL '1' SECOND
+ WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderdate END AS order_date
+FROM {orders} WHERE o_orderkey % 97 <> 0
+"""
+
 # A copy of orders in which two years have defects and the others are alike.
 ORDERS_DRIFTED = """
 SELECT o_orderkey, o_custkey, o_orderstatus,

@@ -655,6 +655,11 @@ def oracles() -> dict[str, str]:
         + f"SELECT o_orderkey, {FLAT}",
         "row_compare_ignore": _orders({c: v for c, v in ORDER_COLUMNS.items() if c not in ("order_priority", "order_date")})
         + f"SELECT o_orderkey, {FLAT}",
+        "row_compare_time_tolerance": _row_ctes(
+            "SELECT * FROM orders", inputs.ORDERS_SHIFTED.replace("{orders}", "orders"), [("o_orderkey", "o_orderkey")],
+            {"order_date": ("o_orderdate", "order_date", f"({SAME}) OR coalesce(abs(epoch_us($s) - epoch_us($t)) <= 60000000, false)")},
+        )
+        + f"SELECT o_orderkey, {FLAT}",
         "row_unable_to_compare": f"{_orders(unable=True)} SELECT o_orderkey, {FLAT}",
         "norm_null_equivalents": f"SELECT order_key, order_priority AS raw_value, CASE WHEN order_priority NOT IN ('N/A', 'unknown') THEN order_priority END AS value FROM ({ORDERS_TARGET})",  # noqa: E501
         "norm_string": f"SELECT doc_id, text AS raw_value, regexp_replace(lower(trim(text, {SPACE_CHARS})), '{SPACE_RUN}', ' ', 'g') AS value FROM documents",  # noqa: E501

@@ -155,6 +155,14 @@ def row_compare_ignore(spark, sf):
     return _flat(_compared(spark, sf, ignore_columns=["order_priority", "order_date"]), KEY)
 
 
+@registered
+def row_compare_time_tolerance(spark, sf):
+    """A second before midnight and midnight are near each other, whatever bucket they fall in."""
+    target = inputs.from_sql(spark, sf, inputs.ORDERS_SHIFTED, "orders")
+    pairs = [Pair("o_orderdate", "order_date")]
+    return _flat(rows.compare_rows(inputs.orders(spark, sf), target, KEY, pairs, time_tolerance={"order_date": 60}), KEY)
+
+
 @registered
 def row_unable_to_compare(spark, sf):
     return _flat(_compared(spark, sf, mapping=[*ORDER_MAPPING, Pair("o_clerk", "clerk")]), KEY)

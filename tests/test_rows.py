@@ -175,3 +175,29 @@ def test_rows_are_sorted_once(spark):
     source = spark.range(50).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
     plan = compare_rows(source, source, ["k"], [Pair("v", "v")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "string"])
+def test_time_tolerance(spark, kind):
+    pairs = [
+        ("1997-01-01 00:00:00", "1996-12-31 23:59:59", True),  # two days, one second apart
+        ("1997-01-01 00:00:00", "1997-01-01 00:01:00", True),
+        ("1997-01-01 00:00:00", "1997-01-01 00:01:00.000001", False),
+        ("1997-01-01 00:00:00", None, False),
+        (None, None, True),
+    ]
+    rows = [(i, a, b) for i, (a, b, _) in enumerate(pairs)]
+    both = spark.createDataFrame(rows, "k bigint, a string, b string")
+    sides = [both.select("k", F.col(c).cast(kind).alias("at")) for c in "ab"]
+    found = by_key(compare_rows(*sides, ["k"], [("at", "at")], time_tolerance={"at": 60}), "k")
+    assert found == {i: [(M if near else D, 1)] for i, (_, _, near) in enumerate(pairs)}
+    assert compare_rows(sides[0].limit(0), sides[1].limit(0), ["k"], [("at", "at")], time_tolerance={"at": 60}).isEmpty()
+
+
+def test_time_tolerance_takes_dates_and_repeated_keys_but_no_numbers_or_bad_text(spark):
+    source = spark.sql("SELECT 1L AS k, DATE'1997-01-02' AS at UNION ALL SELECT 2L, DATE'1997-01-02' UNION ALL SELECT 2L, DATE'1997-01-02'")
+    target = spark.sql("SELECT 1L AS k, 'soon' AS at UNION ALL SELECT 2L, '1997-01-01'")
+    found = by_key(compare_rows(source, target, ["k"], [("at", "at")], time_tolerance={"at": 86400}), "k")
+    assert found == {1: [(D, 1)], 2: [("duplicate-in-source", 2)]}
+    with pytest.raises(ValueError, match="time tolerance"):
+        compare_rows(source, source, ["k"], [("k", "k")], time_tolerance={"k": 1})
