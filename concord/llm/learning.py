@@ -1,4 +1,4 @@
-"""Bounded training samples, and a trainer that runs as one Spark task."""
+"""Labelled documents, all or a bounded sample, and a trainer that runs as one Spark task."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import remainder
 
-MAX_TRAIN_CHARS = 200_000  # longer texts are left out of training samples, never out of scoring
+BROADCAST_KEYS = 5_000_000  # labels that are counted first and then held by every executor; more are joined by a shuffle
+MAX_TRAIN_CHARS = 200_000  # longer texts are left out of bounded samples, never out of scoring
 
 
 class Adam:
@@ -45,6 +46,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _usable(labels: DataFrame, label: str, key: str) -> DataFrame:
+    return (
+        labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(key, 4) != 2))
+        .groupBy(F.col(key).alias("__key"))
+        .agg(F.max(label).cast("int").alias("__label"))
+    )
+
+
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> tuple[DataFrame, float]:
+    """(key, label, text, lang) of all labelled documents with a text, and the share of label 1 among all labels.
+
+    Held-out keys (crc32 of the key modulo 4 is 2), NULL keys and labels other
+    than 0 and 1 take no part; of several labels of a key the largest counts.
+    Several documents of a key all stay.
+    """
+    usable = _usable(labels, label, key)
+    ones, n = usable.agg(F.sum("__label"), F.count(F.lit(1))).head()
+    # Without its keys on every executor, a join would first move the texts of all documents.
+    usable = F.broadcast(usable) if n <= BROADCAST_KEYS else usable
+    found = docs.join(usable, F.col(key) == F.col("__key")).where(F.col(text).isNotNull())
+    columns = [F.col(key).alias("key"), F.col("__label").alias("label"), F.col(text).alias("text"), F.col(lang).alias("lang")]
+    return found.select(*columns), (ones or 0) / max(1, n)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> tuple[DataFrame, float]:
@@ -55,11 +82,7 @@ def labelled_sample(
     than 0 and 1 take no part; of several labels of a key the largest counts,
     of several documents of a key the one with the least text. The driver holds the chosen keys only, at most ``rows`` of them.
     """
-    usable = (
-        labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(key, 4) != 2))
-        .groupBy(F.col(key).alias("__key"))
-        .agg(F.max(label).cast("int").alias("__label"))
-    )
+    usable = _usable(labels, label, key)
     counts = {r["__label"]: r["count"] for r in usable.groupBy("__label").count().collect()}
     chosen = []
     for value in (0, 1):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from concord.llm import quality, toxicity
-from concord.llm.learning import labelled_sample
+from concord.llm.learning import labelled_rows, labelled_sample
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.1"
@@ -104,3 +104,42 @@ def test_a_sample_has_one_row_for_each_key(spark):
     assert sample.count() == len(kept) == len(found) and set(found) == kept and 0 < prior < 1
     assert found[6] == (0, "copy 0", "en")
     assert labelled_sample(docs, marks, "toxic", rows=10)[0].count() <= 10
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """Words that only occur in a text of over 200,000 characters, or beyond the first 20,000 labelled rows."""
+    rows = [(i, f"plain text {i % 50}", "en", "a", 9) for i in range(28_000)]
+    keys = spark.createDataFrame([(i,) for i in range(28_000)], "key bigint").selectExpr("key", "xxhash64(key) AS h")
+    ones = [r.key for r in keys.orderBy("h").collect() if crc32(str(r.key).encode()) % 4 != 2 and r.key % 2]
+    late, long = set(ones[-200:]), set(ones[:10])
+    assert len(ones) > 10_200
+    texts = {i: "zork here" for i in late} | {i: "long " * 50_000 + "quux" for i in long}
+    docs = spark.createDataFrame([(i, texts.get(i, t), *rest) for i, t, *rest in rows], cases.DOCS)
+    toxic = cases.labels(spark, [(i, 0, int(i in texts)) for i in range(28_000)])
+    found, _ = labelled_rows(docs, toxic, "toxic")
+    assert {r.key for r in found.select("key").collect()} == {i for i in range(28_000) if crc32(str(i).encode()) % 4 != 2}
+    model = toxicity.train(docs, toxic)
+    zork, quux, plain = toxicity.score(model["params"], ["zork here", "long quux", "plain text 7"])
+    assert min(zork, quux) > 0.5 > 0.1 > plain
+
+
+def test_toxicity_shares_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARE_CHARS", 1_000_000)
+    monkeypatch.setattr(toxicity, "FAN_IN", 3)
+    docs, labels, held = _split(spark, "toxic")
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(model["params"], [r[2] for r in held])
+    assert np.mean([(s >= 0.3) == bool(r[1]) for s, r in zip(found, held, strict=True)]) > 0.95
+    again = toxicity.train(docs.repartition(5), labels.repartition(2))
+    assert all(np.array_equal(v, again["params"][k]) for k, v in model["params"].items()) and model["thresholds"] == again["thresholds"]
+
+
+def test_a_long_text_is_pooled_block_by_block(monkeypatch):
+    p = toxicity.initial(0.1)["params"]
+    parts = [np.arange(1, n + 1, dtype=np.int32) for n in (5, 0, 90, 33)]
+    ids, starts = toxicity._stream(parts)
+    spans = [(int(a), int(a) + len(x) + 1) for a, x in zip(starts, parts, strict=True)]
+    best, top = toxicity._tops(p, ids, spans)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    again = toxicity._tops(p, ids, spans)
+    assert np.array_equal(best, again[0]) and np.allclose(top, again[1])
