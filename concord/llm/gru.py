@@ -37,9 +37,9 @@ WORDS = VOCABULARY - RARE - 1  # frequent words that the model knows one by one;
 KNOWN = 1 << 17  # bound of the words whose counts travel with the tasks; the counts of all others are joined
 HIDDEN = 16
 STEPS, WINDOW = 16, 32  # tokens of a training and of a scoring window
-TRAIN_LANES, LANES = 128, 256  # documents side by side
+TRAIN_LANES, LANES = 128, 512  # documents side by side
 RATE = 0.01
-ROUNDS, SHARES = 2, 6  # each round learns from its own one of so many equal shares of the training documents
+ROUNDS = 2  # each learns from its own one of as many equal shares of the training documents
 FAN_IN = 32  # models averaged by one task
 HELD_OUT = (7, 2)  # fixed values: documents whose crc32 modulo 7 is 2 are never learned from
 FLUSH = 200_000  # different words a counting task holds before it passes them on
@@ -57,6 +57,12 @@ def rare_group(word: bytes) -> int:
     return crc32(word[-2:]) % RARE
 
 
+def rare_ids() -> np.ndarray:
+    """The model ids of rare words by their last two bytes; a space stands before a single one."""
+    pairs = [bytes([b]) if a == ord(" ") else bytes([a, b]) for a in range(256) for b in range(256)]
+    return np.array([VOCABULARY - RARE + rare_group(p) for p in pairs], np.int32).reshape(256, 256)
+
+
 @dataclass
 class Corpus:
     """Counts of the training documents: all of them as a table, the bounded parts by value."""
@@ -145,13 +151,17 @@ class Reader:
         self.logs = np.log10(np.array([n for _, n in corpus.known] + [0.0]) + 1)  # the last is for index -1
         self.totals = np.log10(corpus.groups.sum(axis=1) + 1)
         rare = [VOCABULARY - RARE + rare_group(w) for w, _ in corpus.known[WORDS:]]
+        self.rare = rare_ids()
         self.model_ids = np.array([*range(1, 1 + min(WORDS, len(corpus.known))), *rare, 0], np.int32)
 
     def ids(self, words: list[bytes], index: np.ndarray) -> np.ndarray:
         """Model ids of the words and of the end mark."""
         found = np.append(self.model_ids[index], np.int32(0))
-        for i in np.nonzero(index < 0)[0].tolist():
-            found[i] = VOCABULARY - RARE + rare_group(words[i])
+        unknown = np.nonzero(index < 0)[0]
+        if len(unknown):
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)[unknown] - 1
+            text = np.frombuffer(b" " + b" ".join(words), np.uint8)  # a word of one byte has a space before it
+            found[unknown] = self.rare[text[ends - 1], text[ends]]
         return found
 
     def index(self, words: list[bytes]) -> np.ndarray:
@@ -182,13 +192,33 @@ def initial(corpus: Corpus, seed: int = 5) -> Params:
     }
 
 
-def _advance(p: Params, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    n = HIDDEN
-    x, g = p["input"].take(ids, 0), h @ p["state"]
-    gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + g[:, : 2 * n])))
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-    return new + z * (h - new), z, r, new, g[:, 2 * n :]
+def _parts(a: np.ndarray) -> np.ndarray:
+    """The columns of the update gate, the reset gate and the new value apart, so that each is one block of memory."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _step(state: np.ndarray, h: np.ndarray, x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The states after inputs ``x``; ``room`` takes both gates, what the state gives to the new value, and that."""
+    g, new = np.matmul(h, state, out=room[:3]), room[3]
+    gates = g[:2]
+    gates += x[:2]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], g[2], out=new)
+    new += x[2]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= gates[0]
+    after += new
+    return after
+
+
+def _advance(p: Params, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after these ids, and what ``_step`` keeps."""
+    room = np.empty((4, *h.shape), h.dtype)
+    return _step(_parts(p["state"]), h, _parts(p["input"].take(ids, 0)), room), room
 
 
 def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,34 +230,37 @@ def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params | None = None):
     """Natural log-probabilities of the targets; with ``grads``, also the gradient that reaches the states."""
     slot = p["slot"][targets]
+    order = np.argsort((slot // MEMBERS).astype(np.uint8), kind="stable")
+    slot, s = slot[order], states[order]
     cls, member = slot // MEMBERS, slot % MEMBERS
     every = np.arange(len(targets))
-    logits = states @ p["class"] + p["class_bias"]
+    logits = s @ p["class"] + p["class_bias"]
     prob, total = _exponents(logits)
     logp = logits[every, cls] - np.log(total)
     back = None
     if grads is not None:
         prob /= total[:, None]
         prob[every, cls] -= 1
-        grads["class"] += states.T @ prob
-        grads["class_bias"] += prob.sum(axis=0)
+        grads["class"] += s.T @ prob
+        grads["class_bias"] += np.ones(len(prob), prob.dtype) @ prob
         back = prob @ p["class"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in np.nonzero(np.diff(bounds))[0]:
-        rows = order[bounds[c] : bounds[c + 1]]
-        s = states[rows]
-        logits = s @ p["member"][c] + p["member_bias"][c]
+        rows = slice(bounds[c], bounds[c + 1])
+        logits = s[rows] @ p["member"][c]
+        logits += p["member_bias"][c]
         prob, total = _exponents(logits)
-        own, inner = np.arange(len(rows)), member[rows]
+        own, inner = every[: len(logits)], member[rows]
         logp[rows] += logits[own, inner] - np.log(total)
         if grads is not None:
             prob /= total[:, None]
             prob[own, inner] -= 1
-            grads["member"][c] += s.T @ prob
-            grads["member_bias"][c] += prob.sum(axis=0)
+            grads["member"][c] += s[rows].T @ prob
+            grads["member_bias"][c] += np.ones(len(prob), prob.dtype) @ prob
             back[rows] += prob @ p["member"][c].T
-    return logp, back
+    place = np.empty_like(order)
+    place[order] = every
+    return logp[place], None if back is None else back[place]
 
 
 def _window(docs: list[np.ndarray], lens: np.ndarray, start: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +277,13 @@ def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each id sequence as a whole."""
     found = np.zeros(len(docs))
     order = np.argsort([-len(d) for d in docs], kind="stable")
+    table, state = _parts(p["input"]), _parts(p["state"])
     for at in range(0, len(order), LANES):
         group = order[at : at + LANES]
         own = [docs[i] for i in group]
         lens = np.array([len(d) for d in own])
-        h = np.zeros((len(own), HIDDEN), np.float32)
+        h, every = np.zeros((len(own), HIDDEN), np.float32), np.arange(len(own))
+        room = np.empty((4, *h.shape), h.dtype)
         for start in range(0, int(lens[0]), WINDOW):
             ids, active = _window(own, lens, start, WINDOW)
             states, targets, lanes = [], [], []
@@ -258,8 +293,8 @@ def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:
                     break
                 states.append(h[:n].copy())
                 targets.append(ids[t, :n])
-                lanes.append(np.arange(n))
-                h[:n] = _advance(p, h[:n], ids[t, :n])[0]
+                lanes.append(every[:n])
+                h[:n] = _step(state, h[:n], table.take(ids[t, :n], 1), room[:, :n])
             logp, _ = _outputs(p, np.concatenate(states), np.concatenate(targets))
             found[group] += np.bincount(np.concatenate(lanes), logp, len(own))
     return found / LOG10
@@ -283,35 +318,41 @@ def learn(p: Params, docs: list[np.ndarray], adam: Adam) -> int:
 
 def _learn_window(p: Params, h: np.ndarray, ids: np.ndarray, active: np.ndarray, adam: Adam) -> np.ndarray:
     grads = {k: np.zeros_like(v) for k, v in adam.params.items()}
-    steps = int((active > 0).sum())
-    kept, states, h = [], [], h.copy()
-    for t in range(steps):
-        n = active[t]
-        states.append(h[:n].copy())
-        after, *inner = _advance(p, h[:n], ids[t, :n])
-        kept.append(inner)
-        h[:n] = after
+    steps, n = int((active > 0).sum()), HIDDEN
     targets = np.concatenate([ids[t, : active[t]] for t in range(steps)])
-    _, back = _outputs(p, np.concatenate(states), targets, grads)
-    ends = np.cumsum(active[:steps])
-    moved = np.zeros((len(targets), 3 * HIDDEN), np.float32)
-    dh = np.zeros_like(h)
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        z, r, new, mixed = kept[t]
-        before, d = states[t], dh[:n]
-        dnew = d * (1 - z) * (1 - new * new)
-        part = moved[ends[t] - n : ends[t]]
-        part[:, :HIDDEN] = d * (before - new) * z * (1 - z)
-        part[:, HIDDEN : 2 * HIDDEN] = dnew * mixed * r * (1 - r)
-        part[:, 2 * HIDDEN :] = dnew
-        gate = part.copy()
-        gate[:, 2 * HIDDEN :] *= r
-        grads["state"] += before.T @ gate
-        dh[:n] = d * z + gate @ p["state"].T + back[ends[t] - n : ends[t]]
-    order = np.argsort(targets, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(active[:steps])))
+    spans = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    x, state, h = _parts(p["input"]).take(targets, 1), _parts(p["state"]), h.copy()
+    states, room = np.empty((len(targets), n), h.dtype), np.empty((4, len(targets), n), h.dtype)
+    for at in spans:
+        own = h[: at.stop - at.start]
+        states[at] = own
+        own[:] = _step(state, own, x[:, at], room[:, at])
+    _, back = _outputs(p, states, targets, grads)
+    z, r, mixed, new = room
+    # What a state's gradient is multiplied with on its way to the gates, for all steps at once.
+    ways = np.empty((3, len(targets), n), h.dtype)
+    np.multiply((states - new) * z, 1 - z, out=ways[0])
+    np.multiply(1 - z, 1 - new * new, out=ways[2])
+    np.multiply(ways[2] * mixed, r * (1 - r), out=ways[1])
+    inner = ways.copy()  # the same on its way to the state's own products
+    inner[2] *= r
+    gate, dh, turned = np.empty_like(ways), np.zeros_like(h), np.ascontiguousarray(state.transpose(0, 2, 1))
+    whole = np.empty_like(states)
+    for at in reversed(spans):
+        d = dh[: at.stop - at.start]
+        whole[at] = d
+        np.multiply(inner[:, at], d, out=gate[:, at])
+        d *= z[at]
+        for k in range(3):
+            d += gate[k, at] @ turned[k]
+        d += back[at]
+    grads["state"] += np.matmul(states.T, gate).transpose(1, 0, 2).reshape(n, 3 * n)
+    ways *= whole
+    order = np.argsort(targets.astype(np.uint16), kind="stable")
     met, first = np.unique(targets[order], return_index=True)
-    grads["input"][met] = np.add.reduceat(moved[order], first, axis=0)
+    sums = np.add.reduceat(ways.take(order, 1), first, axis=1)
+    grads["input"][met] = sums.transpose(1, 0, 2).reshape(len(met), 3 * n)
     scale = 1 / len(targets)
     for g in grads.values():
         g *= scale
@@ -324,16 +365,15 @@ def train(docs: DataFrame, corpus: Corpus, key: str = "doc_id", text: str = "tex
     """Weights learned from the training documents.
 
     Output biases and the split into classes come from the counts of all of
-    them. The weights take one pass over ROUNDS of SHARES shares, dealt by a hash
-    of the key: a fixed part of the corpus, which grows with it. In each round
-    every task trains on its documents of that round, starting from the same
+    them. The weights take one pass over all of them, dealt to ``rounds`` shares
+    by a hash of the key. In each round every task trains on its documents of that round, starting from the same
     weights; then the tasks' weights are averaged by tokens, FAN_IN
     at a time, so that neither a task nor the driver holds more than that many.
     A task that is lost trains again from the same start to the same result.
     """
     model = initial(corpus)
     training = training_documents(docs, key)
-    share = F.pmod(F.xxhash64(F.lit("round"), F.col(key)), F.lit(SHARES))
+    share = F.pmod(F.xxhash64(F.lit("round"), F.col(key)), F.lit(rounds))
     for k in range(rounds):
         start, rate = model, RATE / (1 + k)
 

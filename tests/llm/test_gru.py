@@ -120,3 +120,22 @@ def test_averages(spark):
     df = spark.createDataFrame(rows, gru.MODEL).coalesce(1).mapInArrow(gru._averaged, gru.MODEL)
     (got,) = df.collect()
     assert got.tokens == 4 and np.allclose(gru.pickle.loads(got.model)["w"], 2.5)
+
+
+def test_every_training_document_teaches(spark, monkeypatch):
+    """The tokens that tasks learn from are all that the counts hold."""
+    seen = []
+    average = gru.average
+    monkeypatch.setattr(gru, "average", lambda models: seen.extend(n for n, _ in models) or average(models))
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet").repartition(3, "doc_id")
+    corpus = gru.gather(docs)
+    gru.train(docs, corpus)
+    assert sum(seen) == corpus.tokens
+
+
+def test_rare_groups_of_whole_texts():
+    words = gru.words_of("a é 漢字 ab xab B zz zzz a")
+    corpus = gru.Corpus(None, 9, 8, 1, [(b"zz", 2)], np.ones((gru.RARE, 2)))
+    reader = gru.Reader(corpus)
+    expected = [1 if w == b"zz" else gru.VOCABULARY - gru.RARE + gru.rare_group(w) for w in words]
+    assert reader.ids(words, reader.index(words)).tolist() == [*expected, 0]
