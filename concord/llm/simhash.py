@@ -43,7 +43,9 @@ SAMPLED_TEXTS = 5_000  # texts that show which shingles are frequent; this order
 FREQUENT = 8  # of the sampled texts that hold a shingle for it to count as frequent
 BUCKET_BITS = 40  # of a hash that name a bucket; hashes that share them meet and are told apart when they are compared
 SPREAD_LONGS = 8  # of 64 bits, by hash, of which a set marks those that one of its shingles falls on
+PARITY_LONGS = 16  # of 64 bits, by hash, each of which tells whether an odd number of a set's shingles falls on it
 BINS = 512  # counts of a set's shingles by hash, which bound what two sets can share
+EARLIER = 4  # of a member's buckets before each that it names there, so that a pair is made in one of the buckets it shares
 COMPARED_BLOCK = 512  # members of a bucket that one task compares with the others
 
 
@@ -218,12 +220,23 @@ def spread(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(marked, bitorder="little").view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The bits that an odd number of a set's shingles falls on.
+
+    Where two sets differ in a bit, at least one shingle is in only one of them.
+    What they share falls out, so that large sets with small differences are
+    told apart as well as small ones.
+    """
+    counts = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % (PARITY_LONGS * BITS), minlength=PARITY_LONGS * BITS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
 def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: float, frequent) -> DataFrame:
-    """(key, text_hash, fp, node, size, prefix, bins, spread) for each row; the node is a hash of the set of distinct shingles."""
+    """(key, text_hash, fp, node, size, prefix, bins, spread, parity) for each row; the node is a hash of the set of distinct shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, nodes, sizes, firsts, counts, marks = [], [], [], [], [], []
+            found, nodes, sizes, firsts, counts, marks, odd = [], [], [], [], [], [], []
             for t in batch.column(2):
                 own = shingle_set(t.as_py(), width)
                 found.append(_majority((own[at : at + BLOCK] for at in range(0, len(own), BLOCK)), 1))
@@ -231,19 +244,20 @@ def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: fl
                 sizes.append(len(own))
                 counts.append(bins(own))
                 marks.append(spread(own))
+                odd.append(parity(own))
                 firsts.append((prefix(own, frequent.value, similarity) >> np.uint64(BITS - BUCKET_BITS)).view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
             columns += [pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-            columns += [pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix", "bins", "spread"])
+            columns += [pa.array(marks, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix", "bins", "spread", "parity"])
 
     narrow = docs.select(F.col(key).alias("key"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>, bins binary, spread array<bigint>")
+    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>, bins binary, spread array<bigint>, parity array<bigint>")
 
 
 def _met(nodes: DataFrame, radius: int) -> DataFrame:
-    """(bucket, node, size, spread, members, times) of the buckets of masks and of first shingles that several nodes share.
+    """(bucket, node, size, members, times) of the buckets of masks and of first shingles that several nodes share.
 
     Copies share very many buckets; of those with equal members one stands for
     all, and ``times`` says for how many. Members are equal if their number and
@@ -260,7 +274,7 @@ def _met(nodes: DataFrame, radius: int) -> DataFrame:
     sizes = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *marks).where("members > 1")
     alike = sizes.groupBy("members", "mark", "other_mark").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
     met = tables.join(alike.select("bucket", "members", "times"), "bucket")
-    return met.join(nodes.select("node", "size", "spread"), "node")
+    return met.join(nodes.select("node", "size"), "node")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -273,17 +287,21 @@ def _sized(n: Column, m: Column, least: float) -> Column:
 
 
 def _roomy(x: str, y: str, least: float) -> Column:
-    """Whether sets can be so similar, by their sizes and by the bits that they fall on.
+    """Whether sets can be so similar, by their sizes, the bits that they fall on and those they fall on an odd number of times.
 
     Every bit that one set falls on and the other does not has a shingle that
-    they do not share, so that no similar pair is lost.
+    they do not share, and so has every bit in which their parities differ, so
+    that no similar pair is lost.
     """
     alone = lambda p, q: sum(
         (F.bit_count(F.col(f"{p}_spread")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}_spread")[i]))) for i in range(SPREAD_LONGS)), F.lit(0)
     )
     n, m = F.col(f"{x}_size"), F.col(f"{y}_size")
+    apart = sum((F.bit_count(F.col(f"{x}_parity")[i].bitwiseXOR(F.col(f"{y}_parity")[i])) for i in range(PARITY_LONGS)), F.lit(0))
     shared = F.least(n - alone(x, y), m - alone(y, x))
-    return _sized(n, m, least) & (shared >= least / (1 + least) * (n + m) - 1e-6)
+    # Two sets share half of what is left of both sizes without the shingles that only one of them has.
+    near = apart <= (1 - least) / (1 + least) * (n + m) + 1e-6
+    return _sized(n, m, least) & near & (shared >= least / (1 + least) * (n + m) - 1e-6)
 
 
 def _folding(met: DataFrame, least: float) -> DataFrame:
@@ -301,26 +319,34 @@ def _folding(met: DataFrame, least: float) -> DataFrame:
     return pairs.select(*_ordered(F.col("hub.node"), F.col("node"))).distinct()
 
 
-def _across(met: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def _across(met: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) in one bucket but in different classes.
 
     Of two classes one is not the largest of its bucket, so only members outside
     the largest are compared with the others; a bucket in one class drops out.
     The members of a large bucket are dealt to blocks, each of which meets all
-    others in a task of its own.
+    others in a task of its own. Marked bits join only the members that are compared.
+
+    Copies share most of their buckets. A pair of two classes meets in every
+    open bucket that it shares, so it is passed over where the EARLIER buckets
+    that both name have one in common: the first that it shares never has.
     """
-    known = met.where("members > 2").select("bucket", "node", "size", "spread").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = met.where("members > 2").select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sums.groupBy("bucket").agg(
         F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.ceil(F.sum("n") / COMPARED_BLOCK).alias("blocks")
     )
-    open_ = pinned(known.join(largest.where("classes > 1"), "bucket").withColumn("main", F.col("root") == F.col("top.root")).drop("top", "classes"))
+    open_ = known.join(largest.where("classes > 1"), "bucket").withColumn("main", F.col("root") == F.col("top.root")).drop("top", "classes")
+    before = Window.partitionBy("node").orderBy("bucket").rowsBetween(-EARLIER, -1)
+    open_ = open_.withColumn("earlier", F.collect_list("bucket").over(before))
+    open_ = pinned(open_.join(nodes.select("node", "spread", "parity"), "node"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    x = open_.where("NOT main").select("bucket", block.alias("block"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("spread").alias("x_spread"), F.col("root").alias("x_root"))
+    x = open_.where("NOT main").select("bucket", block.alias("block"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("spread").alias("x_spread"), F.col("parity").alias("x_parity"), F.col("earlier").alias("x_earlier"), F.col("root").alias("x_root"))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    y = open_.select("bucket", every.alias("block"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("spread").alias("y_spread"), F.col("root").alias("y_root"), "main")
+    y = open_.select("bucket", every.alias("block"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("spread").alias("y_spread"), F.col("parity").alias("y_parity"), F.col("earlier").alias("y_earlier"), F.col("root").alias("y_root"), "main")
     once = F.col("main") | (F.col("x") < F.col("y"))
-    met = x.join(y, ["bucket", "block"]).where((F.col("x_root") != F.col("y_root")) & once & _roomy("x", "y", least))
+    first = ~F.arrays_overlap("x_earlier", "y_earlier")
+    met = x.join(y, ["bucket", "block"]).where((F.col("x_root") != F.col("y_root")) & once & _roomy("x", "y", least) & first)
     return met.select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
@@ -360,7 +386,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def link_similar(nodes: DataFrame, sets_of, radius: int, least: float) -> DataFrame:
     """(node, root): the classes that all pairs with a Jaccard similarity of ``least`` connect, but for lone nodes.
 
-    ``nodes`` has (node, fp, size, prefix, bins, spread), and ``sets_of`` gives (node,
+    ``nodes`` has (node, fp, size, prefix, bins, spread, parity), and ``sets_of`` gives (node,
     shingles) for a table of nodes. No pair is left out: every similar pair
     shares a bucket, and buckets of any size are compared whole, but for pairs
     whose classes links already connect. A large group of copies folds into one
@@ -370,7 +396,7 @@ def link_similar(nodes: DataFrame, sets_of, radius: int, least: float) -> DataFr
     tried = pinned(_folding(met, least))
     links = _verified(tried, nodes, sets_of, least)
     roots = components(links)
-    rest = pinned(_across(met, roots, least).join(tried, ["a", "b"], "left_anti"))
+    rest = pinned(_across(met, roots, nodes, least).join(tried, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
     return components(links.union(_verified(rest, nodes, sets_of, least)))
@@ -456,7 +482,7 @@ def similar_documents(
     found = pinned(_set_prints(docs, key, text, width, similarity, frequent))
     first = F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("text_hash"))).alias("first")
     distinct = pinned(found.groupBy("node").agg(F.min("key").alias("least"), first))
-    nodes = pinned(found.select("node", "fp", "size", "prefix", "bins", "spread").dropDuplicates(["node"]))
+    nodes = pinned(found.select("node", "fp", "size", "prefix", "bins", "spread", "parity").dropDuplicates(["node"]))
     found = found.select("key", "text_hash", "fp", "node")
 
     def sets_of(wanted: DataFrame) -> DataFrame:

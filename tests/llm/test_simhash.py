@@ -227,3 +227,35 @@ def test_one_repeated_line_does_not_link(spark):
     assert _jaccard(rows[0][1], rows[1][1]) < 0.1
     found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r.component == r.key for r in found)
+
+
+def test_parities_bound_what_sets_do_not_share():
+    rng = random.Random(23)
+    for n in (0, 1, 50, 3000):
+        shared = {rng.getrandbits(64) for _ in range(n)}
+        for k in (0, 1, 40, 400):
+            x, y = (shared | {rng.getrandbits(64) for _ in range(k)} for _ in range(2))
+            p, q = (int.from_bytes(simhash.parity(np.array(sorted(v), np.uint64)).tobytes(), "little") for v in (x, y))
+            assert 0.4 * len(x ^ y) <= (p ^ q).bit_count() <= len(x ^ y)
+
+
+def test_pairs_of_unlike_copies_are_made_once(spark, monkeypatch):
+    """Copies of one text that are too unlike to link share very many buckets; the join makes few of their pairs."""
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(3000)]  # so many that marked bits cannot tell them apart
+    texts = [(i, " ".join(_edited(rng, words, 85))) for i in range(40)]
+    texts.append((40, " ".join(words)))
+    made = []
+    across = simhash._across
+
+    def watched(met, found, nodes, least):
+        with monkeypatch.context() as patch:
+            patch.setattr(type(met), "distinct", lambda self: self)  # the join's own rows
+            pairs = across(met, found, nodes, least)
+        made.append([tuple(r) for r in pairs.collect()])
+        return pairs.distinct()
+
+    monkeypatch.setattr(simhash, "_across", watched)
+    found = _found(spark, dict(texts))
+    assert found == _classes_of(dict(texts))
+    assert made[0] and len(made[0]) <= 1.5 * len(set(made[0]))
