@@ -234,30 +234,38 @@ def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params |
     slot, s = slot[order], states[order]
     cls, member = slot // MEMBERS, slot % MEMBERS
     every = np.arange(len(targets))
-    logits = s @ p["class"] + p["class_bias"]
+    logits = s @ p["class"]
+    logits += p["class_bias"]
     prob, total = _exponents(logits)
-    logp = logits[every, cls] - np.log(total)
+    own = every * CLASSES + cls  # where the targets are in the flat matrix
+    logp = logits.ravel()[own] - np.log(total)
     back = None
     if grads is not None:
         prob /= total[:, None]
-        prob[every, cls] -= 1
+        prob.ravel()[own] -= 1
         grads["class"] += s.T @ prob
         grads["class_bias"] += np.ones(len(prob), prob.dtype) @ prob
         back = prob @ p["class"].T
-    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for c in np.nonzero(np.diff(bounds))[0]:
-        rows = slice(bounds[c], bounds[c + 1])
-        logits = s[rows] @ p["member"][c]
-        logits += p["member_bias"][c]
-        prob, total = _exponents(logits)
-        own, inner = every[: len(logits)], member[rows]
-        logp[rows] += logits[own, inner] - np.log(total)
-        if grads is not None:
-            prob /= total[:, None]
-            prob[own, inner] -= 1
-            grads["member"][c] += s[rows].T @ prob
-            grads["member_bias"][c] += np.ones(len(prob), prob.dtype) @ prob
-            back[rows] += prob @ p["member"][c].T
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    spans = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+    # Only the products go class by class; all that follows is done for all rows at once.
+    logits = np.empty((len(targets), MEMBERS), s.dtype)
+    for c, rows in spans:
+        part = np.matmul(s[rows], p["member"][c], out=logits[rows])
+        part += p["member_bias"][c]
+    prob, total = _exponents(logits)
+    own = every * MEMBERS + member
+    logp += logits.ravel()[own] - np.log(total)
+    if grads is not None:
+        prob /= total[:, None]
+        prob.ravel()[own] -= 1
+        inner, ones = np.empty_like(back), np.ones(len(prob), prob.dtype)
+        for c, rows in spans:
+            part = prob[rows]
+            grads["member"][c] += s[rows].T @ part
+            grads["member_bias"][c] += ones[rows] @ part
+            np.matmul(part, p["member"][c].T, out=inner[rows])
+        back += inner
     place = np.empty_like(order)
     place[order] = every
     return logp[place], None if back is None else back[place]
@@ -338,14 +346,14 @@ def _learn_window(p: Params, h: np.ndarray, ids: np.ndarray, active: np.ndarray,
     inner = ways.copy()  # the same on its way to the state's own products
     inner[2] *= r
     gate, dh, turned = np.empty_like(ways), np.zeros_like(h), np.ascontiguousarray(state.transpose(0, 2, 1))
-    whole = np.empty_like(states)
+    whole, products = np.empty_like(states), np.empty((3, *h.shape), h.dtype)
     for at in reversed(spans):
         d = dh[: at.stop - at.start]
         whole[at] = d
         np.multiply(inner[:, at], d, out=gate[:, at])
         d *= z[at]
-        for k in range(3):
-            d += gate[k, at] @ turned[k]
+        for product in np.matmul(gate[:, at], turned, out=products[:, : len(d)]):
+            d += product
         d += back[at]
     grads["state"] += np.matmul(states.T, gate).transpose(1, 0, 2).reshape(n, 3 * n)
     ways *= whole
