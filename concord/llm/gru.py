@@ -159,8 +159,9 @@ class Reader:
         found = np.append(self.model_ids[index], np.int32(0))
         unknown = np.nonzero(index < 0)[0]
         if len(unknown):
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)[unknown] - 1
-            text = np.frombuffer(b" " + b" ".join(words), np.uint8)  # a word of one byte has a space before it
+            own = [words[i] for i in unknown.tolist()]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+            text = np.frombuffer(b" " + b" ".join(own), np.uint8)  # a word of one byte has a space before it
             found[unknown] = self.rare[text[ends - 1], text[ends]]
         return found
 
@@ -197,12 +198,18 @@ def _parts(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).transpose(1, 0, 2))
 
 
+def _negated(parts: np.ndarray) -> np.ndarray:
+    """Parts with both gates negated, as ``_step`` takes them."""
+    found = parts.copy()
+    np.negative(found[:2], out=found[:2])
+    return found
+
+
 def _step(state: np.ndarray, h: np.ndarray, x: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """The states after inputs ``x``; ``room`` takes both gates, what the state gives to the new value, and that."""
+    """The states after inputs ``x``, the gates of both negated; ``room`` takes both gates, what the state gives to the new value, and that."""
     g, new = np.matmul(h, state, out=room[:3]), room[3]
     gates = g[:2]
     gates += x[:2]
-    np.negative(gates, out=gates)
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
@@ -218,7 +225,7 @@ def _step(state: np.ndarray, h: np.ndarray, x: np.ndarray, room: np.ndarray) ->
 def _advance(p: Params, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The states after these ids, and what ``_step`` keeps."""
     room = np.empty((4, *h.shape), h.dtype)
-    return _step(_parts(p["state"]), h, _parts(p["input"].take(ids, 0)), room), room
+    return _step(_negated(_parts(p["state"])), h, _negated(_parts(p["input"].take(ids, 0))), room), room
 
 
 def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,22 +255,25 @@ def _outputs(p: Params, states: np.ndarray, targets: np.ndarray, grads: Params |
         back = prob @ p["class"].T
     bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
     spans = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
-    # Only the products go class by class; all that follows is done for all rows at once.
+    # Only products and sums go class by class; all that follows is done for all rows at once.
     logits = np.empty((len(targets), MEMBERS), s.dtype)
     for c, rows in spans:
         part = np.matmul(s[rows], p["member"][c], out=logits[rows])
         part += p["member_bias"][c]
-    prob, total = _exponents(logits)
+    prob = np.exp(np.minimum(logits, 80, out=logits))
+    total, ones = np.empty(len(prob), prob.dtype), np.ones(MEMBERS, prob.dtype)
+    for _, rows in spans:
+        np.matmul(prob[rows], ones, out=total[rows])
     own = every * MEMBERS + member
     logp += logits.ravel()[own] - np.log(total)
     if grads is not None:
         prob /= total[:, None]
         prob.ravel()[own] -= 1
-        inner, ones = np.empty_like(back), np.ones(len(prob), prob.dtype)
+        inner, each = np.empty_like(back), np.ones(len(prob), prob.dtype)
         for c, rows in spans:
             part = prob[rows]
             grads["member"][c] += s[rows].T @ part
-            grads["member_bias"][c] += ones[rows] @ part
+            grads["member_bias"][c] += each[rows] @ part
             np.matmul(part, p["member"][c].T, out=inner[rows])
         back += inner
     place = np.empty_like(order)
@@ -285,7 +295,7 @@ def log_likelihoods(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each id sequence as a whole."""
     found = np.zeros(len(docs))
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    table, state = _parts(p["input"]), _parts(p["state"])
+    table, state = _negated(_parts(p["input"])), _negated(_parts(p["state"]))
     for at in range(0, len(order), LANES):
         group = order[at : at + LANES]
         own = [docs[i] for i in group]
@@ -330,7 +340,8 @@ def _learn_window(p: Params, h: np.ndarray, ids: np.ndarray, active: np.ndarray,
     targets = np.concatenate([ids[t, : active[t]] for t in range(steps)])
     ends = np.concatenate(([0], np.cumsum(active[:steps])))
     spans = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    x, state, h = _parts(p["input"]).take(targets, 1), _parts(p["state"]), h.copy()
+    x, state, h = _negated(_parts(p["input"])).take(targets, 1), _parts(p["state"]), h.copy()
+    turned, state = np.ascontiguousarray(state.transpose(0, 2, 1)), _negated(state)
     states, room = np.empty((len(targets), n), h.dtype), np.empty((4, len(targets), n), h.dtype)
     for at in spans:
         own = h[: at.stop - at.start]
@@ -345,7 +356,7 @@ def _learn_window(p: Params, h: np.ndarray, ids: np.ndarray, active: np.ndarray,
     np.multiply(ways[2] * mixed, r * (1 - r), out=ways[1])
     inner = ways.copy()  # the same on its way to the state's own products
     inner[2] *= r
-    gate, dh, turned = np.empty_like(ways), np.zeros_like(h), np.ascontiguousarray(state.transpose(0, 2, 1))
+    gate, dh = np.empty_like(ways), np.zeros_like(h)
     whole, products = np.empty_like(states), np.empty((3, *h.shape), h.dtype)
     for at in reversed(spans):
         d = dh[: at.stop - at.start]
