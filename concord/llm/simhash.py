@@ -43,10 +43,13 @@ SAMPLED_TEXTS = 5_000  # texts that show which shingles are frequent; this order
 FREQUENT = 8  # of the sampled texts that hold a shingle for it to count as frequent
 BUCKET_BITS = 40  # of a hash that name a bucket; hashes that share them meet and are told apart when they are compared
 SPREAD_LONGS = 8  # of 64 bits, by hash, of which a set marks those that one of its shingles falls on
-PARITY_LONGS = 16  # of 64 bits, by hash, each of which tells whether an odd number of a set's shingles falls on it
+PARITY_LONGS = 16, 64  # of 64 bits, by hash, each of which tells whether an odd number of a set's shingles falls on it: least, most
 BINS = 512  # counts of a set's shingles by hash, which bound what two sets can share
 EARLIER = 4  # of a member's buckets before each that it names there, so that a pair is made in one of the buckets it shares
-COMPARED_BLOCK = 512  # members of a bucket that one task compares with the others
+COMPARED_BLOCK = 4096  # members of a bucket that meet as many others in one tile
+TILE_ROWS = 100_000  # members of tiles that one task compares
+TILE_PAIRS = 50_000_000  # pairs in them
+PAIRS = 1 << 18  # compared at once
 
 
 def signed(word: int) -> int:
@@ -225,9 +228,13 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
     Where two sets differ in a bit, at least one shingle is in only one of them.
     What they share falls out, so that large sets with small differences are
-    told apart as well as small ones.
+    told apart as well as small ones. There are half as many bits as shingles or
+    more, up to a bound; of sets with different numbers of bits, the halves of the
+    longer ones fold by exclusive or.
     """
-    counts = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % (PARITY_LONGS * BITS), minlength=PARITY_LONGS * BITS)
+    least, most = PARITY_LONGS
+    bits = BITS * min(most, max(least, 1 << (len(shingles) // 2 // BITS).bit_length()))
+    counts = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
 
 
@@ -243,17 +250,17 @@ def _set_prints(docs: DataFrame, key: str, text: str, width: int, similarity: fl
                 nodes.append(signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)))
                 sizes.append(len(own))
                 counts.append(bins(own))
-                marks.append(spread(own))
-                odd.append(parity(own))
+                marks.append(spread(own).tobytes())
+                odd.append(parity(own).tobytes())
                 firsts.append((prefix(own, frequent.value, similarity) >> np.uint64(BITS - BUCKET_BITS)).view(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
             columns += [pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-            columns += [pa.array(marks, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            columns += [pa.array(marks, pa.binary()), pa.array(odd, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "fp", "node", "size", "prefix", "bins", "spread", "parity"])
 
     narrow = docs.select(F.col(key).alias("key"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>, bins binary, spread array<bigint>, parity array<bigint>")
+    return narrow.mapInArrow(rows, f"key {kind}, text_hash bigint, fp array<bigint>, node bigint, size bigint, prefix array<bigint>, bins binary, spread binary, parity binary")
 
 
 def _met(nodes: DataFrame, radius: int) -> DataFrame:
@@ -286,24 +293,6 @@ def _sized(n: Column, m: Column, least: float) -> Column:
     return F.least(n, m) >= least * F.greatest(n, m)
 
 
-def _roomy(x: str, y: str, least: float) -> Column:
-    """Whether sets can be so similar, by their sizes, the bits that they fall on and those they fall on an odd number of times.
-
-    Every bit that one set falls on and the other does not has a shingle that
-    they do not share, and so has every bit in which their parities differ, so
-    that no similar pair is lost.
-    """
-    alone = lambda p, q: sum(
-        (F.bit_count(F.col(f"{p}_spread")[i].bitwiseAND(F.bitwise_not(F.col(f"{q}_spread")[i]))) for i in range(SPREAD_LONGS)), F.lit(0)
-    )
-    n, m = F.col(f"{x}_size"), F.col(f"{y}_size")
-    apart = sum((F.bit_count(F.col(f"{x}_parity")[i].bitwiseXOR(F.col(f"{y}_parity")[i])) for i in range(PARITY_LONGS)), F.lit(0))
-    shared = F.least(n - alone(x, y), m - alone(y, x))
-    # Two sets share half of what is left of both sizes without the shingles that only one of them has.
-    near = apart <= (1 - least) / (1 + least) * (n + m) + 1e-6
-    return _sized(n, m, least) & near & (shared >= least / (1 + least) * (n + m) - 1e-6)
-
-
 def _folding(met: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that fold buckets: each member with the one that meets most others in all its buckets.
 
@@ -324,8 +313,9 @@ def _across(met: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) ->
 
     Of two classes one is not the largest of its bucket, so only members outside
     the largest are compared with the others; a bucket in one class drops out.
-    The members of a large bucket are dealt to blocks, each of which meets all
-    others in a task of its own. Marked bits join only the members that are compared.
+    The members of a large bucket are dealt to blocks, those of the largest class
+    apart from the others, and two blocks meet in a tile. Tasks compare the
+    members of a tile as arrays.
 
     Copies share most of their buckets. A pair of two classes meets in every
     open bucket that it shares, so it is passed over where the EARLIER buckets
@@ -333,43 +323,155 @@ def _across(met: DataFrame, roots: DataFrame, nodes: DataFrame, least: float) ->
     """
     known = met.where("members > 2").select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sums.groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.ceil(F.sum("n") / COMPARED_BLOCK).alias("blocks")
+    largest = sums.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(COMPARED_BLOCK))
+    dealt = largest.where("classes > 1").select(
+        "bucket", "all", F.col("top.root").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("mains")
     )
-    open_ = known.join(largest.where("classes > 1"), "bucket").withColumn("main", F.col("root") == F.col("top.root")).drop("top", "classes")
-    before = Window.partitionBy("node").orderBy("bucket").rowsBetween(-EARLIER, -1)
-    open_ = open_.withColumn("earlier", F.collect_list("bucket").over(before))
-    open_ = pinned(open_.join(nodes.select("node", "spread", "parity"), "node"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    x = open_.where("NOT main").select("bucket", block.alias("block"), F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("spread").alias("x_spread"), F.col("parity").alias("x_parity"), F.col("earlier").alias("x_earlier"), F.col("root").alias("x_root"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    y = open_.select("bucket", every.alias("block"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("spread").alias("y_spread"), F.col("parity").alias("y_parity"), F.col("earlier").alias("y_earlier"), F.col("root").alias("y_root"), "main")
-    once = F.col("main") | (F.col("x") < F.col("y"))
-    first = ~F.arrays_overlap("x_earlier", "y_earlier")
-    met = x.join(y, ["bucket", "block"]).where((F.col("x_root") != F.col("y_root")) & once & _roomy("x", "y", least) & first)
-    return met.select(*_ordered(F.col("x"), F.col("y"))).distinct()
+    open_ = known.join(dealt, "bucket").withColumn("main", F.col("root") == F.col("top")).drop("top")
+    before = Window.partitionBy("node").orderBy("bucket")
+    for i in range(EARLIER):
+        open_ = open_.withColumn(f"earlier{i}", F.coalesce(F.lag("bucket", i + 1).over(before), F.lit(-1)))
+    open_ = pinned(open_.join(nodes.select("node", "parity"), "node"))
+
+    hashed, whole = F.xxhash64("node"), F.col("all") <= COMPARED_BLOCK
+    # Blocks of others come first. A small bucket is one tile, in which its largest class is a block that meets no other.
+    own = F.when(F.col("main"), F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others")))
+    last = F.when(whole, F.lit(0)).when(F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    met_by = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    rows = open_.withColumn("own", own).withColumn("with", met_by)
+    tile = [F.when(whole, F.lit(0).cast("bigint")).otherwise(f("own", "with")).alias(c) for f, c in ((F.least, "low"), (F.greatest, "high"))]
+    rows = rows.select("bucket", *tile, "own", "node", "size", "root", *[f"earlier{i}" for i in range(EARLIER)], "parity")
+
+    tiles = F.when(whole, 1).when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    made = open_.agg(F.sum(tiles), F.sum(F.when(~F.col("main"), F.col("all")))).first()
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(parts, (made[0] or 0) // TILE_ROWS, (made[1] or 0) // TILE_PAIRS)
+    spots = ["bucket", "low", "high"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the tile that may go on in the next batch
+        for batch in batches:
+            found = pa.Table.from_batches([*([] if held is None else held.to_batches()), batch])
+            if not len(found):
+                continue
+            changes = np.flatnonzero(_changes(*[found[c].to_numpy() for c in spots]))
+            begun = int(changes[-1]) + 1 if len(changes) else 0
+            held = found.slice(begun)
+            yield from told(found.slice(0, begun))
+        if held is not None:
+            yield from told(held)
+
+    def told(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        for x, y in _close(found, least):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return rows.repartition(tasks, *spots).sortWithinPartitions(*spots, "own").mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """For each row but the last, whether the next one differs."""
+    return np.any([c[1:] != c[:-1] for c in columns], axis=0)
+
+
+def _close(rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of two classes in a tile that can be so similar, by their sizes and parities.
+
+    ``rows`` are those of whole tiles, in order of tile and block. Every bit in
+    which the parities of two sets differ has a shingle that only one of them has,
+    so that no similar pair is lost: they share half of what is left of both sizes
+    without these.
+    """
+    if not len(rows):
+        return
+    bucket, low, high, own, node, size, root = (rows[i].to_numpy() for i in range(7))
+    earlier = [rows[7 + i].to_numpy() for i in range(EARLIER)]
+    parities = _folds(rows["parity"])
+    new = np.concatenate(([True], _changes(bucket, low, high)))
+    starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+    left = own == low
+    ends = np.append(starts[1:], len(own))[number]
+    second = (starts + np.add.reduceat(left.astype(np.int64), starts))[number]
+    first = np.where(low == high, np.arange(len(own)) + 1, second)
+    counts = np.where(left, ends - first, 0)
+    upto = np.cumsum(counts)
+    begun = 0
+    while begun < len(counts):
+        done = upto[begun] - counts[begun]
+        stop = max(begun + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+        some = slice(begun, stop)
+        x = np.repeat(np.arange(begun, stop), counts[some])
+        y = np.arange(len(x)) + np.repeat(first[some] - upto[some] + counts[some] + done, counts[some])
+        begun = stop
+        n, m = size[x], size[y]
+        kept = np.flatnonzero((np.minimum(n, m) >= least * np.maximum(n, m)) & (root[x] != root[y]))
+        x, y = x[kept], y[kept]
+        kept = np.flatnonzero(_apart(parities, x, y) <= (1 - least) / (1 + least) * (size[x] + size[y]) + 1e-6)
+        x, y = x[kept], y[kept]
+        again = np.zeros(len(x), bool)
+        for p in earlier:
+            for q in earlier:
+                again |= (p[x] == q[y]) & (p[x] >= 0)
+        if not again.all():
+            yield node[x[~again]], node[y[~again]]
+
+
+def _folds(parities: pa.ChunkedArray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(longs, place, parities) from the longest down: those of all sets that have so many or more, folded, and where each set's are."""
+    texts = parities.to_pylist()
+    longs = np.array([len(t) // 8 for t in texts])
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    width, (least, _) = max(longs), PARITY_LONGS
+    held, whose = np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
+    while width >= least:
+        own = np.flatnonzero(longs == width)
+        fresh = np.frombuffer(b"".join(texts[i] for i in own), np.uint64).reshape(-1, width)
+        held, whose = np.concatenate([held, fresh]), np.concatenate([whose, own])
+        place = np.full(len(texts), -1)
+        place[whose] = np.arange(len(whose))
+        found.append((width, place, held))
+        width //= 2
+        held = held[:, :width] ^ held[:, width:]
+    return found
+
+
+def _apart(parities: list[tuple[int, np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of each pair differ, at the most bits that both have."""
+    apart = np.full(len(x), -1)
+    for width, place, held in parities:
+        some = np.flatnonzero((apart < 0) & (place[x] >= 0) & (place[y] >= 0))
+        step = max(1, (1 << 20) // width)
+        for at in range(0, len(some), step):
+            these = some[at : at + step]
+            apart[these] = np.bitwise_count(held[place[x[these]]] ^ held[place[y[these]]]).sum(axis=1, dtype=np.int64)
+    return apart
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose bins leave room for the similarity.
+    """The pairs (a, b) whose marked bits and bins leave room for the similarity.
 
-    Two sets share at most the lesser count of each bin, so that no similar
-    pair is lost; most others need not be looked at whole.
+    Every bit that one set falls on and the other does not has a shingle that
+    they do not share, and two sets share at most the lesser count of each bin,
+    so that no similar pair is lost; most others need not be looked at whole.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = sum(batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = np.ones(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                x, y = (np.frombuffer(v.as_py(), np.uint8) for v in (x, y))
-                if len(x) and len(y):
-                    keep[i] = np.minimum(x, y).sum(dtype=np.int64) >= least / (1 + least) * sizes[i] - 1e-6
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            wanted = least / (1 + least) * (n + m) - 1e-6
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SPREAD_LONGS) for i in (4, 5))
+            alone = [np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+            keep = np.minimum(n - alone[0], m - alone[1]) >= wanted
+            x, y = (batch.column(i).to_pylist() for i in (6, 7))
+            both = [i for i in np.flatnonzero(keep) if x[i] and y[i]]
+            p, q = (np.frombuffer(b"".join(v[i] for i in both), np.uint8).reshape(-1, BINS) for v in (x, y))
+            keep[both] = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= wanted[both]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
-    x, y = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bins").alias(f"{c}_bins")) for c in "ab")
+    told = ("size", "spread", "bins")
+    x, y = (nodes.select(F.col("node").alias(c), *[F.col(t).alias(f"{c}_{t}") for t in told]) for c in "ab")
     both = pairs.join(x, "a").join(y, "b").where(_sized(F.col("a_size"), F.col("b_size"), least))
-    return both.select("a", "b", "a_size", "b_size", "a_bins", "b_bins").mapInArrow(rows, "a bigint, b bigint")
+    return both.select("a", "b", *[f"{c}_{t}" for t in told for c in "ab"]).mapInArrow(rows, "a bigint, b bigint")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -259,3 +260,54 @@ def test_pairs_of_unlike_copies_are_made_once(spark, monkeypatch):
     found = _found(spark, dict(texts))
     assert found == _classes_of(dict(texts))
     assert made[0] and len(made[0]) <= 1.5 * len(set(made[0]))
+
+
+def test_unlike_copies_of_a_long_text_make_no_pairs(spark, monkeypatch):
+    """Parities grow with the set, so that pairs of long texts that share half of their shingles are not looked at whole."""
+    rng = random.Random(31)
+    texts = {}
+    for base in range(4):
+        words = [f"w{base}-{i}" for i in range(6000)]  # fewer copies than make a shingle frequent, so that they meet in very many buckets
+        texts |= {10 * base + i: " ".join(_edited(rng, words, 420)) for i in range(simhash.FREQUENT - 1)}
+    made = []
+    across = simhash._across
+
+    def watched(*args):
+        pairs = across(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash, "_across", watched)
+    assert _found(spark, texts) == {i: i for i in texts}
+    assert made == [0]
+
+
+@pytest.mark.parametrize("block", [4, 8, simhash.COMPARED_BLOCK])
+def test_tiles_hold_every_pair_of_two_classes(spark, monkeypatch, block):
+    """Members of two buckets, with a class of twenty, one of ten and lone ones; sets are of one size but for the last."""
+    monkeypatch.setattr(simhash, "COMPARED_BLOCK", block)
+    n = 45
+    root = {i: 0 if i < 20 else 20 if i < 30 else i for i in range(n)}
+    size = {i: 100 if i < n - 1 else 79 for i in range(n)}
+    members = {5: range(n), 9: range(10, n)}
+    met = spark.createDataFrame([(b, i, size[i], len(m)) for b, m in members.items() for i in m], "bucket bigint, node bigint, size bigint, members bigint")
+    roots = spark.createDataFrame([(i, root[i]) for i in range(30)], "node bigint, root bigint")
+    parities = [simhash.parity(np.arange(i % 3, dtype=np.uint64) << np.uint64(7)).tobytes() for i in range(n)]
+    nodes = spark.createDataFrame(list(enumerate(map(bytearray, parities))), "node bigint, parity binary")
+    found = simhash._across(met, roots, nodes, 0.8)
+    pairs = [(r.a, r.b) for r in found.collect()]
+    assert sorted(pairs) == [(a, b) for a in range(n) for b in range(a + 1, n - 1) if root[a] != root[b]]
+
+
+def test_parities_of_other_lengths_fold():
+    rng = random.Random(37)
+    sets = [np.array(sorted({rng.getrandbits(64) for _ in range(n)}), np.uint64) for n in (0, 900, 2100, 2500, 5000, 9000)]
+    sets += [sets[4][:4000], sets[5][:7000], sets[5][:8500]]
+    prints = [simhash.parity(v).tobytes() for v in sets]
+    assert len(set(map(len, prints))) == 3
+    folds = simhash._folds(pa.chunked_array([pa.array(prints, pa.binary())]))
+    x, y = (v.ravel() for v in np.meshgrid(*[np.arange(len(sets))] * 2))
+    for a, b, apart in zip(x, y, simhash._apart(folds, x, y), strict=True):
+        bits = 8 * min(len(prints[a]), len(prints[b]))
+        odd = np.bincount((np.setxor1d(sets[a], sets[b]) >> np.uint64(7)).astype(np.int64) % bits) & 1
+        assert apart == odd.sum()
